@@ -20,4 +20,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from opslens.runtime import importable
+
+    importable(session)
     return session
