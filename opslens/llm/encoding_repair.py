@@ -272,7 +272,8 @@ def repair(text: str | None) -> tuple[str | None, bool]:
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [(t, i, text) for t, i, s in zip(pdf["tab"], pdf["row_id"], pdf["body"], strict=True) for text, hit in [repair(s)] if hit]
-        yield pd.DataFrame(rows, columns=["tab", "row_id", "restored"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["tab", "row_id", "restored"])
 
 
 def repair_encoding(texts: DataFrame) -> DataFrame:

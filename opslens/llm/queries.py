@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opslens.llm.contamination import find_leaks, remove_leaks
 from opslens.llm.credentials import find_credentials, redact_credentials
 from opslens.llm.encoding_repair import repair_encoding
+from opslens.llm.truncation import cut_share, find_cut
 from opslens.runtime import table
 
 
@@ -34,4 +36,26 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(spark, sf_dir)
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p7_found": p7_found, "p7_restored": p7_restored}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its leaked stretches."""
+    return remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_cut(table(spark, sf_dir, "documents"))
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return cut_share(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_redacted": p3_redacted,
+    "p7_found": p7_found, "p7_restored": p7_restored,
+    "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p10_sources": p10_sources,
+}
