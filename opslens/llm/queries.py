@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opslens.llm.contamination import find_leaks, remove_leaks
 from opslens.llm.credentials import find_credentials, redact_credentials
 from opslens.llm.encoding_repair import repair_encoding
+from opslens.llm.mixing import mix
 from opslens.llm.truncation import cut_share, find_cut
 from opslens.runtime import table
 
@@ -45,6 +46,20 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed set, a row per copy of a document."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mix really reaches."""
+    return _mix(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_cut(table(spark, sf_dir, "documents"))
 
@@ -57,5 +72,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p7_found": p7_found, "p7_restored": p7_restored,
-    "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p10_sources": p10_sources,
+    "p8_found": p8_found, "p8_cleaned": p8_cleaned,
+    "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_sources": p10_sources,
 }
