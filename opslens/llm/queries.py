@@ -9,6 +9,7 @@ from opslens.llm.contamination import find_leaks, remove_leaks
 from opslens.llm.credentials import find_credentials, redact_credentials
 from opslens.llm.encoding_repair import repair_encoding
 from opslens.llm.mixing import mix
+from opslens.llm.personal_data import find_personal_data, sanitise
 from opslens.llm.truncation import cut_share, find_cut
 from opslens.runtime import table
 
@@ -22,6 +23,15 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_credentials(table(spark, sf_dir, "artifacts"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "case_cards")).select("id", "fld", "pii_type").distinct()
+
+
+def p5_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every card with typed placeholders."""
+    return sanitise(table(spark, sf_dir, "case_cards"))
+
+
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "artifacts").select(F.lit("artifacts").alias("tab"), F.col("id").alias("row_id"), F.col("text_content").alias("body"))
     m = table(spark, sf_dir, "message_codes").select(F.lit("message_codes").alias("tab"), F.col("entry_id").alias("row_id"), "body")
@@ -71,6 +81,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_redacted": p3_redacted,
+    "p5_found": p5_found, "p5_sanitised": p5_sanitised,
     "p7_found": p7_found, "p7_restored": p7_restored,
     "p8_found": p8_found, "p8_cleaned": p8_cleaned,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
