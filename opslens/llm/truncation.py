@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslens.runtime import checkpointed
+
 #: Letters of the longest word.
 MAX_WORD = 64
 #: Occurrences that make a word known.
@@ -87,20 +89,26 @@ def field_limits(documents: DataFrame) -> DataFrame:
 
 
 def ends(documents: DataFrame) -> DataFrame:
-    """doc_id, source, n, and the features of each text's end."""
-    body = F.regexp_replace("text", r"\s+$", "")
+    """doc_id, source, n, word, and the decision for each pair of at_limit and half_word (d00, d01, d10, d11).
+
+    Blank texts are left out. ``word`` is the final token if it is a word without an end mark.
+    """
+    # white space behind the text does not count
+    body = F.rtrim(F.col("text"), F.lit(" \t\n\r\f\u000b\u0085\u00a0\u2028\u2029"))
     d = documents.select("doc_id", "source", F.length("text").alias("n"), body.alias("body")).filter("body is not null and body != ''")
     fences = (F.length("body") - F.length(F.replace("body", F.lit("```"), F.lit("")))) / 3
-    d = d.select("doc_id", "source", "n", F.substring_index("body", "\n", -1).alias("line"), (fences % 2 == 1).alias("open_code"), F.expr("right(body, 400)").alias("tail"))
-    mark = r"(?:\.\.\.|…|\[(?:\.\.\.|…)\]|[\[(<](?:truncated|cut off|cut)[\])>])$"
-    d = d.withColumn("mark", F.regexp_extract("tail", "(?i)" + mark, 0)).withColumn("bare", F.regexp_replace("tail", "(?i)" + mark, ""))
-    token = F.regexp_extract("bare", r"(\S+)\s*$", 1)
-    word = F.regexp_extract(token, r"(?U)^[\"'`(\[«„“‘¿¡*#|-]*([^\W\d_]+(?:[-'’][^\W\d_]+)*)$", 1)
-    return d.select("doc_id", "source", "n", "line", "open_code", "mark", F.col("bare").rlike(r"\s$").alias("mark_apart"), "tail", token.alias("token"), F.lower(word).alias("word"))
-
-
-def cut_by_form(at_limit: Column, half_word: Column) -> Column:
-    """The decision from the columns of ``ends``, the length evidence and the vocabulary's."""
+    d = d.select("doc_id", "source", "n", F.expr("left(substring_index(body, '\n', -1), 400)").alias("line"), (fences % 2 == 1).alias("open_code"), F.expr("right(body, 400)").alias("tail"))
+    mark = r"(?i)(?:\.\.\.|…|\[(?:\.\.\.|…)\]|[\[(<](?:truncated|cut off|cut)[\])>])$"
+    d = d.withColumn("mark", F.regexp_extract("tail", mark, 0))
+    d = d.withColumn("bare", F.when(F.col("mark") != "", F.expr("left(tail, length(tail) - length(mark))")).otherwise(F.col("tail")))
+    d = d.withColumn("mark_apart", F.col("bare").rlike(r"\s$")).withColumn("token", F.substring_index(F.translate(F.rtrim("bare"), "\n\t\r", "   "), " ", -1))
+    word = F.regexp_extract("token", r"(?U)^[\"'`(\[«„“‘¿¡*#|-]*([^\W\d_]+(?:[-'’][^\W\d_]+)*)$", 1)
+    known = {name: _cut_by_form(F.lit(name[1] == "1"), F.lit(name[2] == "1")) for name in ("d00", "d01", "d10", "d11")}
+    return d.select("doc_id", "source", "n", F.lower(word).alias("word"), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in known.items()])
+
+
+def _cut_by_form(at_limit: Column, half_word: Column) -> Column:
+    """The decision from the form of the end, the length evidence and the vocabulary's."""
     line, token, tail = F.col("line"), F.col("token"), F.col("tail")
     evidence = at_limit | half_word
     # a date, time or path that is not complete
@@ -123,21 +131,23 @@ def cut_by_form(at_limit: Column, half_word: Column) -> Column:
 
 
 def judge(documents: DataFrame) -> DataFrame:
-    """doc_id, source, cut, at_limit, half_word for every text that is not blank.
+    """doc_id, source, cut, at_limit for every text that is not blank.
 
     ``documents``: doc_id, text, source; other columns are ignored.
     """
-    found = ends(documents)
+    found = checkpointed(ends(documents))  # small rows; the texts are read once for them and once for the words
     limits = field_limits(documents)
+    # Only texts whose decision hangs on their final word ask the vocabulary.
+    open_ends = (F.col("d00") != F.col("d01")) | (F.col("d10") != F.col("d11"))
+    asking = found.filter(open_ends & (F.col("word") != ""))
     nodes = vocabulary_trie(vocabulary(documents))
-    # Only final tokens of texts without an end mark are looked up.
-    asked = found.filter("word != ''").select("word").distinct()
-    answers = asked.join(nodes, asked["word"] == nodes["prefix"]).select("word", ((F.col("n_word") == 0) & (F.col("n_below") > 0)).alias("half"))
-    found = found.join(answers, "word", "left")
-    found = found.join(limits.select(F.col("source").alias("lim_source"), "limit_chars"), F.col("source").eqNullSafe(F.col("lim_source")), "left")
+    answers = asking.select("word").distinct().join(nodes, F.col("word") == F.col("prefix")).filter("n_word = 0 and n_below > 0").select("word", F.lit(True).alias("half"))
+    told = asking.join(answers, "word", "left").select(*found.columns, F.coalesce("half", F.lit(False)).alias("half"))
+    all_ends = told.unionByName(found.filter(~(open_ends & (F.col("word") != ""))).withColumn("half", F.lit(False)))
+    all_ends = all_ends.join(limits.select(F.col("source").alias("lim_source"), "limit_chars"), F.col("source").eqNullSafe(F.col("lim_source")), "left")
     at_limit = F.coalesce(F.col("n") == F.col("limit_chars"), F.lit(False))
-    half = F.coalesce(F.col("half"), F.lit(False))
-    return found.select("doc_id", "source", F.coalesce(cut_by_form(at_limit, half), F.lit(False)).alias("cut"), at_limit.alias("at_limit"), half.alias("half_word"))
+    cut = F.when(at_limit & F.col("half"), F.col("d11")).when(at_limit, F.col("d10")).when(F.col("half"), F.col("d01")).otherwise(F.col("d00"))
+    return all_ends.select("doc_id", "source", cut.alias("cut"), at_limit.alias("at_limit"))
 
 
 def find_cut(documents: DataFrame) -> DataFrame:
