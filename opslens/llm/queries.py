@@ -10,10 +10,20 @@ from opslens.llm.credentials import find_credentials, redact_credentials
 from opslens.llm.encoding_repair import repair_encoding
 from opslens.llm.mixing import mix
 from opslens.llm.personal_data import find_personal_data, sanitise
+from opslens.llm.scan_repair import find_damage, repair_scans
 from opslens.llm.truncation import cut_share, find_cut
 from opslens.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_damage(table(spark, sf_dir, "message_codes"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry with its title and body as continuous text."""
+    return repair_scans(table(spark, sf_dir, "message_codes"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_credentials(table(spark, sf_dir, "artifacts")).select("id", "line_no")
 
@@ -80,6 +90,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_repaired": p2_repaired,
     "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p5_found": p5_found, "p5_sanitised": p5_sanitised,
     "p7_found": p7_found, "p7_restored": p7_restored,
