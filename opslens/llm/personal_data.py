@@ -149,18 +149,18 @@ def find_personal_data(cards: DataFrame) -> DataFrame:
     """
     found = checkpointed(field_texts(cards).mapInPandas(_find, _FOUND))
     term = found.filter("pii_type = 'term'")
-    base = term.agg(((F.count_if("protected") + 1) / (F.count("*") + 2)).alias("base"))  # one row
+    base = F.lit(term.agg(((F.count_if("protected") + 1) / (F.count("*") + 2)).alias("base")).first()["base"])
     # Disclosure of contexts, by side
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("lft").alias("near")), F.struct(F.lit("r").alias("side"), F.col("rgt").alias("near"))))
     near = term.select("protected", sides.alias("c")).select("protected", "c.side", "c.near").filter("near != ''")
-    near = near.groupBy("side", "near").agg(F.count("*").alias("n"), F.count_if("protected").alias("s")).crossJoin(F.broadcast(base))
-    near = near.select("side", "near", "s", F.when(F.col("s") >= SUPPORT, _bits(F.col("n"), F.col("s"), F.col("base"))).alias("bits"))
+    near = near.groupBy("side", "near").agg(F.count("*").alias("n"), F.count_if("protected").alias("s"))
+    near = near.select("side", "near", "s", F.when(F.col("s") >= SUPPORT, _bits(F.col("n"), F.col("s"), base)).alias("bits"))
     # An apposition says less about what follows: more support, and at least the average disclosure.
     near = near.withColumn("bits", F.when(F.col("near").endswith(","), F.when((F.col("s") >= 3 * SUPPORT) & (F.col("bits") >= 0), F.col("bits"))).otherwise(F.col("bits"))).drop("s")
     # Disclosure of the terms' words; a word of an e-mail address counts as beside a protected entity.
     words = found.filter("pii_type in ('term', 'email')").select(F.explode("words").alias("word"), F.when(F.col("pii_type") == "email", True).otherwise(F.col("protected")).alias("protected"))
-    words = words.groupBy("word").agg(F.count("*").alias("n"), F.count_if("protected").alias("s")).crossJoin(F.broadcast(base))
-    words = words.select("word", F.when(F.col("s") >= 2 * SUPPORT, _bits(F.col("n"), F.col("s"), F.col("base"))).alias("bits"))
+    words = words.groupBy("word").agg(F.count("*").alias("n"), F.count_if("protected").alias("s"))
+    words = words.select("word", F.when(F.col("s") >= 2 * SUPPORT, _bits(F.col("n"), F.col("s"), base)).alias("bits"))
 
     key = ["id", "fld", "th", "start", "stop"]
     ask = term.filter("not protected")
