@@ -59,26 +59,6 @@ def _plain(text: str) -> list[str]:
     return [w for w in re.split(r"[^\w]+|_", out) if w]
 
 
-def find_term(index: DataFrame, term: str) -> DataFrame:
-    return index.filter(F.col("term") == (_plain(term) or [""])[0]).select("doc_id").distinct()
-
-
-def find_prefix(index: DataFrame, prefix: str) -> DataFrame:
-    return index.filter(F.startswith("term", F.lit((_plain(prefix) or ["\x00"])[0]))).select("doc_id").distinct()
-
-
-def find_phrase(index: DataFrame, phrase: str) -> DataFrame:
-    """Documents in which the words stand one behind the other: positions minus their place in the phrase meet."""
-    words = _plain(phrase)
-    if not words:
-        return index.limit(0).select("doc_id")
-    hits = None
-    for i, w in enumerate(words):
-        part = index.filter(F.col("term") == w).select("doc_id", (F.explode("positions").alias("pos"))).select("doc_id", (F.col("pos") - i).alias("start"), F.lit(i).alias("i"))
-        hits = part if hits is None else hits.unionByName(part)
-    return hits.groupBy("doc_id", "start").agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(words)).select("doc_id").distinct()
-
-
 def parse_query(query: str) -> list[list[tuple[bool, str, str]]]:
     """A query as OR of ANDs of (negated, kind, text); kind is term, prefix or phrase."""
     parts = re.findall(r'"[^"]*"?|\S+', query)
@@ -98,17 +78,62 @@ def parse_query(query: str) -> list[list[tuple[bool, str, str]]]:
     return [g for g in groups if any(not n for n, _, _ in g)]
 
 
+def _asks(kind: str, text: str) -> Column:
+    """Which index rows a literal needs."""
+    words = _plain(text)
+    if kind == "prefix":
+        return F.startswith("term", F.lit(words[0]))
+    return F.col("term").isin(*words)
+
+
+def _holds(kind: str, text: str) -> Column:
+    """Whether a document's rows fulfil a literal; evaluated in one aggregation per document."""
+    words = _plain(text)
+    if kind == "prefix":
+        return F.max(F.startswith("term", F.lit(words[0])))
+    places = [F.coalesce(F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True), F.array().cast("array<int>")) for w in words]
+    if len(words) == 1:
+        return F.size(places[0]) > 0
+
+    def follows(at: Column) -> Column:
+        out = F.lit(True)
+        for i, p in enumerate(places[1:], 1):
+            out = out & F.array_contains(p, at + i)
+        return out
+
+    return F.exists(places[0], follows)
+
+
 def find(index: DataFrame, query: str) -> DataFrame:
-    """doc_id of the documents that a query of the index finds."""
-    how = {"term": find_term, "prefix": find_prefix, "phrase": find_phrase}
-    out = None
-    for group in parse_query(query):
-        docs = None
-        for negated, kind, text in sorted(group):
-            hit = how[kind](index, text)
-            docs = hit if docs is None else docs.join(hit, "doc_id", "left_anti" if negated else "left_semi")
-        out = docs if out is None else out.unionByName(docs)
-    return out.distinct() if out is not None else index.limit(0).select("doc_id")
+    """doc_id of the documents that a query finds: the index is read once, only for the terms that the query names."""
+    groups = parse_query(query)
+    if not groups:
+        return index.limit(0).select("doc_id")
+    literals = list(dict.fromkeys((kind, text) for g in groups for _, kind, text in g))
+    needed = _asks(*literals[0])
+    for lit in literals[1:]:
+        needed = needed | _asks(*lit)
+    flags = index.filter(needed).groupBy("doc_id").agg(*[_holds(*lit).alias(f"f{i}") for i, lit in enumerate(literals)])
+    name = {lit: F.col(f"f{i}") for i, lit in enumerate(literals)}
+    hit = F.lit(False)
+    for g in groups:
+        all_of = F.lit(True)
+        for negated, kind, text in g:
+            all_of = all_of & (~name[kind, text] if negated else name[kind, text])
+        hit = hit | all_of
+    return flags.filter(hit).select("doc_id")
+
+
+def find_term(index: DataFrame, term: str) -> DataFrame:
+    return find(index, term)
+
+
+def find_prefix(index: DataFrame, prefix: str) -> DataFrame:
+    return find(index, (_plain(prefix) or [""])[0] + "*")
+
+
+def find_phrase(index: DataFrame, phrase: str) -> DataFrame:
+    return find(index, '"' + phrase.replace('"', " ") + '"')
 
 
 def smart_search(files: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:

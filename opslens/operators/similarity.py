@@ -9,25 +9,34 @@ from pyspark.sql import functions as F
 THRESHOLD, FILE_BONUS = 0.3, 0.2
 
 
-def _signals(cards: DataFrame, id_col: str, col: str = "signals") -> DataFrame:
-    """id, signal (lower case, distinct), n (how many distinct signals the id has)."""
-    each = F.array_distinct(F.transform(F.filter(col, lambda s: s.isNotNull()), F.lower))
-    return cards.select(F.col(id_col), each.alias("s")).select(id_col, F.size("s").alias("n"), F.explode("s").alias("signal"))
+def _sets(rows: DataFrame, id_col: str) -> DataFrame:
+    """id, set: the distinct signals in lower case, sorted; ids without any are left out."""
+    each = F.array_sort(F.array_distinct(F.transform(F.filter("signals", lambda s: s.isNotNull()), F.lower)))
+    return rows.select(F.col(id_col), each.alias("set")).filter("size(set) > 0")
 
 
-def overlaps(queries: DataFrame, cards: DataFrame) -> DataFrame:
-    """query_id, case_id, shared, n_query, n_case: pairs that share a signal.
+def overlaps(query_sets: DataFrame, card_sets: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """qset, cset, shared, n_query, n_case of the distinct sets that share a signal and can reach the threshold.
 
-    ``queries``: query_id, signals; ``cards``: case_id, signals. An equi-join on signals; equal
-    signal sets are joined once per set and expanded on the card side only.
+    Sets are joined on the rarest signals of each (a prefix in the order of rarity): two sets
+    whose overlap is at least ``threshold`` of the larger one share a signal of both prefixes,
+    so frequent signals join only where a set has no rarer ones. The overlap itself is then
+    counted exactly.
     """
-    sets = cards.withColumn("set", F.array_sort(F.array_distinct(F.transform(F.filter("signals", lambda s: s.isNotNull()), F.lower)))).filter("size(set) > 0")
-    reps = sets.groupBy("set").agg(F.min("case_id").alias("rep"))
-    r = reps.select("rep", F.size("set").alias("n_case"), F.explode("set").alias("signal"))
-    q = _signals(queries, "query_id").withColumnRenamed("n", "n_query")
-    pairs = q.join(r, "signal").groupBy("query_id", "rep", "n_query", "n_case").agg(F.count("*").alias("shared"))
-    members = sets.join(reps, "set").select("rep", "case_id")
-    return pairs.join(members, "rep").select("query_id", "case_id", "shared", "n_query", "n_case")
+    q = query_sets.select(F.col("set").alias("s"), F.lit(True).alias("is_query")).distinct()
+    c = card_sets.select(F.col("set").alias("s"), F.lit(False).alias("is_query")).distinct()
+    both = q.unionByName(c)
+    seen = both.select(F.explode("s").alias("signal")).groupBy("signal").agg(F.count("*").alias("seen"))
+    each = both.select("s", "is_query", F.explode("s").alias("signal")).join(seen, "signal")
+    rarest = each.groupBy("s", "is_query").agg(F.array_sort(F.collect_list(F.struct("seen", "signal"))).alias("r"))
+    n = F.size("s")
+    need = F.greatest(F.ceil(n * threshold - 1e-9), F.lit(1)).cast("int")
+    keys = rarest.select("s", "is_query", F.explode(F.transform(F.slice("r", F.lit(1), n - need + 1), lambda x: x["signal"])).alias("key"))
+    left = keys.filter("is_query").select(F.col("s").alias("qset"), "key")
+    right = keys.filter("not is_query").select(F.col("s").alias("cset"), "key")
+    pairs = left.join(right, "key").select("qset", "cset").distinct()
+    shared = F.size(F.array_intersect("qset", "cset"))
+    return pairs.select("qset", "cset", shared.alias("shared"), F.size("qset").alias("n_query"), F.size("cset").alias("n_case"))
 
 
 def similar_cases(queries: DataFrame, cards: DataFrame, top: int = 3, threshold: float = THRESHOLD) -> DataFrame:
@@ -37,23 +46,35 @@ def similar_cases(queries: DataFrame, cards: DataFrame, top: int = 3, threshold:
     without cause and fix takes them from the first chunk of its source that has one.
     ``queries``: query_id, signals, files; ``cards``: id, source_path, chunk_id, signals,
     root_cause, fix_summary, related_files.
+
+    Equal sets are compared once; of cards with equal sets the first ``top`` by id stand for
+    all, except that cards with a shared file are scored one by one.
     """
     cards = cards.withColumnRenamed("id", "case_id")
-    base = overlaps(queries, cards)
+    qs, cs = _sets(queries, "query_id"), _sets(cards, "case_id")
+    base = F.col("shared") / F.greatest("n_query", "n_case")
+    by_set = overlaps(qs, cs, threshold).withColumn("base", base).filter(F.round("base", 6) >= threshold).select("qset", "cset", "base")
+    first = cs.withColumn("n", F.row_number().over(Window.partitionBy("set").orderBy("case_id"))).filter(F.col("n") <= top).select(F.col("set").alias("cset"), "case_id")
+    plain = by_set.join(first, "cset").withColumn("p", F.row_number().over(Window.partitionBy("qset").orderBy(F.desc("base"), "case_id"))).filter(F.col("p") <= top)
+    plain = plain.join(qs.select("query_id", F.col("set").alias("qset")), "qset").select("query_id", "case_id", "base", F.lit(0).cast("long").alias("n_files"))
     qf = queries.select("query_id", F.explode(F.array_distinct(F.transform("files", F.lower))).alias("file"))
     cf = cards.select("case_id", F.explode(F.array_distinct(F.transform("related_files", F.lower))).alias("file"))
-    shared_files = qf.join(cf, "file").groupBy("query_id", "case_id").agg(F.count("*").alias("n_files"))
-    score = F.least(F.lit(1.0), F.col("shared") / F.greatest("n_query", "n_case") + FILE_BONUS * F.coalesce("n_files", F.lit(0)))
-    d = base.join(shared_files, ["query_id", "case_id"], "left").withColumn("score", F.round(score, 6)).filter(F.col("score") >= threshold)
+    filed = qf.join(cf, "file").groupBy("query_id", "case_id").agg(F.count("*").alias("n_files"))
+    filed = filed.join(qs.select("query_id", F.col("set").alias("qset")), "query_id").join(cs.select("case_id", F.col("set").alias("cset")), "case_id")
+    overlap = F.size(F.array_intersect("qset", "cset"))
+    filed = filed.filter(overlap > 0).select("query_id", "case_id", (overlap / F.greatest(F.size("qset"), F.size("cset"))).alias("base"), "n_files")
+    both = plain.unionByName(filed).groupBy("query_id", "case_id").agg(F.max("base").alias("base"), F.max("n_files").alias("n_files"))
+    d = both.withColumn("score", F.round(F.least(F.lit(1.0), F.col("base") + FILE_BONUS * F.col("n_files")), 6)).filter(F.col("score") >= threshold)
     best = d.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "case_id")).cast("int")).filter(F.col("place") <= top)
     told = F.col("root_cause").isNotNull() | F.col("fix_summary").isNotNull()
     sibling = cards.filter(told & F.col("source_path").isNotNull()).groupBy("source_path").agg(F.min(F.struct("chunk_id", "case_id", "root_cause", "fix_summary")).alias("sib"))
-    texts = cards.select("case_id", "source_path", "root_cause", "fix_summary").join(sibling, "source_path", "left")
-    texts = texts.select("case_id", F.when(told, F.col("root_cause")).otherwise(F.col("sib.root_cause")).alias("root_cause"), F.when(told, F.col("fix_summary")).otherwise(F.col("sib.fix_summary")).alias("fix_summary"))
-    return best.select("query_id", "place", "case_id", "score").join(texts, "case_id")
+    texts = best.join(cards.select("case_id", "source_path", "root_cause", "fix_summary"), "case_id").join(sibling, "source_path", "left")
+    return texts.select("query_id", "place", "case_id", "score", F.when(told, F.col("root_cause")).otherwise(F.col("sib.root_cause")).alias("root_cause"), F.when(told, F.col("fix_summary")).otherwise(F.col("sib.fix_summary")).alias("fix_summary"))
 
 
 def jaccard(queries: DataFrame, cards: DataFrame) -> DataFrame:
-    """query_id, case_id, jaccard of every pair that shares a signal."""
-    d = overlaps(queries, cards.withColumnRenamed("id", "case_id"))
-    return d.select("query_id", "case_id", F.round(F.col("shared") / (F.col("n_query") + F.col("n_case") - F.col("shared")), 6).alias("jaccard"))
+    """query_id, case_set (smallest case id of the cards with the same signals), n_cases, jaccard: sets that share a signal."""
+    qs, cs = _sets(queries, "query_id"), _sets(cards.withColumnRenamed("id", "case_id"), "case_id")
+    classes = cs.groupBy(F.col("set").alias("cset")).agg(F.min("case_id").alias("case_set"), F.count("*").alias("n_cases"))
+    d = overlaps(qs, cs).join(classes, "cset").join(qs.select("query_id", F.col("set").alias("qset")), "qset")
+    return d.select("query_id", "case_set", "n_cases", F.round(F.col("shared") / (F.col("n_query") + F.col("n_case") - F.col("shared")), 6).alias("jaccard"))

@@ -428,7 +428,18 @@ def similar_cases(spark, d):
     return similarity.similar_cases(checkpointed(explain.log_queries(_t(spark, d, "log_lines"))), _t(spark, d, "case_cards"))
 
 
-@query("jaccard", f"with {TOKENS}, {PAIRS} select query_id, case_id, round(shared / (n_query + n_case - shared)::double, 6) jaccard from pr2")
+@query("similar_cards", """with c as (select id, source_path, chunk_id, root_cause, fix_summary, list_distinct(list_transform(list_filter(signals, lambda s: s is not null), lambda s: lower(s))) s, list_distinct(list_transform(coalesce(related_files, []), lambda s: lower(s))) f from case_cards where len(signals) > 0),
+c1 as (select id, len(s) n, unnest(s) g from c), p as (select a.id q, b.id k, any_value(a.n) nq, any_value(b.n) nc, count(*) shared from c1 a join c1 b using (g) where a.id % 20 = 0 group by 1, 2),
+s1 as (select q, k, round(least(1.0, shared / greatest(nq, nc)::double + 0.2 * len(list_intersect(a.f, b.f))), 6) score from p join c a on a.id = q join c b on b.id = k),
+sib as (select * from (select source_path, root_cause src_rc, fix_summary src_fs, row_number() over (partition by source_path order by chunk_id nulls first, id) rn from case_cards where source_path is not null and (root_cause is not null or fix_summary is not null)) where rn = 1)
+select q query_id, cast(place as int) place, k case_id, score, case when c.root_cause is null and c.fix_summary is null then src_rc else c.root_cause end root_cause, case when c.root_cause is null and c.fix_summary is null then src_fs else c.fix_summary end fix_summary
+from (select *, row_number() over (partition by q order by score desc, k) place from s1 where score >= 0.3) b join case_cards c on c.id = k left join sib on sib.source_path = c.source_path where place <= 3""")
+def similar_cards(spark, d):
+    c = _t(spark, d, "case_cards")
+    return similarity.similar_cases(c.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "signals", F.col("related_files").alias("files")), c)
+
+
+@query("jaccard", f"with {TOKENS}, {PAIRS} select query_id, min(case_id) case_set, count(*) n_cases, jaccard from (select query_id, case_id, list_sort(s) ss, round(shared / (n_query + n_case - shared)::double, 6) jaccard from pr2 join cs using (case_id)) group by query_id, ss, jaccard")
 def jaccard(spark, d):
     return similarity.jaccard(explain.log_queries(_t(spark, d, "log_lines")), _t(spark, d, "case_cards"))
 
@@ -599,9 +610,9 @@ def error_signatures(spark, d):
 
 
 def _as_diffs(spark, d) -> DataFrame:
-    """Changed files of a day as one change."""
+    """The files of a client in a snapshot as one change."""
     a = _t(spark, d, "artifacts").filter("text_content is not null")
-    return a.select(F.date_format("loaded_at", "yyyy-MM-dd").alias("change_id"), F.col("id").alias("ord"), F.col("path").alias("file"), F.col("text_content").alias("diff"))
+    return a.select(F.concat_ws("/", "snapshot_no", F.substring(F.substring_index("path", "/", -1), 1, 4)).alias("change_id"), F.col("id").alias("ord"), F.col("path").alias("file"), F.col("text_content").alias("diff"))
 
 
 @query("diff_cap")
