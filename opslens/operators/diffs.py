@@ -27,9 +27,10 @@ def capped_diffs(diffs: DataFrame, suffixes: tuple[str, ...] = CODE_SUFFIXES, ma
     may still fit, so the sizes (not the texts) of a change are folded in order.
     """
     suffix = F.when(F.contains("file", F.lit(".")), F.lower(F.substring_index("file", ".", -1))).otherwise("")
+    diffs = diffs.withColumn("diff", F.coalesce("diff", F.lit("")))
     size = F.least(F.length("diff"), F.lit(max_file))
     kind = F.when(~suffix.isin(*suffixes), "other_type").when(F.trim(F.translate("diff", "\n\t\r", "   ")) == "", "empty").when(F.length("diff") > max_file, "truncated").otherwise("taken")
-    rows = diffs.select("change_id", "ord", "file", F.coalesce(size, F.lit(0)).alias("size"), F.coalesce(kind, F.lit("empty")).alias("kind"))
+    rows = diffs.select("change_id", "ord", "file", size.alias("size"), F.coalesce(kind, F.lit("other_type")).alias("kind"))
     start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<ord:bigint,file:string,size:int,state:string>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

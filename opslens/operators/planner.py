@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.textexpr import base_name, found, found_all
 from opslens.operators.graph import distinct_edges, mentions
+from opslens.runtime import checkpointed
 
 # Words that are no keywords, and the patterns of titles and control files.
 STOPWORDS = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "has", "have", "had", "not", "but", "its", "our", "all", "new", "update", "letter", "monthly", "daily", "weekly", "run", "job")
@@ -81,7 +82,8 @@ def build_bundles(candidates: DataFrame, intents: DataFrame, nodes: DataFrame, e
 
     ``procs``: proc_name, file_setup, parsed_json; ``files``: path, kind, text_content, one row per path.
     """
-    c = candidates.join(intents, "intent_id").select("intent_id", "proc_name", "node_id", "cid", "job_id", "letter_number")
+    # eight branches read the candidates, and the late ones the files of the early ones
+    c = checkpointed(candidates.join(intents, "intent_id").select("intent_id", "proc_name", "node_id", "cid", "job_id", "letter_number"))
     key = c.select("intent_id", "proc_name", "node_id", F.coalesce("cid", F.substring("proc_name", 1, 4)).alias("cid"), "letter_number")
     out = _add(None, c.select("intent_id", "proc_name", F.concat(F.lit("procs/"), F.col("proc_name"), F.lit(".procs")).alias("path")), 1, "procs", "proc_file")
 
@@ -115,6 +117,8 @@ def build_bundles(candidates: DataFrame, intents: DataFrame, nodes: DataFrame, e
     out = _add(out, resolved.filter("from = 51"), 5, "docdef", "control_format_dfa")
     out = _add(out, resolved.filter("from = 52"), 5, "docdef", "procs_dfa_token")
 
+    out = checkpointed(out.distinct())
+
     scripts = files.filter("kind = 'script'").select("path")
     helper = scripts.filter("path like 'master/%'").select("path", F.regexp_extract("path", r"^master/(.*)$", 1).alias("rest"))
     helper = helper.select("path", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("k"), "rest").filter("substring(rest, k + 1, 1) = '_'").select("path", F.expr("left(rest, k)").alias("proc_name"))
@@ -130,7 +134,7 @@ def build_bundles(candidates: DataFrame, intents: DataFrame, nodes: DataFrame, e
     # the late steps add a path once, and only if none of the early ones has it
     late = late.join(out.select("intent_id", "proc_name", "path").distinct(), ["intent_id", "proc_name", "path"], "left_anti")
     late = late.groupBy("intent_id", "proc_name", "path", "kind").agg(F.min(F.struct("step", "source")).alias("f")).select("intent_id", "proc_name", "path", "kind", "f.source", "f.step")
-    return out.distinct().unionByName(late)
+    return out.unionByName(late)
 
 
 def score_candidates(candidates: DataFrame, bundles: DataFrame, intents: DataFrame, procs: DataFrame, top: int = 5) -> DataFrame:

@@ -14,6 +14,7 @@ def scan(spark: SparkSession, root: str, dirs: tuple[str, ...] = SCAN_DIRS) -> D
     """path (relative), kind, mtime, size, text_content, sha256 of the files below the scanned folders.
 
     Text is kept of small text files that are valid UTF-8; the hash only where text is kept.
+    Spark's file sources leave empty files out.
     """
     root = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{{{','.join(dirs)}}}")
