@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from opslens.functions.textexpr import base_name
 from opslens.operators.graph import scripts_run_by
 from opslens.operators.log_signals import log_tokens, path_features
+from opslens.runtime import checkpointed
 
 # Points of each strategy in tenths, and the points of a full match.
 PREFIX_EXACT, PREFIX_PARTIAL, SCRIPT, PATH_EXACT, PATH_BASE, PATH_PARTIAL, JID, CID = 20, 15, 12, 10, 9, 7, 5, 3
@@ -38,22 +39,26 @@ def _by_part(tokens: DataFrame, procs: DataFrame) -> DataFrame:
     return tokens.join(cuts.join(wanted, "token"), "token")
 
 
-def _names(lines: DataFrame, kind: str) -> DataFrame:
-    return log_tokens(lines).filter(F.col("kind") == kind).select("log_path", "token")
+def _names(tokens: DataFrame, kind: str) -> DataFrame:
+    return tokens.filter(F.col("kind") == kind).select("log_path", "token")
 
 
-def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """log_path, node_id, strategy, token, points (tenths): everything that speaks for a node."""
+def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """log_path, node_id, strategy, token, points (tenths): everything that speaks for a node.
+
+    ``tokens`` are those of the lines if they are at hand; the lines are then read for their paths only.
+    """
+    tokens = checkpointed(log_tokens(lines)) if tokens is None else tokens
     procs = _procs(nodes)
     exact = procs.select("node_id", F.lower("name").alias("token"))
 
     def hits(d: DataFrame, strategy: str, points: int) -> DataFrame:
         return d.select("log_path", "node_id", F.lit(strategy).alias("strategy"), "token", F.lit(points).alias("points"))
 
-    prefix = _names(lines, "prefix")
+    prefix = _names(tokens, "prefix")
     prefix_exact = prefix.join(exact, "token")
     rest = prefix.join(exact.select("token").distinct(), "token", "left_anti")
-    scripts = _names(lines, "script_path").select("log_path", base_name("token").alias("token")).distinct()
+    scripts = _names(tokens, "script_path").select("log_path", base_name("token").alias("token")).distinct()
     by_script = scripts.join(scripts_run_by(nodes, edges).select(F.col("script").alias("token"), F.col("proc_id").alias("node_id")).distinct(), "token")
     paths = path_features(lines)
     named = paths.filter("proc_name is not null").select("log_path", F.col("proc_name").alias("token"))
@@ -63,7 +68,7 @@ def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     cids = paths.filter("cid is not null").select("log_path", F.col("cid").alias("token"))
     parts = [
         hits(prefix_exact, "prefix_exact", PREFIX_EXACT), hits(_by_prefix(rest, procs), "prefix_partial", PREFIX_PARTIAL), hits(by_script, "script", SCRIPT), hits(by_name, "path_exact", PATH_EXACT),
-        hits(based, "path_base", PATH_BASE), hits(_by_prefix(open_paths, procs), "path_partial", PATH_PARTIAL), hits(_by_part(_names(lines, "jid"), procs), "jid", JID), hits(_by_prefix(cids, procs), "cid", CID),
+        hits(based, "path_base", PATH_BASE), hits(_by_prefix(open_paths, procs), "path_partial", PATH_PARTIAL), hits(_by_part(_names(tokens, "jid"), procs), "jid", JID), hits(_by_prefix(cids, procs), "cid", CID),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -71,9 +76,9 @@ def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     return out
 
 
-def match_logs(lines: DataFrame, nodes: DataFrame, edges: DataFrame, top: int = 1) -> DataFrame:
+def match_logs(lines: DataFrame, nodes: DataFrame, edges: DataFrame, top: int = 1, tokens: DataFrame | None = None) -> DataFrame:
     """log_path, place, node_id, key, points (tenths), confidence: the best ``top`` procs of each log, ties by node id."""
-    total = match_scores(lines, nodes, edges).groupBy("log_path", "node_id").agg(F.sum("points").alias("points"))
+    total = match_scores(lines, nodes, edges, tokens).groupBy("log_path", "node_id").agg(F.sum("points").alias("points"))
     order = Window.partitionBy("log_path").orderBy(F.desc("points"), "node_id")
     best = total.withColumn("place", F.row_number().over(order).cast("int")).filter(F.col("place") <= top)
     confidence = F.round(F.least(F.lit(1.0), F.col("points") / FULL), 4)

@@ -65,11 +65,12 @@ def best_codes(codes: DataFrame) -> DataFrame:
     return codes.filter("code is not null").groupBy("code").agg(F.max(F.struct("created_at", "source_path", "entry_id", "severity", "title", "body")).alias("m")).select("code", "m.*")
 
 
-def decode_log_codes(lines: DataFrame, codes: DataFrame, top: int = 10) -> DataFrame:
+def decode_log_codes(lines: DataFrame, codes: DataFrame, top: int = 10, tokens: DataFrame | None = None) -> DataFrame:
     """log_path, place, code, severity, title of the codes that a log shows and the manuals explain: fatal, error, other; ``top`` at most."""
     from pyspark.sql import Window
 
-    shown = log_tokens(lines).filter("kind = 'error_code'").select("log_path", F.col("token").alias("code"))
+    tokens = log_tokens(lines) if tokens is None else tokens
+    shown = tokens.filter("kind = 'error_code'").select("log_path", F.col("token").alias("code"))
     d = shown.filter(F.col("code").rlike(r"(?i)^(PP[A-Z]{2}\d{4}[A-Z]|AFPR\d{4}[A-Z])$")).join(best_codes(codes).select("code", "severity", "title"), "code")
     last = F.right("code", F.lit(1))
     rank = F.when(last == "F", 0).when(last == "E", 1).otherwise(2)

@@ -12,6 +12,7 @@ from opslens.operators.log_signals import line_signals, log_tokens
 from opslens.operators.matching import match_logs
 from opslens.operators.similarity import similar_cases
 from opslens.operators.store import decode_log_codes
+from opslens.runtime import checkpointed
 
 #: Evidence lines and their length, and lines of a pack.
 MAX_EVIDENCE, MAX_CHARS, MAX_LINES = 8, 120, 200
@@ -27,22 +28,23 @@ def evidence(lines: DataFrame, top: int = MAX_EVIDENCE) -> DataFrame:
     return s.withColumn("ord", place).filter(F.col("ord") <= top).select("log_path", "ord", F.concat(F.lit("L"), F.col("line_no"), F.lit(" "), F.col("severity"), F.lit(" "), F.col("m")).alias("text"))
 
 
-def log_queries(lines: DataFrame) -> DataFrame:
-    """query_id (the log), signals and files: what a log is compared to past cases by."""
-    codes = log_tokens(lines).filter("kind = 'error_code'").groupBy("log_path").agg(F.array_sort(F.collect_set("token")).alias("signals"))
+def log_queries(tokens: DataFrame) -> DataFrame:
+    """query_id (the log), signals and files: what a log is compared to past cases by (tokens of the logs)."""
+    codes = tokens.filter("kind = 'error_code'").groupBy("log_path").agg(F.array_sort(F.collect_set("token")).alias("signals"))
     return codes.select(F.col("log_path").alias("query_id"), "signals", F.array().cast("array<string>").alias("files"))
 
 
 def explain_rows(lines: DataFrame, nodes: DataFrame, edges: DataFrame, codes: DataFrame, cards: DataFrame) -> DataFrame:
     """log_path, section, ord, text: the lines of each log's context pack."""
-    best = match_logs(lines, nodes, edges)
+    tokens = checkpointed(log_tokens(lines))  # four sections read them
+    best = checkpointed(match_logs(lines, nodes, edges, tokens=tokens))
     one = best.select("log_path", F.lit(1).alias("section"), F.lit(1).alias("ord"), F.concat("key", F.lit(" ("), F.format_string("%.2f", "confidence"), F.lit(")")).alias("text"))
     two = evidence(lines).select("log_path", F.lit(2).alias("section"), "ord", "text")
-    three = decode_log_codes(lines, codes).select("log_path", F.lit(3).alias("section"), F.col("place").alias("ord"), F.concat_ws(" ", "code", "title").alias("text"))
+    three = decode_log_codes(lines, codes, tokens=tokens).select("log_path", F.lit(3).alias("section"), F.col("place").alias("ord"), F.concat_ws(" ", "code", "title").alias("text"))
     four = hypotheses(lines).select("log_path", F.lit(4).alias("section"), F.col("place").alias("ord"), F.concat("hypothesis", F.lit(" | "), "evidence").alias("text"))
     near = neighbours(nodes, edges).join(best.select("log_path", "node_id"), "node_id")
     five = near.groupBy("log_path", "direction").agg(F.count("*").alias("n")).select("log_path", F.lit(5).alias("section"), F.when(F.col("direction") == "upstream", 1).otherwise(2).alias("ord"), F.concat("direction", F.lit(": "), F.col("n")).alias("text"))
-    six = similar_cases(log_queries(lines), cards).select(F.col("query_id").alias("log_path"), F.lit(6).alias("section"), F.col("place").alias("ord"), F.concat(F.lit("case "), F.col("case_id"), F.lit(" score "), F.format_string("%.3f", "score")).alias("text"))
+    six = similar_cases(log_queries(tokens), cards).select(F.col("query_id").alias("log_path"), F.lit(6).alias("section"), F.col("place").alias("ord"), F.concat(F.lit("case "), F.col("case_id"), F.lit(" score "), F.format_string("%.3f", "score")).alias("text"))
     out = one
     for part in (two, three, four, five, six):
         out = out.unionByName(part)

@@ -425,7 +425,7 @@ b as (select * from (select *, row_number() over (partition by query_id order by
 select query_id, cast(place as int) place, case_id, score, case when c.root_cause is null and c.fix_summary is null then src_rc else c.root_cause end root_cause, case when c.root_cause is null and c.fix_summary is null then src_fs else c.fix_summary end fix_summary
 from b join case_cards c on c.id = case_id left join sib on sib.source_path = c.source_path""")
 def similar_cases(spark, d):
-    return similarity.similar_cases(checkpointed(explain.log_queries(_t(spark, d, "log_lines"))), _t(spark, d, "case_cards"))
+    return similarity.similar_cases(checkpointed(explain.log_queries(log_signals.log_tokens(_t(spark, d, "log_lines")))), _t(spark, d, "case_cards"))
 
 
 @query("similar_cards", """with c as (select id, source_path, chunk_id, root_cause, fix_summary, list_distinct(list_transform(list_filter(signals, lambda s: s is not null), lambda s: lower(s))) s, list_distinct(list_transform(coalesce(related_files, []), lambda s: lower(s))) f from case_cards where len(signals) > 0),
@@ -441,7 +441,7 @@ def similar_cards(spark, d):
 
 @query("jaccard", f"with {TOKENS}, {PAIRS} select query_id, min(case_id) case_set, count(*) n_cases, jaccard from (select query_id, case_id, list_sort(s) ss, round(shared / (n_query + n_case - shared)::double, 6) jaccard from pr2 join cs using (case_id)) group by query_id, ss, jaccard")
 def jaccard(spark, d):
-    return similarity.jaccard(explain.log_queries(_t(spark, d, "log_lines")), _t(spark, d, "case_cards"))
+    return similarity.jaccard(explain.log_queries(log_signals.log_tokens(_t(spark, d, "log_lines"))), _t(spark, d, "case_cards"))
 
 
 _STOP = ", ".join(map(q, planner.STOPWORDS))
