@@ -147,6 +147,10 @@ def word_cost(word: str) -> float:
         prev = c if letters[i] else ""
     if len(scripts) > 1:
         cost += 3.0
+    if n > 2 and not scripts:  # frames repeat their lines; a word read as signs does not
+        signs = [c for c in word if ord(c) >= 0x2200]
+        if len(set(signs)) > 2 and 2 * sum(c in "─═━│║" for c in signs) < len(signs):
+            cost += 0.5 * len(signs)
     if scripts == {"C"} and n > 3 and word.isupper():
         cost += 0.25 * n if sum(c in _RARE_RUSSIAN for c in word) * 4 > n else 0.1 * n
     return cost
