@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from opslens.runtime import checkpointed
 
 #: Links that one task follows in memory.
-BASE_ROWS = 400_000
+BASE_ROWS = 100_000
 
 _FRAGMENT = "rel string, node long, exit long, steps int, low long, looped boolean, way array<long>"
 
