@@ -16,7 +16,7 @@ def report_header(reports: DataFrame) -> DataFrame:
     """report_id, description, parallel_id, files of reports (report_id, text): numbered lines behind 'Files:' up to a line with '*'."""
     t = F.col("text")
     block = F.regexp_extract(t, r"(?m)^\s*Files:[ \t]*\n((?:(?!\s*\*).*(?:\n|\z))*)", 1)
-    files = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^\s*\d+\)\s*(.+?)\s*$"), F.lit(1)), F.trim)
+    files = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^\s*\d+\)\s*(.+?)\s*$"), F.lit(1)), lambda x: F.trim(x))
     return reports.select("report_id", F.trim(F.coalesce(found(t, r"(?m)^\s*Description:\s*(.+)$"), F.lit(""))).alias("description"), F.coalesce(found(t, r"(?m)^\s*Parallel ID:\s*(\S+)"), F.lit("")).alias("parallel_id"), files.alias("files"))
 
 

@@ -64,7 +64,7 @@ def title_of(text: Column) -> Column:
     """The first heading within five lines, else the first of three lines that reads as a title; 100 characters at most."""
     lines = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n")
     heading = F.filter(F.transform(F.filter(F.slice(lines, 1, 5), lambda x: x.startswith("#")), lambda x: F.trim(F.ltrim(x, F.lit("#")))), lambda x: x != "")
-    plain = F.filter(F.transform(F.slice(lines, 1, 3), F.trim), lambda x: (x != "") & (F.length(x) < 100) & ~x.startswith("```") & ~x.startswith("---") & ~x.startswith("_**"))
+    plain = F.filter(F.transform(F.slice(lines, 1, 3), lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) < 100) & ~x.startswith("```") & ~x.startswith("---") & ~x.startswith("_**"))
     return F.coalesce(F.substring(F.get(heading, F.lit(0)), 1, 100), F.get(plain, F.lit(0)))
 
 

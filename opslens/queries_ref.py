@@ -101,8 +101,12 @@ def log_path_features(spark, d):
     return log_signals.path_features(_t(spark, d, "log_lines"))
 
 
-@query("redact_pii", rf"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {q(EMAIL)}, '[EMAIL]', 'g'), {q(PHONE)}, '[PHONE]', 'g'), {q(SSN)}, '[SSN]', 'g'),
-  {q(rf"\b({DATE_TOKEN})\b")}, 'qzKq\1qKzq', 'g'), '\b\d{{8,16}}\b', '[ACCT]', 'g'), 'qzKq(\d+)qKzq', '\1', 'g') as text from documents""")
+def _redact_sql(c: str) -> str:
+    return rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, {q(EMAIL)}, '[EMAIL]', 'g'), {q(PHONE)}, '[PHONE]', 'g'), {q(SSN)}, '[SSN]', 'g'),
+  {q(rf"\b({DATE_TOKEN})\b")}, 'qzKq\1qKzq', 'g'), '\b\d{{8,16}}\b', '[ACCT]', 'g'), 'qzKq(\d+)qKzq', '\1', 'g')"""
+
+
+@query("redact_pii", f"select doc_id, {_redact_sql('text')} as text from documents")
 def redact_pii(spark, d):
     return _t(spark, d, "documents").select("doc_id", redact("text").alias("text"))
 
@@ -518,10 +522,12 @@ def plan_score(spark, d):
     return planner.score_candidates(candidates, bundles, intents, fields)
 
 
-@query("diagram_edges")
+@query("diagram_edges", f"""with {BUNDLES}, ins as (select distinct proc_name, split_part(path, '/', -1) as name from bundle where kind = 'script')
+select distinct proc_name, proc_name src, split_part(path, '/', -1) dst, case kind when 'script' then 'RUNS' when 'insert' then 'READS' when 'control' then 'control' when 'docdef' then 'dfa' end as label from bundle where kind in ('script', 'insert', 'control', 'docdef')
+union select a.proc_name, caller, callee, 'calls' from mt join ins a on a.name = caller join ins b on b.name = callee and b.proc_name = a.proc_name""")
 def diagram_edges(spark, d):
     intents, candidates, nodes, edges, fields, files = _plan_inputs(spark, d)
-    bundles = planner.build_bundles(candidates.filter("exact"), intents, nodes, edges, fields, files)
+    bundles = checkpointed(planner.build_bundles(candidates, intents, nodes, edges, fields, files))
     return graph.diagram_edges(bundles, graph.mentions(files.filter("kind = 'script'")))
 
 
@@ -584,7 +590,25 @@ def _manuals(spark, d) -> DataFrame:
     return m.select(F.concat_ws("#", "source_path", "entry_id").alias("source_path"), text.alias("text"))
 
 
-@query("code_definitions")
+def _flat_sql(c: str) -> str:
+    """A text on one line."""
+    return rf"regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+
+
+_NOISE = "|".join(f"(?:{p})" for p in code_manual.NOISE)
+
+
+@query("code_definitions", rf"""with mn as (select source_path || '#' || entry_id source_path, concat_ws(chr(10), concat_ws('  ', code, title), body, '1.2 Next section', 'text behind the section') t from message_codes),
+pt as (select source_path, unnest(p[2:]) part, generate_subscripts(p[2:], 1) pos from (select source_path, string_split(regexp_replace(t, {q("(^|[\n\r\f])[ \t]*" + log_signals.MESSAGE_CODE)}, chr(2) || '\2' || chr(3), 'g'), chr(2)) p from mn)),
+ls as (select source_path, pos, split_part(part, chr(3), 1) code, list_filter(list_transform(string_split(left(split_part(part, chr(3), -1), {code_manual.MAX_BODY}), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' and not regexp_matches(x, {q(_NOISE)})) l from pt),
+kp as (select source_path, pos, code, case when stop > 0 then l[:stop - 1] else l end l from (select *, coalesce(list_position(list_transform(l, lambda x: regexp_matches(x, {q(code_manual.SECTION)}) or regexp_matches(x, {q(code_manual.CROSS_REFERENCE)})), true), 0) stop from ls)),
+bd as (select source_path, pos, code, case when first <> '' and length(first) < 120 then first end title, array_to_string(l, chr(10)) w from (select *, regexp_replace(l[1], '^[\s\-:]+', '') as first from kp where len(l) > 0)),
+sc as (select *, cast(case when contains(lower(w), 'reason:') then 300 else 0 end + case when contains(lower(w), 'solution:') then 300 else 0 end + case when title is not null then 100 else 0 end + least(length(w), 500) as int) score,
+  nullif(regexp_extract(w, '(?is)Reason:\s*(.+?)(?:Solution:|\z)', 1), '') rs, nullif(regexp_extract(w, '(?is)Solution:\s*(.+?)(?:Reason:|\z)', 1), '') so,
+  least(nullif(instr(lower(w), 'reason:'), 0), nullif(instr(lower(w), 'solution:'), 0)) - 1 f from bd where w <> ''),
+sh as (select *, case when rs is not null or so is not null then concat_ws(chr(10), case when f > 10 then nullif(left({_flat_sql("left(w, cast(f as int))")}, 200), '') end, 'Reason: ' || left({_flat_sql("rs")}, 300), 'Solution: ' || left({_flat_sql("so")}, 300)) else {_flat_sql("w")} end b from sc)
+select source_path, code, case when upper(right(code, 1)) in ('I', 'W', 'E', 'F') then upper(right(code, 1)) else 'I' end severity, title, case when length(b) > {code_manual.MAX_SHOWN} then left(b, {code_manual.MAX_SHOWN}) || '...' else b end body, score
+from (select *, row_number() over (partition by source_path, code order by score desc, pos) n from sh) where n = 1""")
 def code_definitions(spark, d):
     return code_manual.code_entries(_manuals(spark, d))
 
@@ -594,14 +618,48 @@ def code_severity(spark, d):
     return _t(spark, d, "message_codes").select("entry_id", code_manual.severity_of(F.col("code")).alias("severity"))
 
 
-@query("chunking")
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+CHUNKS = rf"""ln as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 i from documents),
+fl as (select *, starts_with(ltrim(line), '```') fence, trim(line, chr(9) || chr(13) || ' ') = '' blank_line, regexp_matches(line, {q(history.SESSION)}) or regexp_matches(line, {q(history.TURN)}) or starts_with(line, '# ') or starts_with(line, '## ') named from ln),
+st as (select doc_id, i, fence code, case when fence or named then 0 when blank_line then 1 else 0 end blank, 0 as start_line from fl where i = 0
+  union all select doc_id, i, code, case when cuts then 0 else blank end, case when cuts then i else start_line end from (select *, not code and (named or (blank_line and blank >= 3)) cuts from
+   (select f.doc_id, f.i, f.named, f.blank_line, st.start_line, (f.fence <> st.code) code, case when (f.fence <> st.code) or f.named then st.blank when f.blank_line then st.blank + 1 else 0 end blank from st join fl f on f.doc_id = st.doc_id and f.i = st.i + 1))),
+ck as (select st.doc_id, cast(start_line as bigint) chunk_id, string_agg(line, chr(10) order by st.i) chunk from st join ln on ln.doc_id = st.doc_id and ln.i = st.i group by 1, 2)"""
+
+
+@query("chunking", f"with recursive {CHUNKS} select doc_id, chunk_id, chunk from ck where regexp_matches(chunk, '\\S')")
 def chunking(spark, d):
     return history.chunks(_t(spark, d, "documents"))
 
 
-@query("case_cards")
+def _ordered(expr: str) -> str:
+    return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
+
+
+def _cards_of_history_sql() -> str:
+    signatures = "list_concat(" + ", ".join(f"regexp_extract_all(t, {q(p)}, 0)" for p in log_signals.ERROR_SIGNATURES) + ")"
+    shell = f"list_transform(regexp_extract_all(t, {q(history.SHELL)}, 0), lambda c: case when length(regexp_replace(c, '^\\s+|\\s+$', '', 'g')) > 200 then left(regexp_replace(c, '^\\s+|\\s+$', '', 'g'), 200) || '...' else regexp_replace(c, '^\\s+|\\s+$', '', 'g') end)"
+    paths = f"list_filter(list_transform(regexp_extract_all(t, {q(history.FILE_PATH)}, 1), lambda p: rtrim(p, '.,;:)]}}')), lambda p: length(p) > 5)"
+    re2 = lambda p: q(p.replace("(?iu)", "(?i)").replace("(?isu)", "(?is)").replace(r"(?=\n##|\z)", r"(?:\n##|\z)"))
+    first = lambda ps: "left(coalesce(" + ", ".join(f"trim(nullif(regexp_extract(t, {re2(p)}, 1), ''))" for p in ps) + "), 200)"
+    section = lambda p: f"left(trim(nullif(regexp_extract(coalesce(text, ''), {re2(p)}, 1), '')), 300)"
+    tag = lambda name, col, test: f"case when len(list_filter({col}, lambda x: {test})) > 0 then '{name}' end"
+    tags = ", ".join((tag("oracle", "sg", "contains(x, 'ORA-')"), tag("perl", "pa", "contains(x, '.pl')"), tag("shell", "pa", "contains(x, '.sh')"), tag("docdef", "pa", "contains(x, '.dfa')"), tag("csv", "sg", "contains(lower(x), 'csv')")))
+    return f"""with recursive {CHUNKS}, tx as (select doc_id, chunk_id, {_redact_sql("chunk")} t from ck where regexp_matches(chunk, '\\S')),
+x1 as (select doc_id, chunk_id, t, {signatures} s0, {shell} c0, {paths} p0, string_split(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), chr(10)) tl from tx),
+x2 as (select doc_id, chunk_id, t, tl, {_ordered("s0")} sg, {_ordered("c0")}[:10] cm, {_ordered("p0")}[:20] pa from x1),
+fs as (select doc_id, {section(history.CAUSE_SECTION)} fc, {section(history.FIX_SECTION)} ff from documents)
+select doc_id, chunk_id, left(sha256(t), 16) content_hash,
+  coalesce(left(list_filter(list_transform(list_filter(tl[:5], lambda x: starts_with(x, '#')), lambda x: trim(ltrim(x, '#'))), lambda x: x <> '')[1], 100), list_filter(list_transform(tl[:3], lambda x: trim(x)), lambda x: x <> '' and length(x) < 100 and not starts_with(x, '```') and not starts_with(x, '---') and not starts_with(x, '_**'))[1]) title,
+  array_to_string(sg, '|') signals, array_to_string(cm, '|') verify_commands, array_to_string(pa, '|') related_files,
+  coalesce({first(history.CAUSE)}, case when len(sg) > 0 then fc end) root_cause, coalesce({first(history.FIX)}, case when len(sg) > 0 then ff end) fix_summary, array_to_string(list_filter([{tags}], lambda x: x is not null), '|') tags
+from x2 left join fs using (doc_id) where len(sg) > 0 or len(cm) > 0 or len(pa) > 0"""
+
+
+@query("case_cards", _cards_of_history_sql())
 def case_cards(spark, d):
-    return history.case_cards(_t(spark, d, "documents"), redacted=True)
+    c = history.case_cards(_t(spark, d, "documents"), redacted=True)
+    return c.withColumns({n: F.array_join(n, "|") for n in ("signals", "verify_commands", "related_files", "tags")})
 
 
 @query("error_signatures", "select doc_id, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), '|') signals from (select doc_id, list_concat(" + ", ".join(f"regexp_extract_all(coalesce(text, ''), {q(p)}, 0)" for p in log_signals.ERROR_SIGNATURES) + ") s from documents)")
@@ -615,12 +673,24 @@ def _as_diffs(spark, d) -> DataFrame:
     return a.select(F.concat_ws("/", "snapshot_no", F.substring(F.substring_index("path", "/", -1), 1, 4)).alias("change_id"), F.col("id").alias("ord"), F.col("path").alias("file"), F.col("text_content").alias("diff"))
 
 
-@query("diff_cap")
+_CHANGES = "ch as (select cast(snapshot_no as varchar) || '/' || left(split_part(path, '/', -1), 4) change_id, id ord, path file, text_content diff from artifacts where text_content is not null)"
+
+
+@query("diff_cap", f"""with recursive {_CHANGES}, k as (select *, cast(least(length(diff), {diffs.MAX_FILE}) as int) size, case when (case when contains(file, '.') then lower(split_part(file, '.', -1)) else '' end) not in ({", ".join(map(q, diffs.CODE_SUFFIXES))}) then 'other_type'
+  when trim(diff, chr(10) || chr(9) || chr(13) || ' ') = '' then 'empty' when length(diff) > {diffs.MAX_FILE} then 'truncated' else 'taken' end kind, row_number() over (partition by change_id order by ord, file) n from ch),
+f as (select change_id, n, ord, file, size, case when kind in ('taken', 'truncated') and size > {diffs.MAX_TOTAL} then 'over_total' else kind end as state, cast(case when kind in ('taken', 'truncated') and size <= {diffs.MAX_TOTAL} then size else 0 end as bigint) total from k where n = 1
+  union all select k.change_id, k.n, k.ord, k.file, k.size, case when k.kind in ('taken', 'truncated') and f.total + k.size > {diffs.MAX_TOTAL} then 'over_total' else k.kind end, f.total + case when k.kind in ('taken', 'truncated') and f.total + k.size <= {diffs.MAX_TOTAL} then k.size else 0 end
+  from f join k on k.change_id = f.change_id and k.n = f.n + 1) select change_id, ord, file, size, state from f""")
 def diff_cap(spark, d):
     return diffs.capped_diffs(_as_diffs(spark, d))
 
 
-@query("explain_pack")
+@query("explain_pack", rf"""with m as ({SQL["node_match"]}), ev as (with {SIGNALS} select log_path, 2 section, cast(ord as int) ord, 'L' || line_no || ' ' || severity || ' ' || c as text from (select *, row_number() over (partition by log_path order by case severity when 'F' then 0 else 1 end, line_no, c) ord
+  from (select distinct log_path, line_no, severity, case when length(m) > {explain.MAX_CHARS} then left(m, {explain.MAX_CHARS}) || '...' else m end c from sig where severity in ('F', 'E'))) where ord <= {explain.MAX_EVIDENCE}), nr as (with {NEAR} select * from near)
+select log_path, 1 section, 1 ord, key || ' (' || printf('%.2f', confidence) || ')' as text from m union all select * from ev
+union all select log_path, 3, place, concat_ws(' ', code, title) from ({SQL["code_lookup"]}) union all select log_path, 4, place, hypothesis || ' | ' || evidence from ({SQL["hypotheses_topk"]})
+union all select log_path, 5, case direction when 'upstream' then 1 else 2 end, direction || ': ' || count(*) from nr join m using (node_id) group by log_path, direction
+union all select query_id, 6, place, 'case ' || case_id || ' score ' || printf('%.3f', score) from ({SQL["similar_cases"]})""")
 def explain_pack(spark, d):
     lines = _t(spark, d, "log_lines")
     return explain.explain_rows(lines, _t(spark, d, "nodes"), _t(spark, d, "edges"), _t(spark, d, "message_codes"), _t(spark, d, "case_cards"))
