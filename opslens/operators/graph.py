@@ -9,9 +9,10 @@ from opslens.functions.textexpr import base_name
 from opslens.operators.procs import parse_procs
 
 
-def first_by(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    """One row per key: the first by an order (get-or-create)."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__n = 1").drop("__n")
+def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the first by an order (get-or-create). Partial aggregation, so a hot key gathers nowhere."""
+    rest = [*order, *[c for c in df.columns if c not in key and c not in order]]
+    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__r")).select(*key, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
 def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,11 +21,11 @@ def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     A script is known by its base name; the first file that names it (by path) gives its path.
     """
     p = parse_procs(files).withColumn("proc_name", F.regexp_replace(F.lower(base_name("path")), r"\.procs$", ""))
-    p = first_by(p, ["proc_name"], [F.col("path"), F.col("id")])
+    p = first_by(p, ["proc_name"], ["path", "id"])
     title = F.concat(F.upper(F.coalesce("cid", F.substring("proc_name", 1, 4))), F.lit(" - "), F.col("app_type"))
     procs = p.select(F.concat(F.lit("proc:"), F.col("proc_name")).alias("key"), F.lit("proc").alias("type"), title.alias("display_name"), F.concat(F.lit("/home/procs/"), F.col("proc_name"), F.lit(".procs")).alias("original_path"))
     runs = p.filter("shell_script is not null").select(F.concat(F.lit("proc:"), F.col("proc_name")).alias("src_key"), base_name("shell_script").alias("script"), "shell_script", F.col("path").alias("file"), F.col("shell_script_line").alias("line_no"))
-    scripts = first_by(runs, ["script"], [F.col("file"), F.col("line_no")]).select(F.concat(F.lit("script:"), F.col("script")).alias("key"), F.lit("script").alias("type"), F.col("script").alias("display_name"), F.col("shell_script").alias("original_path"))
+    scripts = first_by(runs, ["script"], ["file", "line_no"]).select(F.concat(F.lit("script:"), F.col("script")).alias("key"), F.lit("script").alias("type"), F.col("script").alias("display_name"), F.col("shell_script").alias("original_path"))
     edges = runs.select("src_key", F.concat(F.lit("script:"), F.col("script")).alias("dst_key"), "file", "line_no")
     return procs.unionByName(scripts), edges
 
