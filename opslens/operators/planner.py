@@ -147,3 +147,22 @@ def score_candidates(candidates: DataFrame, bundles: DataFrame, intents: DataFra
     score = F.when(F.col("exact"), POINTS["exact_key"]).otherwise(0) + F.when(F.startswith("proc_name", F.col("cid")), POINTS["cid_prefix"]).otherwise(0) + sum((F.coalesce(k, F.lit(0)) for k in ("script", "insert", "control", "docdef")), F.lit(0)) + phrase + keyword
     d = d.withColumn("score", score.cast("int"))
     return d.withColumn("place", F.row_number().over(Window.partitionBy("intent_id").orderBy(F.desc("score"), "proc_name")).cast("int")).filter(F.col("place") <= top).select("intent_id", "place", "proc_name", "score")
+
+
+#: Files of each kind among the entry points of a bundle.
+ENTRY_POINTS = (("script", 3), ("control", 2), ("docdef", 1))
+
+
+def scope_summary(bundles: DataFrame) -> DataFrame:
+    """intent_id, proc_name, the number of files of each kind, and entry_points (paths joined by '|')."""
+    kinds = ("procs", "script", "insert", "control", "docdef")
+    files = bundles.groupBy("intent_id", "proc_name", "path", "kind").agg(F.min("step").alias("step"))
+    counts = files.groupBy("intent_id", "proc_name").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds], F.count("*").alias("n_files"))
+    order = F.lit(None).cast("int")
+    keep = F.lit(0)
+    for i, (kind, n) in enumerate(ENTRY_POINTS):
+        order, keep = F.when(F.col("kind") == kind, i).otherwise(order), F.when(F.col("kind") == kind, n).otherwise(keep)
+    place = F.row_number().over(Window.partitionBy("intent_id", "proc_name", "kind").orderBy("step", "path"))
+    first = files.withColumn("place", place).filter(F.col("place") <= keep)
+    points = first.groupBy("intent_id", "proc_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "place", "path"))), lambda x: x["path"]), "|").alias("entry_points"))
+    return counts.join(points, ["intent_id", "proc_name"], "left").fillna("", ["entry_points"])

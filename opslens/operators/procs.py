@@ -52,3 +52,12 @@ def with_json(procs: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.procs$", "")
     kept = [c for c in procs.columns if c not in ("id", "path")]
     return procs.select(name.alias("proc_name"), "file_setup", F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}).alias("parsed_json"))
+
+
+# Fixed value: folders whose absolute paths are taken from any text.
+ANY_PATH = r"(/(?:home|d|z|download|ftpbu|backup|afp2web)/[^\s,;\"'<>()]+)"
+
+
+def absolute_paths(text: Column) -> Column:
+    """The distinct absolute paths of a text, in order."""
+    return clean_paths(found_all(text, ANY_PATH))

@@ -180,3 +180,31 @@ def blend(files: DataFrame, codes: DataFrame, cards: DataFrame, text: str, limit
     hits = search_like(files, text, n_file)
     hits = hits.withColumn("n", F.row_number().over(Window.orderBy(F.desc("in_path"), "path", "id")) + n_know).select(F.lit("file").alias("section"), F.concat_ws("#", "path", "id").alias("ref"), "n")
     return know.unionByName(hits).withColumn("place", F.row_number().over(Window.orderBy("n")).cast("int")).filter(F.col("place") <= limit).drop("n")
+
+
+def web_search(files: DataFrame, codes: DataFrame, cards: DataFrame, text: str, mode: str = "content", kind: str = "all", scope: DataFrame | None = None, space: str = "all", limit: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """place, section, ref of one search over files, knowledge or both (a top-k report).
+
+    Files of a kind and scope are searched by path, or by the index and, where it finds none,
+    by substring; with both spaces knowledge comes first and takes half of the places at most.
+    """
+    f = of_kind(files, kind, scope)
+    n_know = limit if space == "knowledge" else max(5, limit // 2)
+    n_file = limit if space == "files" else max(5, limit - n_know)
+    if mode == "path":
+        hits = search_path(f, text).select("id", "path", F.lit(0).alias("tier"), F.lit(0).alias("o"))
+    else:
+        index = build_index(f, "id", "text_content") if index is None else index
+        by_index = find(index, text).withColumnRenamed("doc_id", "id").join(f.select("id", "path"), "id").select("id", "path", F.lit(0).alias("tier"), F.lit(0).alias("o"))
+        by_text = search_like(f, text).select("id", "path", F.lit(1).alias("tier"), F.when(F.col("in_path"), 0).otherwise(1).alias("o"))
+        both = by_index.unionByName(by_text)
+        hits = both.join(F.broadcast(both.agg(F.min("tier").alias("tier"))), "tier", "left_semi")  # one row
+    rows = None
+    if space != "files":
+        know = search_knowledge(codes, cards, text).orderBy("section", "o").limit(n_know)
+        rows = know.select(F.lit(0).alias("s"), F.lit("knowledge").alias("section"), "ref", F.row_number().over(Window.orderBy("section", "o")).alias("n"))
+    if space != "knowledge":
+        top = hits.orderBy("o", "path", "id").limit(n_file)
+        part = top.select(F.lit(1).alias("s"), F.lit("file").alias("section"), F.concat_ws("#", "path", "id").alias("ref"), F.row_number().over(Window.orderBy("o", "path", "id")).alias("n"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("s", "n")).cast("int")).filter(F.col("place") <= limit).select("place", "section", "ref")

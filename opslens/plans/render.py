@@ -86,3 +86,18 @@ def prompt(pack: str, lang: str = "en") -> str:
 def size_estimate(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and estimated tokens (four characters each) of texts."""
     return texts.select(id_col, F.floor(F.length(F.coalesce(text_col, F.lit(""))) / 4).cast("long").alias("tokens"))
+
+
+def diff_prompt(header: DataFrame, diffs: DataFrame, states: DataFrame) -> str:
+    """A change as text: description, files, the diffs taken, and what was left out and why.
+
+    ``header`` is of ``diffs.report_header``, ``states`` of ``diffs.capped_diffs`` for ``diffs``.
+    """
+    h = header.limit(1).collect()
+    out = [f"Description: {h[0]['description']}", f"Parallel ID: {h[0]['parallel_id']}", "Files:", *[f"  - {f}" for f in h[0]["files"]], ""] if h else []
+    taken = diffs.join(states.select("change_id", "ord", "state", "size"), ["change_id", "ord"]).orderBy("change_id", "ord").select("file", "state", F.expr("left(diff, size)").alias("diff")).limit(MAX_ROWS).collect()
+    for r in taken:
+        if r["state"] in ("taken", "truncated"):
+            out += [f"--- {r['file']}{' (cut)' if r['state'] == 'truncated' else ''}", r["diff"], ""]
+    left = [f"  - {r['file']}: {r['state']}" for r in taken if r["state"] not in ("taken", "truncated")]
+    return "\n".join([*out, *(["Left out:", *left] if left else [])])

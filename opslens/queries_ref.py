@@ -20,6 +20,10 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _ordered(expr: str) -> str:
+    return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         Q[name] = f
@@ -522,6 +526,14 @@ def plan_score(spark, d):
     return planner.score_candidates(candidates, bundles, intents, fields)
 
 
+@query("plan_scope", f"""with {BUNDLES}, fb as (select intent_id, proc_name, path, kind, min(step) step from bundle group by 1, 2, 3, 4), pl as (select *, row_number() over (partition by intent_id, proc_name, kind order by step, path) place from fb),
+ep as (select intent_id, proc_name, string_agg(path, '|' order by case kind when 'script' then 0 when 'control' then 1 else 2 end, place) entry_points from pl where (kind = 'script' and place <= 3) or (kind = 'control' and place <= 2) or (kind = 'docdef' and place <= 1) group by 1, 2)
+select c.*, coalesce(entry_points, '') entry_points from (select intent_id, proc_name, {", ".join(f"count(*) filter (kind = '{k}') n_{k}" for k in ("procs", "script", "insert", "control", "docdef"))}, count(*) n_files from fb group by 1, 2) c left join ep using (intent_id, proc_name)""")
+def plan_scope(spark, d):
+    intents, candidates, nodes, edges, fields, files = _plan_inputs(spark, d)
+    return planner.scope_summary(checkpointed(planner.build_bundles(candidates, intents, nodes, edges, fields, files)))
+
+
 @query("diagram_edges", f"""with {BUNDLES}, ins as (select distinct proc_name, split_part(path, '/', -1) as name from bundle where kind = 'script')
 select distinct proc_name, proc_name src, split_part(path, '/', -1) dst, case kind when 'script' then 'RUNS' when 'insert' then 'READS' when 'control' then 'control' when 'docdef' then 'dfa' end as label from bundle where kind in ('script', 'insert', 'control', 'docdef')
 union select a.proc_name, caller, callee, 'calls' from mt join ins a on a.name = caller join ins b on b.name = callee and b.proc_name = a.proc_name""")
@@ -583,6 +595,19 @@ def search_blend(spark, d):
     return search.blend(_latest_files(spark, d), _t(spark, d, "message_codes"), _t(spark, d, "case_cards"), "overlay")
 
 
+@query("search_web", rf"""with {LATEST}, f as (select * from files where kind in ('script', 'master')), hit as (select id, path from f where contains(' ' || array_to_string(list_filter(regexp_split_to_array(translate(lower(coalesce(text_content, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), ' ') || ' ', ' quota ran '))
+select cast(row_number() over (order by path, id) as int) place, 'file' section, path || '#' || id as ref from hit order by path, id limit 20""")
+def search_web(spark, d):
+    files = checkpointed(_latest_files(spark, d))
+    return search.web_search(files, _t(spark, d, "message_codes"), _t(spark, d, "case_cards"), '"quota ran"', kind="scripts", space="files")
+
+
+@query("absolute_paths", f"select id, array_to_string({_ordered(f"list_filter(list_transform(regexp_extract_all(text_content, {q(procs.ANY_PATH)}, 1), lambda p: rtrim(p, '.,;:)]}}')), lambda p: length(p) > 5)")}, '|') paths from artifacts where text_content is not null")
+def absolute_paths(spark, d):
+    a = _t(spark, d, "artifacts").filter("text_content is not null")
+    return a.select("id", F.array_join(procs.absolute_paths(F.col("text_content")), "|").alias("paths"))
+
+
 def _manuals(spark, d) -> DataFrame:
     """The codes of each manual as one text, a definition per code; split by entry so no text grows with the table."""
     m = _t(spark, d, "message_codes")
@@ -632,10 +657,6 @@ def chunking(spark, d):
     return history.chunks(_t(spark, d, "documents"))
 
 
-def _ordered(expr: str) -> str:
-    return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
-
-
 def _cards_of_history_sql() -> str:
     signatures = "list_concat(" + ", ".join(f"regexp_extract_all(t, {q(p)}, 0)" for p in log_signals.ERROR_SIGNATURES) + ")"
     shell = f"list_transform(regexp_extract_all(t, {q(history.SHELL)}, 0), lambda c: case when length(regexp_replace(c, '^\\s+|\\s+$', '', 'g')) > 200 then left(regexp_replace(c, '^\\s+|\\s+$', '', 'g'), 200) || '...' else regexp_replace(c, '^\\s+|\\s+$', '', 'g') end)"

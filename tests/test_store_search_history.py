@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from opslens.operators import code_manual, diffs, history, search, stats, store
 from opslens.plans.explain import render_pack
+from opslens.plans.render import diff_prompt
 from opslens.sources.files import log_lines, scan, texts
 from opslens.streaming.inbox import arriving, keep_incidents, severity_counts
 
@@ -78,6 +79,10 @@ def test_knowledge(spark):
     cards = spark.createDataFrame([(7, "s", None, "Overlay lost", None, at(1)), (8, "s", "t", None, "overlay", at(2))], "id long, source_path string, title string, root_cause string, fix_summary string, created_at timestamp_ntz")
     got = [(r.section, r.ref) for r in search.blend(files(spark), codes, cards, "overlay").orderBy("place").collect()]
     assert got == [("knowledge", "message_codes/2"), ("knowledge", "message_codes/1"), ("knowledge", "case_cards/8"), ("knowledge", "case_cards/7"), ("file", "master/foo2.pl#4"), ("file", "procs/Foo.procs#1")]
+    web = lambda text, **kw: [(r.section, r.ref) for r in search.web_search(files(spark), codes, cards, text, **kw).orderBy("place").collect()]
+    assert web("overlay", space="knowledge")[0] == ("knowledge", "message_codes/2") and len(web("overlay")) == 6
+    assert web("foo", mode="path", space="files") == [("file", "master/foo2.pl#4"), ("file", "procs/Foo.procs#1")]
+    assert web("verla", kind="procs", space="files") == [("file", "procs/Foo.procs#1")]  # no such word, so by substring
     best = {r.code: r.entry_id for r in store.best_codes(codes.unionByName(codes.withColumn("created_at", F.lit(at(5)).cast("timestamp_ntz")).withColumn("entry_id", F.col("entry_id") + 10))).collect()}
     assert best == {"PPCS0001E": 11, "OVERLAY1": 12}
 
@@ -151,6 +156,9 @@ def test_diffs(spark):
     report = "Description: Fix it\n Parallel ID: 12\nFiles:\n 1) a b.sh \n 2) c.pl\n*****\n 3) no\n"
     (r,) = diffs.report_header(spark.createDataFrame([("r", report)], "report_id string, text string")).collect()
     assert (r.description, r.parallel_id, r.files) == ("Fix it", "12", ["a b.sh", "c.pl"])
+    one = df.filter("change_id = 'c' and ord in (1, 4)")
+    text = diff_prompt(diffs.report_header(spark.createDataFrame([("r", report)], "report_id string, text string")), one, diffs.capped_diffs(one))
+    assert text.startswith("Description: Fix it") and "--- a.sh\n" + "x" * 90 in text and text.endswith("Left out:\n  - d.txt: other_type")
 
 
 def test_scan(spark, tmp_path):
