@@ -80,9 +80,10 @@ def case_cards(docs: DataFrame, redacted: bool = False) -> DataFrame:
     """
     d = chunks(docs)
     text = redact("chunk") if redacted else F.col("chunk")
-    d = d.withColumn("t", text)
     t = F.col("t")
-    cards = d.select("doc_id", "chunk_id", "t", signatures(t).alias("signals"), commands(t).alias("verify_commands"), F.slice(clean_paths(found_all(t, FILE_PATH)), 1, 20).alias("related_files"))
+    parts = F.struct(t, signatures(t).alias("signals"), commands(t).alias("verify_commands"), F.slice(clean_paths(found_all(t, FILE_PATH)), 1, 20).alias("related_files"))
+    # the one-row explode keeps the optimizer from computing the lists again in the filter and behind it
+    cards = d.select("doc_id", "chunk_id", text.alias("t")).select("doc_id", "chunk_id", F.explode(F.array(parts)).alias("p")).select("doc_id", "chunk_id", "p.*")
     cards = cards.filter((F.size("signals") > 0) | (F.size("verify_commands") > 0) | (F.size("related_files") > 0))
     sections = docs.select("doc_id", F.substring(F.trim(found(F.coalesce("text", F.lit("")), CAUSE_SECTION)), 1, 300).alias("file_cause"), F.substring(F.trim(found(F.coalesce("text", F.lit("")), FIX_SECTION)), 1, 300).alias("file_fix")).filter("file_cause is not null or file_fix is not null")
     cards = cards.join(sections, "doc_id", "left")

@@ -9,6 +9,7 @@ from opslens.functions.textexpr import cut
 from opslens.operators.external_signals import external_signals, services_seen
 from opslens.operators.log_signals import STRONG_FAILURE, any_of, line_signals
 from opslens.rules import RULES, Rule
+from opslens.runtime import checkpointed
 
 #: (name, pattern, hypothesis, confidence); patterns, order and confidences are fixed values, texts are worded here.
 LINE_RULES = (
@@ -34,22 +35,29 @@ DEFAULT = "No known pattern was found; read the log"
 LINE_EVIDENCE, RULE_EVIDENCE = 100, 120
 
 
-def _from_lines(lines: DataFrame) -> DataFrame:
-    """Each line rule fires once per log, on fatal lines before errors; where a log has neither, on all lines."""
+def _from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hypotheses of the line rules, and strong per log; one pass over the lines.
+
+    Each rule fires once per log, on fatal lines before errors; where a log has neither, on all lines.
+    """
     s = line_signals(lines)
     level = F.when(F.col("severity") == "F", 0).when(F.col("severity") == "E", 1).otherwise(2)
     wrapper = F.col("message").rlike("(?i)" + LINE_RULES[10][1])
     fired = []
-    for no, (name, pattern, text, confidence) in enumerate(LINE_RULES):
+    for no, (name, pattern, _, _) in enumerate(LINE_RULES):
         # a wrapper line fires its own rule only
         test = wrapper if name == "wrapper" else ~wrapper & F.col("message").rlike("(?i)" + pattern)
-        fired.append(F.when(test, F.struct(F.lit(name).alias("rule"), F.lit(no).alias("rule_no"), F.lit(text).alias("hypothesis"), F.lit(confidence).alias("confidence"))))
-    hits = s.select("log_path", "line_no", "message", level.alias("level"), F.explode(F.array_compact(F.array(*fired))).alias("h"))
-    # Logs without errors fall back to all lines; the flag is joined, not windowed over the whole log.
-    has_errors = s.groupBy("log_path").agg(F.min(level).alias("best_level"))
-    hits = hits.join(has_errors, "log_path").filter("level < 2 or best_level = 2")
-    one = hits.groupBy("log_path", "h.rule", "h.rule_no", "h.hypothesis", "h.confidence").agg(F.min(F.struct("level", "line_no", "message")).alias("f"))
-    return one.select("log_path", "rule", (F.col("rule_no") + 100).alias("ord"), "hypothesis", "confidence", F.col("f.line_no").alias("line_no"), cut(F.col("f.message"), LINE_EVIDENCE).alias("evidence"))
+        fired.append(F.when(test, no))
+    # -1 and -2 stand for the log itself: its best level, and a strong failure
+    per_line = F.array_compact(F.array(F.lit(-1), F.when(any_of("message", STRONG_FAILURE), -2), *fired))
+    hits = s.select("log_path", "line_no", "message", level.alias("level"), F.explode(per_line).alias("no"))
+    first = hits.groupBy("log_path", "no").agg(F.min(F.struct("level", "line_no", F.when(F.col("no") >= 0, F.col("message")).alias("message"))).alias("f"))
+    first = checkpointed(first)
+    logs = first.filter("no < 0").groupBy("log_path").agg(F.min(F.when(F.col("no") == -1, F.col("f.level"))).alias("best"), F.max(F.col("no") == -2).alias("strong"))
+    one = first.filter("no >= 0").join(logs, "log_path").filter("f.level < 2 or best = 2")
+    pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in LINE_RULES]), F.col("no") + 1)
+    rows = one.select("log_path", pick(0).alias("rule"), (F.col("no") + 100).alias("ord"), pick(2).alias("hypothesis"), pick(3).alias("confidence"), F.col("f.line_no").alias("line_no"), cut(F.col("f.message"), LINE_EVIDENCE).alias("evidence"))
+    return rows, logs.select("log_path", "strong")
 
 
 def _from_rules(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -85,11 +93,12 @@ def hypotheses(lines: DataFrame, top: int = 3, rules: tuple[Rule, ...] = RULES)
     A log whose only hypothesis is the wrapper's message and that shows no strong failure
     keeps it at low confidence; a log without any gets the default.
     """
-    ours = _from_rules(lines, rules).unionByName(_from_lines(lines))
-    logs = lines.groupBy("log_path").agg(F.max(any_of(F.coalesce(F.col("line"), F.lit("")), STRONG_FAILURE)).alias("strong"))
+    by_line, strong = _from_lines(lines)
+    ours = checkpointed(_from_rules(lines, rules).unionByName(by_line))
+    logs = lines.select("log_path").distinct().join(strong, "log_path", "left")
     n_rows = ours.groupBy("log_path").agg(F.count("*").alias("n_rows"))
     d = logs.join(ours, "log_path", "left").join(n_rows, "log_path", "left")
-    alone = (F.col("rule") == "wrapper") & (F.col("n_rows") == 1) & ~F.col("strong")
+    alone = (F.col("rule") == "wrapper") & (F.col("n_rows") == 1) & ~F.coalesce("strong", F.lit(False))
     none = F.col("rule").isNull()
     d = d.select(
         "log_path", F.when(none, "default").otherwise(F.col("rule")).alias("rule"), F.coalesce("ord", F.lit(0)).alias("ord"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.textexpr import found, found_all, strip
+from opslens.rules import RULES
 
 # The patterns that lines are searched with.
 TIMESTAMP = r"(\d{4}-\d{2}-\d{2}/\d{2}:\d{2}:\d{2}\.\d{3})"
@@ -40,6 +41,8 @@ ERROR_SIGNATURES = (
     r"(?i)PDF found doesn't match index record counts", r"(?i)afp2pdf\.py failed", r"(?i)wrong value for start page",
     r"(?i)Failed running plugin \S+", r"(?i)Error: function \w+\(\)", r"(?i)SP2-\d{4}:",
 )
+#: A fatal rule of the pack is a strong failure too.
+FATAL_RULES = tuple("(?i)" + p for r in RULES if r.severity == "F" for p, _ in r.groups())
 #: Token kinds of a line: name, pattern, case.
 TOKENS = (
     ("docdef_ref", DOCDEF_REF, None), ("docdef_ref", DOCDEF_PARAM, "upper"), ("script_ref", SCRIPT_LINE, None), ("prefix", PREFIX_TOKEN, "lower"), ("jid", JID_TOKEN, "lower"),
@@ -96,7 +99,7 @@ def log_rollup(lines: DataFrame) -> DataFrame:
     # Counts need no window and no list: partial aggregation carries a log of any size.
     counts = line_signals(lines).groupBy("log_path").agg(
         F.count("*").alias("n_signals"), F.count_if(F.col("severity").isin("E", "F")).alias("n_errors"), F.count_if(F.col("severity") == "F").alias("n_fatal"), F.count_if(F.col("severity") == "W").alias("n_warnings"),
-        F.max(F.col("message").rlike(WRAPPER)).alias("has_wrapper_noise"), F.max(any_of("message", STRONG_FAILURE)).alias("has_strong_failure"),
+        F.max(F.col("message").rlike(WRAPPER)).alias("has_wrapper_noise"), F.max(any_of("message", STRONG_FAILURE + FATAL_RULES)).alias("has_strong_failure"),
     )
     kinds = ["error_code", *dict.fromkeys(k for k, _, _ in TOKENS)]
     lists = [F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("token")))), "|").alias(f"{k}s") for k in kinds]

@@ -50,30 +50,33 @@ def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: D
     """
     tokens = checkpointed(log_tokens(lines)) if tokens is None else tokens
     procs = _procs(nodes)
-    exact = procs.select("node_id", F.lower("name").alias("token"))
 
-    def hits(d: DataFrame, strategy: str, points: int) -> DataFrame:
-        return d.select("log_path", "node_id", F.lit(strategy).alias("strategy"), "token", F.lit(points).alias("points"))
-
-    prefix = _names(tokens, "prefix")
-    prefix_exact = prefix.join(exact, "token")
-    rest = prefix.join(exact.select("token").distinct(), "token", "left_anti")
+    # All names that a proc may begin with are looked up in one join; the paths are read once.
+    each = [("path", F.col("proc_name")), ("base", F.nullif("base_proc", "proc_name")), ("cid", F.col("cid"))]
+    own_names = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("token")) for k, c in each])).alias("t")
+    names = path_features(lines).select("log_path", own_names).select("log_path", "t.kind", "t.token").filter("token is not null")
+    names = names.unionByName(_names(tokens, "prefix").select("log_path", F.lit("prefix").alias("kind"), "token"))
+    cuts = procs.select("node_id", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("k"), F.lower("name").alias("name")).select("node_id", F.expr("left(name, k)").alias("token"), (F.col("k") == F.length("name")).alias("whole"))
+    hits = checkpointed(names.join(cuts, "token"))
+    # Whether a token is a whole name, and which of a log's own names is one, decides what counts.
+    whole = hits.filter("kind = 'prefix' and whole").select("token").distinct().withColumn("is_name", F.lit(True))
+    own = hits.filter("whole and kind in ('path', 'base')").groupBy("log_path").agg(F.max(F.col("kind") == "path").alias("by_path"))
+    d = hits.join(whole, "token", "left").join(own, "log_path", "left")
+    kind, full = F.col("kind"), F.col("whole")
+    strategy = (
+        F.when((kind == "prefix") & full, "prefix_exact").when((kind == "prefix") & F.col("is_name").isNull(), "prefix_partial").when((kind == "path") & full, "path_exact")
+        .when((kind == "base") & full & ~F.col("by_path"), "path_base").when((kind == "path") & F.col("by_path").isNull(), "path_partial").when(kind == "cid", "cid")
+    )
+    points = F.lit(None).cast("int")
+    for name, n in (("prefix_exact", PREFIX_EXACT), ("prefix_partial", PREFIX_PARTIAL), ("path_exact", PATH_EXACT), ("path_base", PATH_BASE), ("path_partial", PATH_PARTIAL), ("cid", CID)):
+        points = F.when(F.col("strategy") == name, n).otherwise(points)
+    named = d.withColumn("strategy", strategy).filter("strategy is not null").select("log_path", "node_id", "strategy", "token", points.alias("points"))
     scripts = _names(tokens, "script_path").select("log_path", base_name("token").alias("token")).distinct()
     by_script = scripts.join(scripts_run_by(nodes, edges).select(F.col("script").alias("token"), F.col("proc_id").alias("node_id")).distinct(), "token")
-    paths = path_features(lines)
-    named = paths.filter("proc_name is not null").select("log_path", F.col("proc_name").alias("token"))
-    by_name = named.join(exact, "token")
-    based = paths.filter("base_proc is not null and base_proc != proc_name").join(by_name.select("log_path").distinct(), "log_path", "left_anti").select("log_path", F.col("base_proc").alias("token")).join(exact, "token")
-    open_paths = named.join(by_name.select("log_path").unionByName(based.select("log_path")).distinct(), "log_path", "left_anti")
-    cids = paths.filter("cid is not null").select("log_path", F.col("cid").alias("token"))
-    parts = [
-        hits(prefix_exact, "prefix_exact", PREFIX_EXACT), hits(_by_prefix(rest, procs), "prefix_partial", PREFIX_PARTIAL), hits(by_script, "script", SCRIPT), hits(by_name, "path_exact", PATH_EXACT),
-        hits(based, "path_base", PATH_BASE), hits(_by_prefix(open_paths, procs), "path_partial", PATH_PARTIAL), hits(_by_part(_names(tokens, "jid"), procs), "jid", JID), hits(_by_prefix(cids, procs), "cid", CID),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    by_jid = _by_part(_names(tokens, "jid"), procs)
+    for part, name, n in ((by_script, "script", SCRIPT), (by_jid, "jid", JID)):
+        named = named.unionByName(part.select("log_path", "node_id", F.lit(name).alias("strategy"), "token", F.lit(n).alias("points")))
+    return named
 
 
 def match_logs(lines: DataFrame, nodes: DataFrame, edges: DataFrame, top: int = 1, tokens: DataFrame | None = None) -> DataFrame:

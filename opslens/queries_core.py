@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opslens.operators.hierarchy import descendants, hierarchy
 from opslens.operators.log_records import CODE, LAYOUTS, LEVELS, log_records
 from opslens.operators.snapshot_diff import snapshot_changes
-from opslens.runtime import table
+from opslens.runtime import spread, table
 
 
 TREES = ["CALLS", "REFERS"]
@@ -34,12 +34,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_records(table(spark, sf_dir, "log_lines"))
+    return log_records(spread(table(spark, sf_dir, "log_lines")))
 
 
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry with its component and its whole message text."""
-    return log_records(table(spark, sf_dir, "log_lines"), with_message=True)
+    return log_records(spread(table(spark, sf_dir, "log_lines")), with_message=True)
 
 
 QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p4_found": p4_found, "p6_found": p6_found, "p6_records": p6_records}

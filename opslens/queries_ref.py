@@ -9,7 +9,7 @@ from opslens.functions.textexpr import DATE_TOKEN, EMAIL, PHONE, SSN, redact
 from opslens.operators import code_manual, diffs, external_signals, graph, history, hypotheses, log_signals, matching, planner, procs, search, similarity, stats, store
 from opslens.plans import explain
 from opslens.rules import CATEGORY_BONUS, OTHER_BONUS, RULES
-from opslens.runtime import checkpointed, table
+from opslens.runtime import checkpointed, spread, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -34,8 +34,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Tables whose rows hold text.
+TEXTS = ("log_lines", "documents", "artifacts", "message_codes", "case_cards")
+
+
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return table(spark, d, name)
+    df = table(spark, d, name)
+    return spread(df) if name in TEXTS else df
 
 
 def _latest_files(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +92,7 @@ _KINDS = ["error_code", *dict.fromkeys(k for k, _, _ in log_signals.TOKENS)]
 
 
 @query("log_rollup", f"""with {TOKENS}, c as (select log_path, count(*) n_signals, count(*) filter (severity in ('E', 'F')) n_errors, count(*) filter (severity = 'F') n_fatal, count(*) filter (severity = 'W') n_warnings,
-  bool_or(regexp_matches(m, {q(log_signals.WRAPPER)})) has_wrapper_noise, bool_or({" or ".join(f"regexp_matches(m, {q(p)})" for p in log_signals.STRONG_FAILURE)}) has_strong_failure from sig group by 1),
+  bool_or(regexp_matches(m, {q(log_signals.WRAPPER)})) has_wrapper_noise, bool_or({" or ".join(f"regexp_matches(m, {q(p)})" for p in log_signals.STRONG_FAILURE + log_signals.FATAL_RULES)}) has_strong_failure from sig group by 1),
 k as (select log_path, {", ".join(f"coalesce(string_agg(token, '|' order by token) filter (kind = {q(k)}), '') {k}s" for k in _KINDS)} from tokens group by 1)
 select c.*, {", ".join(f"coalesce({k}s, '') {k}s" for k in _KINDS)} from c left join k using (log_path)""")
 def log_rollup(spark, d):
@@ -174,7 +179,7 @@ def _hypotheses_sql() -> str:
         else:
             t, c = q(r.hints[0]), 0.75
         text, conf = f"case when rule_id = '{r.id}' then {t} else {text} end", f"case when rule_id = '{r.id}' then cast({c} as double) else {conf} end"
-    strong = " or ".join(f"regexp_matches(coalesce(line, ''), {q(p)})" for p in log_signals.STRONG_FAILURE)
+    strong = " or ".join(f"regexp_matches(m, {q(p)})" for p in log_signals.STRONG_FAILURE)
     return f"""with {SIGNALS}, {EXT}, {SERVICES},
 lv as (select *, case severity when 'F' then 0 when 'E' then 1 else 2 end lvl from sig), bl as (select log_path, min(lvl) best from lv group by 1),
 lh as (select f.* from ({" union all ".join(fired)}) f join bl using (log_path) where lvl < 2 or best = 2),
@@ -183,7 +188,7 @@ xf as (select * from (select *, row_number() over (partition by log_path, rule_i
 xo as (select log_path, rule_id rule, place ord, {text} hypothesis, {conf} confidence, first_line line_no, case when length(ev2) > 120 then left(ev2, 120) || '...' else ev2 end evidence
   from (select *, 'L' || first_line || ': ' || evidence ev2 from xf) left join (select log_path, min(service) service from services group by 1) using (log_path)),
 ours as (select * from xo union all select * from lo), cnt as (select log_path, count(*) n_rows from ours group by 1),
-logs as (select log_path, bool_or({strong}) strong from log_lines group by 1),
+logs as (select log_path, coalesce(strong, false) strong from (select distinct log_path from log_lines) left join (select log_path, bool_or({strong}) strong from sig group by 1) using (log_path)),
 fin as (select logs.log_path, coalesce(rule, 'default') rule, coalesce(ord, 0) ord, case when rule is null then {q(hypotheses.DEFAULT)} when rule = 'wrapper' and n_rows = 1 and not strong then {q(hypotheses.WRAPPER_ONLY)} else hypothesis end hypothesis,
   case when rule is null then 0.5 when rule = 'wrapper' and n_rows = 1 and not strong then 0.2 else confidence end confidence, coalesce(line_no, 0) line_no, coalesce(evidence, '') evidence from logs left join ours using (log_path) left join cnt using (log_path))
 select log_path, rule, hypothesis, cast(confidence as double) confidence, line_no, evidence, cast(place as int) place from (select *, row_number() over (partition by log_path order by confidence desc, ord, rule) place from fin) where place <= 3""".replace("min((line_no, ev))[2]", "arg_min(ev, (line_no, ev))")
