@@ -12,39 +12,39 @@ from opslens.llm.mixing import mix
 from opslens.llm.personal_data import find_personal_data, sanitise
 from opslens.llm.scan_repair import find_damage, repair_scans
 from opslens.llm.truncation import cut_share, find_cut
-from opslens.runtime import table
+from opslens.runtime import spread, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_damage(table(spark, sf_dir, "message_codes"))
+    return find_damage(spread(table(spark, sf_dir, "message_codes")))
 
 
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry with its title and body as continuous text."""
-    return repair_scans(table(spark, sf_dir, "message_codes"))
+    return repair_scans(spread(table(spark, sf_dir, "message_codes")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_credentials(table(spark, sf_dir, "artifacts")).select("id", "line_no")
+    return find_credentials(spread(table(spark, sf_dir, "artifacts"))).select("id", "line_no")
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file with its credentials masked."""
-    return redact_credentials(table(spark, sf_dir, "artifacts"))
+    return redact_credentials(spread(table(spark, sf_dir, "artifacts")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal_data(table(spark, sf_dir, "case_cards")).select("id", "fld", "pii_type").distinct()
+    return find_personal_data(spread(table(spark, sf_dir, "case_cards"))).select("id", "fld", "pii_type").distinct()
 
 
 def p5_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every card with typed placeholders."""
-    return sanitise(table(spark, sf_dir, "case_cards"))
+    return sanitise(spread(table(spark, sf_dir, "case_cards")))
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "artifacts").select(F.lit("artifacts").alias("tab"), F.col("id").alias("row_id"), F.col("text_content").alias("body"))
-    m = table(spark, sf_dir, "message_codes").select(F.lit("message_codes").alias("tab"), F.col("entry_id").alias("row_id"), "body")
+    a = spread(table(spark, sf_dir, "artifacts")).select(F.lit("artifacts").alias("tab"), F.col("id").alias("row_id"), F.col("text_content").alias("body"))
+    m = spread(table(spark, sf_dir, "message_codes")).select(F.lit("message_codes").alias("tab"), F.col("entry_id").alias("row_id"), "body")
     return repair_encoding(a.unionByName(m))
 
 
@@ -58,16 +58,16 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
+    return find_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
 
 
 def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its leaked stretches."""
-    return remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return remove_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +81,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_cut(table(spark, sf_dir, "documents"))
+    return find_cut(spread(table(spark, sf_dir, "documents")))
 
 
 def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source cuts its texts."""
-    return cut_share(table(spark, sf_dir, "documents"))
+    return cut_share(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
