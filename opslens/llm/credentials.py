@@ -179,8 +179,12 @@ def _text(data: bytes) -> str | None:
     return s if s and sum(c.isprintable() or c in "\r\n\t" for c in s) >= 0.97 * len(s) else None
 
 
-def _layers(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """Encoded literals of a text with the bytes they stand for."""
+def _layers(text: str, clear: str) -> Iterator[tuple[int, int, bytes]]:
+    """Encoded literals of a text with the bytes they stand for.
+
+    ``clear`` is the text with what is found already blanked. Percent codes and escapes stand for
+    themselves wherever a literal begins, so what is left of one is decoded alone.
+    """
     for m in _B64.finditer(text):
         raw = m.group().rstrip("=")
         if len(raw) % 4 == 1 or raw.isdigit():
@@ -191,9 +195,9 @@ def _layers(text: str) -> Iterator[tuple[int, int, bytes]]:
             pass
     for m in _HEX.finditer(text):
         yield m.start(), m.end(), bytes.fromhex(m.group().removeprefix("0x"))
-    for m in _PCT.finditer(text):
+    for m in _PCT.finditer(clear):
         yield m.start(), m.end(), unquote(m.group()).encode()
-    for m in _ESC.finditer(text):
+    for m in _ESC.finditer(clear):
         try:
             yield m.start(), m.end(), m.group().encode("latin-1", "backslashreplace").decode("unicode_escape").encode("utf-8", "replace")
         except UnicodeDecodeError:
@@ -281,12 +285,23 @@ def _scan_line(line: str, depth: int, ruled: bool) -> list[Finding]:
                 continue
             if user and colon and word and not _REFERENCE.match(word):
                 found.append(Finding(*m.span("value"), "encoded"))
-    if not found and depth < MAX_DEPTH:
-        for s, e, data in _layers(line):
+    if depth < MAX_DEPTH:
+        clear = line
+        for s, e, _ in found:
+            clear = clear[:s] + " " * (e - s) + clear[e:]
+        for s, e, data in _layers(line, clear):
+            if any(f.start <= s and e <= f.end for f in found):
+                continue  # masked as it is
             if key_container(data):
-                found.append(Finding(s, e, "private_key"))
+                kind = "private_key"
             elif (inner := _text(data)) and inner != line[s:e] and scan(inner, depth + 1):
-                found.append(Finding(s, e, "encoded"))
+                kind = "encoded"
+            else:
+                continue
+            # What a literal shares letters with is masked together with it.
+            shared = [f for f in found if f.start < e and s < f.end]
+            found = [f for f in found if f not in shared]
+            found.append(Finding(min([s, *[f.start for f in shared]]), max([e, *[f.end for f in shared]]), kind))
     return found
 
 

@@ -43,6 +43,28 @@ def test_not_a_case(text):
     assert scan(text) == []
 
 
+ENCODED = [
+    base64.b64encode(b"password=Kestrel2019#").decode(), b"password=Kestrel2019#".hex(), "db.password%3D%4Bestrel%32%30%31%39", "".join(f"\\x{b:02x}" for b in b"password=Kestrel2019#"),
+    base64.b64encode(base64.b64encode(b"db.password = Kestrel2019#")).decode(), base64.b64encode(b"\x30\x82\x01\x13\x02\x01\x00" + b"".join(b"\x02\x20" + bytes(range(1, 33)) for _ in range(8))).decode(),
+]
+
+
+@pytest.mark.parametrize("literal", ENCODED)
+def test_clear_and_encoded_on_one_line(literal):
+    for line in (f"DB_PASS='x7Quartz16' BLOB='{literal}'", f"BLOB='{literal}' DB_PASS='x7Quartz16'", f"A='{literal}' sshpass -p 'otterbeacon58' B='{literal}'"):
+        found = scan(line)
+        masked = mask(line, found)
+        assert len(found) == line.count("'") // 2 and "x7Quartz16" not in masked and "otterbeacon58" not in masked and literal not in masked
+        assert masked.count("'") == line.count("'") and not scan(masked)
+
+
+def test_rest_of_a_literal():
+    line = "u=ftp://feed:Z1pYr2NsTDh@host.test/?q=db.password%3D%4Bestrel%32%30%31%39 n=%41%42%43"
+    assert mask(line, scan(line)) == "u=ftp://feed:REDACTEDREDACTED n=%41%42%43"
+    jwt = "X-Token: " + ".".join(base64.urlsafe_b64encode(b).decode().rstrip("=") for b in (b'{"alg":"HS256"}', b'{"password":"Kestrel2019#"}', b"0123456789abcdef"))
+    assert len(scan(jwt)) == 1
+
+
 def test_key_container():
     from itertools import chain
 
