@@ -18,11 +18,13 @@ Defined results
   items shorter than ``min_words``    a leak only if found whole (at least ``ANCHOR`` words)
   the same passage in two items       both are reported
   repeated rows                       one row per pair
+  several stretches of an item        the longest is found, all are removed
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -137,6 +139,46 @@ def longest_leak(doc: list[int], item: list[int], shift: int) -> tuple[int, int]
     return (best[0] + lo, best[1] + lo) if best else None
 
 
+def stretches(doc: list[int], item: list[int], shift: int, least: int) -> list[tuple[int, int]]:
+    """Every longest stretch of the alignment that is a leak and lies in no longer one: (start, end) in the document."""
+    at = [k for k in range(max(0, -shift), min(len(doc), len(item) - shift)) if doc[k] == item[k + shift]]
+    # From word a to word b of ``at`` at most one in ten differs if and only if score[b] >= score[a] - 1.
+    score = [10 * i - 9 * k for i, k in enumerate(at)]
+    ahead = score[:]  # the greatest score from here on; falls
+    for i in range(len(at) - 2, -1, -1):
+        ahead[i] = max(ahead[i], ahead[i + 1])
+    out, last = [], -1
+    for a, k in enumerate(at):
+        b = bisect_left(ahead, True, key=lambda x, need=score[a] - 1: x < need) - 1
+        if b > last and at[b] - k + 1 >= least:
+            out.append((k, at[b] + 1))
+            last = b
+    return out
+
+
+def all_leaks_of(text: str | None, sam: SuffixAutomaton, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(item id, first word, end) of every leaked stretch of each item; stretches that overlap are one."""
+    if not text:
+        return []
+    get = sam.ids.get
+    doc = [get(w, -1) for w in words_of(text)]
+    found: dict[int, list[tuple[int, int]]] = {}
+    for no, shift in sam.alignments(doc):
+        item = sam.items[no][1]
+        if spans := stretches(doc, item, shift, min(min_words, len(item))):
+            found.setdefault(no, []).extend(spans)
+    out = []
+    for no, spans in found.items():
+        joined: list[tuple[int, int]] = []
+        for s, e in sorted(spans):
+            if joined and s < joined[-1][1]:
+                joined[-1] = joined[-1][0], max(e, joined[-1][1])
+            else:
+                joined.append((s, e))
+        out += [(sam.items[no][0], s, e) for s, e in joined]
+    return sorted(out)
+
+
 def leaks_of(text: str | None, sam: SuffixAutomaton, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(item id, first word, end) of each leaked item, the longest stretch of each."""
     if not text:
@@ -205,19 +247,28 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
 
 
 def remove_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text, n_removed: every document, without its leaked stretches."""
-    schema = "doc_id long, text string, n_removed int"
-    texts = documents.select(F.col("doc_id").cast("long"), "text", F.lit(0).alias("n_removed"))
+    """doc_id, text, n_removed: every document, without its leaked stretches; n_removed counts them item by item.
+
+    The stretches of all blocks are found in the whole text and cut out together at the end.
+    """
+    schema = "doc_id long, text string, spans array<int>"
+    texts = documents.select(F.col("doc_id").cast("long"), "text", F.array().cast("array<int>").alias("spans"))
     for sam in _blocks(items):
         shared = documents.sparkSession.sparkContext.broadcast(sam)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = []
-                for d, t, n in zip(pdf["doc_id"], pdf["text"], pdf["n_removed"], strict=True):
-                    spans = [(s, e) for _, s, e in leaks_of(t, shared.value, min_words)]
-                    rows.append((d, cut_spans(t, spans) if spans else t, n + len(spans)))
-                yield pd.DataFrame(rows, columns=["doc_id", "text", "n_removed"])
+                for d, t, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
+                    rows.append((d, t, [*spans, *[x for _, s, e in all_leaks_of(t, shared.value, min_words) for x in (s, e)]]))
+                yield pd.DataFrame(rows, columns=["doc_id", "text", "spans"])
 
         texts = texts.mapInPandas(run, schema)
-    return texts
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["n_removed"] = [len(x) // 2 for x in pdf["spans"]]
+            pdf["text"] = [cut_spans(t, list(zip(x[::2], x[1::2], strict=True))) if len(x) else t for t, x in zip(pdf["text"], pdf["spans"], strict=True)]
+            yield pdf[["doc_id", "text", "n_removed"]]
+
+    return texts.mapInPandas(cut, "doc_id long, text string, n_removed int")

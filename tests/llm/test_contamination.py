@@ -66,3 +66,36 @@ def test_blocks(spark, monkeypatch):
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     df = spark.createDataFrame([(i, "x " + t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in C.find_leaks(df, items).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.randoms(use_true_random=False))
+def test_all_stretches_match_brute_force(rng: random.Random):
+    item = [rng.choice(WORDS) for _ in range(rng.randrange(20, 60))]
+    doc = [rng.choice(WORDS) for _ in range(10)]
+    for _ in range(3):
+        at, start = rng.randrange(len(doc)), rng.randrange(20)
+        doc[at:at] = [w if rng.random() > 0.08 else "zz" for w in item[start : start + rng.randrange(15, 40)]]
+    want = set()
+    for shift in range(-len(doc), len(item)):
+        for s in range(max(0, -shift), len(doc)):
+            for e in range(s + 20, min(len(doc), len(item) - shift) + 1):
+                eq = [doc[k] == item[k + shift] for k in range(s, e)]
+                if eq[0] and eq[-1] and eq.count(False) * 10 <= len(eq):
+                    want.update(range(s, e))
+    got = C.all_leaks_of(" ".join(doc), C.SuffixAutomaton([(1, item)]))
+    assert {k for _, s, e in got for k in range(s, e)} == want
+    assert all(b[1] >= a[2] for a, b in zip(got, got[1:]))
+
+
+def test_every_stretch_is_removed(spark, monkeypatch):
+    n = [f"n{i}" for i in range(70)]
+    whole, first, second = " ".join(n), " ".join(n[:22]), " ".join(n[40:65])
+    other = " ".join(n[10:22] + [f"m{i}" for i in range(12)])  # shares words with a stretch of the first item
+    docs = [(1, f"a {whole} b {whole} c"), (2, f"a {first} b {second} c"), (3, f"a {first} {other.split(' ', 12)[12]} c"), (4, "a c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, whole), (2, other)], "item_id long, text string")
+    for words in (C.BLOCK_WORDS, 30):
+        monkeypatch.setattr(C, "BLOCK_WORDS", words)
+        got = {r.doc_id: (r.text, r.n_removed) for r in C.remove_leaks(df, items).collect()}
+        assert got == {1: ("a  b  c", 2), 2: ("a  b  c", 2), 3: ("a  c", 2), 4: ("a c", 0)}
