@@ -2,9 +2,11 @@
 
 A scan looks for credentials in the clear (assignments, connection strings, logins, known
 token shapes, private keys), then decodes every base64, hex, percent-encoded or escaped
-literal and scans the decoded text again, level by level. Decoded bytes are also parsed as
-key containers by their binary grammar (DER private keys, the OpenSSH container). What is
-found inside an encoded literal is redacted by replacing that enclosing literal.
+literal and scans the decoded text again, level by level, until nothing can be decoded (each
+level is shorter than the one before). Decoded bytes are also parsed as key containers by
+their binary grammar (DER private keys, encrypted ones, PKCS#12; the OpenSSH container is
+known by its 15 fixed bytes). What is found inside an encoded literal is redacted by
+replacing that enclosing literal.
 
 Defined results
   null or empty text   no finding, returned as it is
@@ -28,8 +30,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of encoding that are opened.
-MAX_DEPTH = 4
 MASK = "REDACTED"
 
 
@@ -132,13 +132,20 @@ def _said(value: str) -> bool:
     return bool(re.search(r"\d|[^\w.,;:!?'-]|[a-z][A-Z]", text)) or (value[:1] in "\"'" or text.count("-") >= 2 or len(text) >= 12) and not _PROSE.match(text) or len(text) >= 12 and value == text
 
 
+# Content types that a PKCS#12 file holds (data, signed data), and the encryptions of PKCS#8 (PKCS#5, PKCS#12).
+_PFX_CONTENT = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x01", b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x02")
+_PBE = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
+
+
 def _der_private(data: bytes) -> bool:
-    """DER grammar: PKCS#1, SEC1 or DSA (SEQUENCE of version and integers or octets) or PKCS#8."""
+    """DER grammar: PKCS#1, SEC1 or DSA (SEQUENCE of version and integers or octets), PKCS#8, encrypted PKCS#8 or PKCS#12."""
 
     def head(i: int) -> tuple[int, int, int]:
         tag, n = data[i], data[i + 1]
         i += 2
-        if n & 0x80:
+        if n == 0x80 and tag & 0x20:  # open length, as BER writers of PKCS#12 use it
+            n = len(data) - i
+        elif n & 0x80:
             k = n & 0x7F
             if not 1 <= k <= 4:
                 raise ValueError
@@ -150,9 +157,16 @@ def _der_private(data: bytes) -> bool:
         if tag != 0x30 or not 16 <= n or abs(len(data) - i - n) > 2:
             return False
         tag, i, n = head(i)
-        if tag != 0x02 or n != 1 or data[i] > 1:
+        if tag == 0x30:  # encrypted PKCS#8: the encryption, then the key as octets
+            oid, j, k = head(i)
+            return oid == 0x06 and data[j : j + k].startswith(_PBE) and head(i + n)[0] == 0x04 and head(i + n)[2] >= 16
+        if tag != 0x02 or n != 1 or data[i] not in (0, 1, 3):
             return False
+        version = data[i]
         tag, j, n = head(i + 1)
+        if version == 3:  # PKCS#12: a content type and what it holds
+            oid, j, k = head(j)
+            return tag == 0x30 and oid == 0x06 and data[j : j + k] in _PFX_CONTENT
         if tag == 0x30:  # PKCS#8: algorithm, then the key as octets
             return data[j] == 0x06 and head(j + n)[0] == 0x04
         return tag in (0x02, 0x04) and n >= 16
@@ -195,9 +209,9 @@ def _layers(text: str, clear: str) -> Iterator[tuple[int, int, bytes]]:
             pass
     for m in _HEX.finditer(text):
         yield m.start(), m.end(), bytes.fromhex(m.group().removeprefix("0x"))
-    for m in _PCT.finditer(clear):
+    for m in _PCT.finditer(clear) if "%" in clear else ():
         yield m.start(), m.end(), unquote(m.group()).encode()
-    for m in _ESC.finditer(clear):
+    for m in _ESC.finditer(clear) if "\\" in clear else ():
         try:
             yield m.start(), m.end(), m.group().encode("latin-1", "backslashreplace").decode("unicode_escape").encode("utf-8", "replace")
         except UnicodeDecodeError:
@@ -236,10 +250,8 @@ def _candidate_lines(text: str) -> dict[int, bool]:
     return lines
 
 
-def scan(text: str | None, depth: int = 0) -> list[Finding]:
-    """Findings of one text, in order; spans cover what must be masked."""
-    if not text:
-        return []
+def _keys(text: str) -> tuple[list[Finding], str]:
+    """Private keys in text form, and the text with key blocks blanked."""
     spans: list[Finding] = []
     if "-----BEGIN " in text:
         hide = []
@@ -251,10 +263,23 @@ def scan(text: str | None, depth: int = 0) -> list[Finding]:
         hide += [m.span() for m in _PUBLIC.finditer(text)]
         for s, e in hide:  # what stands inside key blocks is not looked at again
             text = text[:s] + re.sub(r"[^\n]", " ", text[s:e]) + text[e:]
+    return spans, text
+
+
+def _lines(text: str) -> Iterator[tuple[int, str, bool]]:
+    """Start and text of each line worth a look, and whether the rules may apply."""
     for at, ruled in _candidate_lines(text).items():
         end = text.find("\n", at)
-        line = text[at : end if end >= 0 else len(text)]
-        spans += [Finding(at + s, at + e, k) for s, e, k in _scan_line(line, depth, ruled)]
+        yield at, text[at : end if end >= 0 else len(text)], ruled
+
+
+def scan(text: str | None) -> list[Finding]:
+    """Findings of one text, in order; spans cover what must be masked."""
+    if not text:
+        return []
+    spans, text = _keys(text)
+    for at, line, ruled in _lines(text):
+        spans += [Finding(at + s, at + e, k) for s, e, k in _scan_line(line, ruled)]
     spans.sort()
     out: list[Finding] = []
     for f in spans:
@@ -263,45 +288,67 @@ def scan(text: str | None, depth: int = 0) -> list[Finding]:
     return out
 
 
-def _scan_line(line: str, depth: int, ruled: bool) -> list[Finding]:
-    found = []
-    if ruled:
-        found = [Finding(*m.span(), "token") for m in _SHAPES.finditer(line)]
-        pos = 0
-        while m := _ASSIGN.search(line, pos):
-            if line[m.end() : m.end() + 1] not in ("(", "[") and _named(m.group("name"), m.group("value")):
-                found.append(Finding(*_inner(m), "assignment"))
-                pos = m.end()
-            else:
-                pos = m.end("name")
-        for rule in _PHRASES:
-            for m in rule.finditer(line):
-                if _said(m.group("value")):
-                    found.append(Finding(*_inner(m), "login"))
-        for m in _BASIC.finditer(line):
-            try:
-                user, colon, word = base64.b64decode(m.group("value"), validate=True).decode("utf-8").partition(":")
-            except (ValueError, binascii.Error):
-                continue
-            if user and colon and word and not _REFERENCE.match(word):
-                found.append(Finding(*m.span("value"), "encoded"))
-    if depth < MAX_DEPTH:
-        clear = line
-        for s, e, _ in found:
-            clear = clear[:s] + " " * (e - s) + clear[e:]
-        for s, e, data in _layers(line, clear):
-            if any(f.start <= s and e <= f.end for f in found):
-                continue  # masked as it is
-            if key_container(data):
-                kind = "private_key"
-            elif (inner := _text(data)) and inner != line[s:e] and scan(inner, depth + 1):
-                kind = "encoded"
-            else:
-                continue
-            # What a literal shares letters with is masked together with it.
-            shared = [f for f in found if f.start < e and s < f.end]
-            found = [f for f in found if f not in shared]
-            found.append(Finding(min([s, *[f.start for f in shared]]), max([e, *[f.end for f in shared]]), kind))
+def _holds(text: str) -> bool:
+    """Whether a decoded text holds a credential, in the clear or below any number of encodings."""
+    todo, seen = [text], {text}
+    while todo:
+        keys, text = _keys(todo.pop())
+        if keys:
+            return True
+        for _, line, ruled in _lines(text):
+            if ruled and _clear(line):
+                return True
+            for s, e, data in _layers(line, line):
+                if key_container(data):
+                    return True
+                if (inner := _text(data)) and inner != line[s:e] and inner not in seen:
+                    seen.add(inner)
+                    todo.append(inner)
+    return False
+
+
+def _clear(line: str) -> list[Finding]:
+    """What the rules find in a line."""
+    found = [Finding(*m.span(), "token") for m in _SHAPES.finditer(line)]
+    pos = 0
+    while m := _ASSIGN.search(line, pos):
+        if line[m.end() : m.end() + 1] not in ("(", "[") and _named(m.group("name"), m.group("value")):
+            found.append(Finding(*_inner(m), "assignment"))
+            pos = m.end()
+        else:
+            pos = m.end("name")
+    for rule in _PHRASES:
+        for m in rule.finditer(line):
+            if _said(m.group("value")):
+                found.append(Finding(*_inner(m), "login"))
+    for m in _BASIC.finditer(line):
+        try:
+            user, colon, word = base64.b64decode(m.group("value"), validate=True).decode("utf-8").partition(":")
+        except (ValueError, binascii.Error):
+            continue
+        if user and colon and word and not _REFERENCE.match(word):
+            found.append(Finding(*m.span("value"), "encoded"))
+    return found
+
+
+def _scan_line(line: str, ruled: bool) -> list[Finding]:
+    found = _clear(line) if ruled else []
+    clear = line
+    for s, e, _ in found:
+        clear = clear[:s] + " " * (e - s) + clear[e:]
+    for s, e, data in _layers(line, clear):
+        if any(f.start <= s and e <= f.end for f in found):
+            continue  # masked as it is
+        if key_container(data):
+            kind = "private_key"
+        elif (inner := _text(data)) and inner != line[s:e] and _holds(inner):
+            kind = "encoded"
+        else:
+            continue
+        # What a literal shares letters with is masked together with it.
+        shared = [f for f in found if f.start < e and s < f.end]
+        found = [f for f in found if f not in shared]
+        found.append(Finding(min([s, *[f.start for f in shared]]), max([e, *[f.end for f in shared]]), kind))
     return found
 
 
@@ -339,7 +386,7 @@ def _find(with_text: bool):
                     continue
                 last = 0
                 for f in found:
-                    no = text.count("\n", 0, f.start if f.kind != "private_key" else max(0, f.start - 1)) + 1
+                    no = text.count("\n", 0, f.start) + 1
                     if no != last:
                         ids.append(i)
                         lines.append(no)

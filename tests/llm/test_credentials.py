@@ -75,6 +75,47 @@ def test_key_container():
     assert not scan("k = '" + base64.b64encode(b"\x30" + bytes(90)).decode() + "'")
 
 
+def test_any_number_of_layers():
+    text = "db.password = Kestrel2019#"
+    for level in range(1, 11):
+        text = base64.b64encode(text.encode()).decode() if level % 3 else text.encode().hex()
+        line = f"v = '{text}'"
+        assert mask(line, scan(line)) == "v = 'REDACTED'", level
+    deep = "password=%4Bestrel%32%30%31%39"
+    for _ in range(12):
+        deep = deep.replace("%", "%25")
+    assert scan(f"q=db.{deep.replace('=', '%3D')}")
+
+
+def _der(tag, *parts):
+    body = b"".join(parts)
+    return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
+
+
+def test_other_key_containers():
+    rsa = b"\x2a\x86\x48\x86\xf7\x0d\x01"
+    octets = _der(0x04, bytes(range(1, 200)))
+    content = _der(0x30, _der(0x06, rsa + b"\x07\x01"), _der(0xA0, octets))
+    pfx = _der(0x30, b"\x02\x01\x03", content)
+    open_length = b"\x30\x80\x02\x01\x03\x30\x80" + _der(0x06, rsa + b"\x07\x01") + b"\xa0\x80" + octets + bytes(6)
+    pbes2 = _der(0x30, _der(0x30, _der(0x06, rsa + b"\x05\x0d"), _der(0x30, b"\x05\x00")), octets)
+    pbe12 = _der(0x30, _der(0x30, _der(0x06, rsa + b"\x0c\x01\x03"), _der(0x30, b"\x05\x00")), octets)
+    for data in (pfx, open_length, pbes2, pbe12):
+        text = "a\n" + base64.b64encode(data).decode() + "\nb"
+        assert [(text.count("\n", 0, f.start), f.kind) for f in scan(text)] == [(1, "private_key")]
+        assert mask(text, scan(text)) == "a\nREDACTED\nb"
+    digest = _der(0x30, _der(0x30, _der(0x06, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01"), b"\x05\x00"), _der(0x04, bytes(32)))
+    public = _der(0x30, _der(0x30, _der(0x06, rsa + b"\x01\x01"), b"\x05\x00"), _der(0x03, bytes(200)))
+    signed = _der(0x30, _der(0x06, rsa + b"\x07\x02"), _der(0xA0, octets))
+    assert not any(key_container(x) for x in (digest, public, signed))
+
+
+def test_key_container_at_the_start_of_a_line(spark):
+    body = b"\x02\x01\x00" + b"".join(b"\x02\x20" + bytes(range(1, 33)) for _ in range(8))
+    text = "a\n" + base64.b64encode(_der(0x30, body)).decode() + "\nb"
+    assert [r.line_no for r in find_credentials(spark.createDataFrame([(1, text)], "id long, text_content string")).collect()] == [2]
+
+
 def test_rows(spark):
     rows = [(1, "a\r\n" + KEY + "\r\nb", "x"), (2, None, "x"), (3, "", "x"), (4, "n=1\n" * 50_000 + "RPT_PWD=Quartz2016", "x"), (None, "PASSPHRASE driftcliff8", "x"), (1, "PASSPHRASE driftcliff8", "x")]
     df = spark.createDataFrame(rows, "id long, text_content string, kind string")
