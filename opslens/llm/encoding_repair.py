@@ -7,10 +7,13 @@ states are texts, steps re-encode a text in the encoding it may have been read w
 decode it as the one it may have been written in, or unescape it. States are hashed so
 that none is opened twice, the cheapest state is opened first, and the cheapest text
 reached replaces the line if it is clearly more plausible. Where the whole line cannot be
-re-encoded (garbled and right parts side by side), each word is searched alone.
+re-encoded (garbled and right parts side by side), each word is searched alone. A run of
+escapes (entities, \\u, percent or quoted-printable codes) is searched if the text that it
+stands for is implausible, whether or not its line holds anything beyond ASCII.
 
 Defined results
   null or empty text      no case, returned as it is
+  escapes of right text   no case
   ASCII, correct text in other scripts, symbols, frames    no case
   replacement characters or control characters of 0x80-0x9F     a case, even if lost for good
   very long lines         searched whole
@@ -162,7 +165,7 @@ def text_cost(text: str) -> float:
     return cost + 0.8 * len(_ESCAPES.findall(text))
 
 
-_ESCAPES = re.compile(r"&(?:#\d{2,5}|#x[0-9a-fA-F]{2,4}|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}|(?:%[89A-Fa-f][0-9A-Fa-f]){2,}|(?:=[89A-F][0-9A-F]){2,}")
+_ESCAPES = re.compile(r"&(?:#\d{2,5}|#x[0-9a-fA-F]{2,4}|[A-Za-z][A-Za-z0-9]{1,7});|\\u[0-9a-fA-F]{4}|(?:%[89A-Fa-f][0-9A-Fa-f]){2,}|(?:=[89A-F][0-9A-F]){2,}")
 
 
 def _unescape(text: str) -> Iterator[str]:
@@ -261,15 +264,39 @@ def repair_line(line: str) -> tuple[str, bool]:
     return out, hit or bool(_LOST.search(line)) or first >= 6 and sum(word_cost(w) >= 2 for w in words) * 2 > len(words)
 
 
+_ESCAPED = re.compile(rf"(?:{_ESCAPES.pattern})+")
+
+
+def repair_escaped(line: str) -> tuple[str, bool]:
+    """The line with garbled text restored that stands in it as escapes; escapes of right text stay."""
+    hit = False
+
+    def one(m: re.Match) -> str:
+        nonlocal hit
+        for t in _unescape(m.group()):
+            if len(_BEYOND.findall(t)) < 2 or _settled(t):
+                continue
+            b, c, f = search(t)
+            if b != t and c <= 0.5 * f and f - c >= 0.85:
+                hit = True
+                return b
+        return m.group()
+
+    return _ESCAPED.sub(one, line), hit
+
+
 def repair(text: str | None) -> tuple[str | None, bool]:
     """The restored text and whether it was a case."""
-    if not text or not _BEYOND.search(text):
+    if not text or not _BEYOND.search(text) and not _ESCAPES.search(text):
         return text, False
     hit, out = False, text.split("\n")
     for i, line in enumerate(out):
         if not line.isascii():
             out[i], h = repair_line(line)
             hit |= h
+        if _ESCAPES.search(out[i]):
+            out[i], h = repair_escaped(out[i])
+            hit |= h
     return ("\n".join(out) if hit else text), hit
 
 
@@ -282,5 +309,5 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repair_encoding(texts: DataFrame) -> DataFrame:
     """tab, row_id, restored: the rows of ``texts`` (tab, row_id, body) with a wrongly decoded part."""
-    cand = texts.select("tab", F.col("row_id").cast("long"), "body").filter(F.col("body").rlike(r"[^\x00-\x7f]"))
+    cand = texts.select("tab", F.col("row_id").cast("long"), "body").filter(F.col("body").rlike(r"[^\x00-\x7f]") | F.col("body").rlike(_ESCAPES.pattern))
     return cand.mapInPandas(_run, "tab string, row_id long, restored string")

@@ -54,3 +54,16 @@ def test_lost_and_odd(spark):
     got = sorted((r.tab, r.row_id, r.restored) for r in repair_encoding(df).collect())
     assert got == [("a", 1, "# ����� ������"), ("m", 5, "für den Rückläufer"), ("m", 5, "für den Rückläufer")]
     assert repair_encoding(df.limit(0)).count() == 0
+
+
+def test_garbled_text_kept_as_escapes(spark):
+    from opslens.llm.encoding_repair import repair, repair_encoding
+
+    garbled = ["f&Atilde;&frac14;r &lt;b&gt;", "f&#195;&#188;r &lt;b&gt;", "f\\u00c3\\u00bcr &lt;b&gt;", "f%C3%83%C2%BCr &lt;b&gt;", "f=C3=83=C2=BCr &lt;b&gt;"]
+    for line in garbled:
+        assert repair(f"a\n{line}\nb") == ("a\nfür &lt;b&gt;\nb", True), line
+    right = ["f&uuml;r &Uuml;ber&nbsp;&nbsp;", "f%C3%BCr", "f=C3=BCr", "[\\u0080-\\u009f]", "f\\u00fcr", "&amp;&lt;&gt;"]
+    for line in right:
+        assert repair(line) == (line, False), line
+    df = spark.createDataFrame([("t", i, x) for i, x in enumerate([*garbled, *right, None, ""])], "tab string, row_id long, body string")
+    assert sorted(r.row_id for r in repair_encoding(df).collect()) == [0, 1, 2, 3, 4]
