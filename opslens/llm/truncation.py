@@ -122,7 +122,7 @@ def _cut_by_form(at_limit: Column, half_word: Column) -> Column:
         .when(F.col("mark") != "", ~F.col("mark_apart") | evidence)
         .when(F.col("open_code"), True)
         .when(line.rlike(r"^```"), False)
-        .when(line.rlike(r"^\s*\|"), ~line.rlike(r"\|$") | at_limit & ~tail.rlike(r"\|$"))
+        .when(line.rlike(r"^\s*\|"), ~tail.rlike(r"\|$"))
         .when(line.rlike(r"^[-=_*~]{3,}$"), False)  # a rule, or filling up to the limit
         .when(closed, half_name)
         .when(listed, evidence | half_form)

@@ -47,3 +47,10 @@ def test_limits_and_share(spark):
 def test_empty(docs):
     assert find_cut(docs.limit(0)).count() == 0
     assert cut_share(docs.limit(0)).count() == 0
+
+
+def test_wide_table_row(spark):
+    row = "| " + " | ".join(f"value {i}" for i in range(90)) + " |"
+    docs = [(1, f"| a | b |\n{row}", "s"), (2, f"| a | b |\n{row[:-1]}", "s"), (3, "| a | b |\n| c | d |", "s"), (4, "| a | b |\n| c | d", "s")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert len(row) > 800 and sorted(r.doc_id for r in find_cut(df).collect()) == [2, 4]
