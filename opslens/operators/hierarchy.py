@@ -4,10 +4,11 @@ Each node has at most one parent, so the links form trees and loops. They are so
 rounds. A round puts a node beside its parent where the parent's hash is a local minimum
 (at least a third of the links of any shape come to lie within one partition), follows
 the chains inside each partition to the first node outside (the exit of the fragment),
-and keeps only exits as the next, smaller problem. A problem of at most ``base_rows``
-links is followed in one task. The answers are then expanded round by round: a node's
-root is its exit's root and its depth the exit's depth plus the steps to the exit. Loops
-inside a partition are found there, loops over several partitions in a later round.
+and keeps only exits as the next, smaller problem. The links themselves are always
+contracted; only a quotient of at most ``base_rows`` links that came out of a round is
+followed in one task. The answers are then expanded round by round: a node's root is its
+exit's root and its depth the exit's depth plus the steps to the exit. Loops inside a
+partition are found there, loops over several partitions in a later round.
 
 Defined results
   null src, dst or rel_type   the row is no link
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from opslens.runtime import checkpointed
 
-#: Links that one task follows in memory.
-BASE_ROWS = 100_000
+#: Links of a contracted forest that one task follows in memory.
+BASE_ROWS = 2_000
+#: Links of a round that one task gets, about; at a quarter of it a parent keeps its own place.
+TASK_ROWS = 100_000
 
 _FRAGMENT = "rel string, node long, exit long, steps int, low long, looped boolean, way array<long>"
 
@@ -85,10 +88,10 @@ def _follow(with_way: bool):
     return run
 
 
-def _place(links: DataFrame, parts: int, base_rows: int, round_no: int) -> DataFrame:
+def _place(links: DataFrame, parts: int, task_rows: int, round_no: int) -> DataFrame:
     """Partitions links so that local minima of the round's hash attract their children."""
     # Nodes with too many children for one task keep their own place and are left as exits.
-    hot = links.groupBy("rel", "exit").count().filter(F.col("count") > base_rows // 4).select("rel", "exit", F.lit(True).alias("hot"))
+    hot = links.groupBy("rel", "exit").count().filter(F.col("count") > task_rows // 4).select("rel", "exit", F.lit(True).alias("hot"))
 
     def mix(c: str) -> Column:
         return F.xxhash64(F.lit(round_no), F.col("rel"), F.col(c))
@@ -97,11 +100,12 @@ def _place(links: DataFrame, parts: int, base_rows: int, round_no: int) -> DataF
     return links.join(hot, ["rel", "exit"], "left").withColumn("spot", F.when(attracted, mix("exit")).otherwise(mix("node"))).repartition(parts, "spot").drop("hot", "spot")
 
 
-def _solve(links: DataFrame, n: int, base_rows: int, with_way: bool, round_no: int) -> DataFrame:
+def _solve(links: DataFrame, n: int, base_rows: int, task_rows: int, with_way: bool, round_no: int) -> DataFrame:
     """(rel, node, root, depth, way) of links (rel, node, exit, steps, low, way)."""
-    base = n <= base_rows
-    parts = 1 if base else -(-n * 2 // base_rows)
-    placed = links.coalesce(1) if base else _place(links, parts, base_rows, round_no)
+    base = round_no > 0 and n <= base_rows
+    cores = links.sparkSession.sparkContext.defaultParallelism
+    parts = max(2, min(-(-n * 2 // base_rows), cores), -(-n // task_rows))
+    placed = links.coalesce(1) if base else _place(links, parts, task_rows, round_no)
     fragments = placed.mapInPandas(_follow(with_way), _FRAGMENT)
     looped = F.col("looped")
     if base:
@@ -116,7 +120,7 @@ def _solve(links: DataFrame, n: int, base_rows: int, with_way: bool, round_no: i
     above = closed
     if left:
         # A closed node is an exit without a link of its own in the next round: a root there.
-        above = _solve(open_links, left, base_rows, with_way, round_no + 1).unionByName(closed)
+        above = _solve(open_links, left, base_rows, task_rows, with_way, round_no + 1).unionByName(closed)
         via = closed.select("rel", F.col("node").alias("root"), F.col("root").alias("loop_root"))
         above = above.join(via, ["rel", "root"], "left").select(
             "rel", "node", F.coalesce("loop_root", "root").alias("root"), F.when(F.col("loop_root").isNotNull(), -1).otherwise(F.col("depth")).alias("depth"), F.when(F.col("loop_root").isNull(), F.col("way")).alias("way")
@@ -129,7 +133,7 @@ def _solve(links: DataFrame, n: int, base_rows: int, with_way: bool, round_no: i
     return expanded.unionByName(fragments.filter(looped).select("rel", "node", F.col("exit").alias("root"), F.lit(-1).alias("depth"), "way"))
 
 
-def hierarchy(edges: DataFrame, rel_types: list[str] | None = None, with_path: bool = False, base_rows: int = BASE_ROWS) -> DataFrame:
+def hierarchy(edges: DataFrame, rel_types: list[str] | None = None, with_path: bool = False, base_rows: int = BASE_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """rel_type, node_id, root_id, depth[, path] of every node that is src or dst of a link.
 
     ``edges``: src, dst, rel_type; other columns are ignored. ``path`` is the array of ids
@@ -138,7 +142,7 @@ def hierarchy(edges: DataFrame, rel_types: list[str] | None = None, with_path: b
     links = checkpointed(parent_links(edges, rel_types))
     way = F.array("node") if with_path else F.lit(None).cast("array<long>")
     start = links.select("rel", "node", F.col("parent").alias("exit"), F.lit(1).alias("steps"), F.col("node").alias("low"), way.alias("way"))
-    solved = _solve(start, links.count(), base_rows, with_path, 0)
+    solved = _solve(start, links.count(), base_rows, task_rows, with_path, 0)
     tops = links.select("rel", F.col("parent").alias("node")).distinct().join(links, ["rel", "node"], "left_anti")
     tops = tops.select("rel", "node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast("array<long>").alias("way"))
     out = solved.unionByName(tops)
