@@ -27,13 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it is read from too few files to keep them busy.
+    """``df`` over all cores where its read makes fewer partitions than there are cores.
 
-    One small file is one task, however costly its rows are to work on. Tables of at least as
-    many files as cores, all large ones, are left as they are.
+    One small file is one task, however costly its rows are to work on. A read of fewer
+    partitions than cores holds less than cores x ``spark.sql.files.maxPartitionBytes``, so
+    what is moved is bounded by the cluster, not by the table.
     """
-    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < files < cores else df
+    parts, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < parts < cores else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
