@@ -8,8 +8,9 @@ at least ``min_words`` words that starts and ends with equal words and of which
 one in ten differs. Twenty words of which two differ hold an equal run of six, so no leak
 is lost to the anchor length.
 
-The test items are a stated, small set; they are worked off in blocks of
-``BLOCK_WORDS`` words, so what is sent to the tasks stays bounded whatever their number.
+The test items are a stated, small set, held apart from the corpus and not growing with
+it; they become automata of ``BLOCK_WORDS`` words each, so the driver holds one block at a
+time, and all of them are asked in one pass over the documents.
 
 Normalised: lower case, without punctuation and quote marks, split at white space.
 
@@ -18,21 +19,29 @@ Defined results
   items shorter than ``min_words``    a leak only if found whole (at least ``ANCHOR`` words)
   the same passage in two items       both are reported
   repeated rows                       one row per pair
-  several stretches of an item        the longest is found, all are removed
+  several stretches of an item        the longest is found, all are removed, until a scan
+                                      of what is left finds nothing
+  pieces of 12 to 19 words            removed where they cover ``coverage`` of an item
+  texts that are leaks for the most   emptied beyond ``max_share``, the row stays
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 20
 ANCHOR = 6
+#: Words of a piece that counts towards the coverage of an item: with one word replaced it still holds ``ANCHOR`` equal ones.
+PIECE = 12
+#: Limits for removal: share of an item that its pieces must make up, and share of a text beyond which the text goes.
+COVERAGE, MAX_SHARE = 0.5, 0.8
 BLOCK_WORDS = 400_000
 
 _MARKS = re.compile(r"[^\w\s]+|_+")
@@ -120,25 +129,6 @@ class SuffixAutomaton:
         return found
 
 
-def longest_leak(doc: list[int], item: list[int], shift: int) -> tuple[int, int] | None:
-    """Longest stretch of the alignment with at most one word in ten replaced: (start, end) in the document."""
-    lo, hi = max(0, -shift), min(len(doc), len(item) - shift)
-    equal = [doc[k] == item[k + shift] for k in range(lo, hi)]
-    at = [i for i, e in enumerate(equal) if e]
-    best = None
-    for a in range(len(at)):
-        if best and at[-1] - at[a] + 1 <= best[1] - best[0]:
-            break
-        for b in range(len(at) - 1, a, -1):
-            n = at[b] - at[a] + 1
-            if best and n <= best[1] - best[0]:
-                break
-            if (n - (b - a + 1)) * 10 <= n:
-                best = (at[a], at[b] + 1)
-                break
-    return (best[0] + lo, best[1] + lo) if best else None
-
-
 def stretches(doc: list[int], item: list[int], shift: int, least: int) -> list[tuple[int, int]]:
     """Every longest stretch of the alignment that is a leak and lies in no longer one: (start, end) in the document."""
     at = [k for k in range(max(0, -shift), min(len(doc), len(item) - shift)) if doc[k] == item[k + shift]]
@@ -156,42 +146,54 @@ def stretches(doc: list[int], item: list[int], shift: int, least: int) -> list[t
     return out
 
 
-def all_leaks_of(text: str | None, sam: SuffixAutomaton, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(item id, first word, end) of every leaked stretch of each item; stretches that overlap are one."""
-    if not text:
-        return []
+def pieces_of(words: list[str], sam: SuffixAutomaton, least: int) -> dict[int, list[tuple[int, int, int]]]:
+    """Stretches (start, end, shift) of at least ``least`` words, or the whole of a shorter item, by item number."""
     get = sam.ids.get
-    doc = [get(w, -1) for w in words_of(text)]
-    found: dict[int, list[tuple[int, int]]] = {}
+    doc = [get(w, -1) for w in words]
+    found: dict[int, list[tuple[int, int, int]]] = {}
     for no, shift in sam.alignments(doc):
         item = sam.items[no][1]
-        if spans := stretches(doc, item, shift, min(min_words, len(item))):
-            found.setdefault(no, []).extend(spans)
+        if spans := stretches(doc, item, shift, min(least, len(item))):
+            found.setdefault(no, []).extend((s, e, shift) for s, e in spans)
+    return found
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans with those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def all_leaks_of(text: str | None, sam: SuffixAutomaton, min_words: int = MIN_WORDS, coverage: float | None = None) -> list[tuple[int, int, int]]:
+    """(item id, first word, end) of every leaked stretch of each item; stretches that overlap are one.
+
+    With ``coverage``, shorter pieces (``PIECE`` words or more) are leaks too if the pieces of
+    the item in this text make up at least that share of the item.
+    """
+    if not text:
+        return []
     out = []
-    for no, spans in found.items():
-        joined: list[tuple[int, int]] = []
-        for s, e in sorted(spans):
-            if joined and s < joined[-1][1]:
-                joined[-1] = joined[-1][0], max(e, joined[-1][1])
-            else:
-                joined.append((s, e))
-        out += [(sam.items[no][0], s, e) for s, e in joined]
+    for no, pieces in pieces_of(words_of(text), sam, min_words if coverage is None else min(PIECE, min_words)).items():
+        key, item = sam.items[no]
+        if coverage is None or sum(e - s for s, e in _union([(s + h, e + h) for s, e, h in pieces])) < coverage * len(item):
+            pieces = [p for p in pieces if p[1] - p[0] >= min(min_words, len(item))]
+        out += [(key, s, e) for s, e in _union([(s, e) for s, e, _ in pieces])]
     return sorted(out)
 
 
 def leaks_of(text: str | None, sam: SuffixAutomaton, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(item id, first word, end) of each leaked item, the longest stretch of each."""
-    if not text:
-        return []
-    get = sam.ids.get
-    doc = [get(w, -1) for w in words_of(text)]
-    out: dict[int, tuple[int, int]] = {}
-    for no, shift in sam.alignments(doc):
-        item = sam.items[no][1]
-        span = longest_leak(doc, item, shift)
-        if span and span[1] - span[0] >= min(min_words, len(item)) and span[1] - span[0] > out.get(no, (0, 0))[1] - out.get(no, (0, 0))[0]:
-            out[no] = span
-    return sorted((sam.items[no][0], s, e) for no, (s, e) in out.items())
+    return _longest(words_of(text), sam, min_words) if text else []
+
+
+def _longest(words: list[str], sam: SuffixAutomaton, min_words: int) -> list[tuple[int, int, int]]:
+    best = {no: min(p, key=lambda x: (x[0] - x[1], x[0])) for no, p in pieces_of(words, sam, min_words).items()}
+    return sorted((sam.items[no][0], s, e) for no, (s, e, _) in best.items())
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -206,18 +208,35 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[pos:]
 
 
-def _blocks(items: DataFrame) -> Iterator[SuffixAutomaton]:
-    """Automata of the test items, block by block; at most ``BLOCK_WORDS`` words (or one item) are held at once."""
+def without_leaks(text: str | None, blocks: Iterable[SuffixAutomaton], min_words: int, coverage: float | None, max_share: float | None) -> tuple[str | None, int, float]:
+    """The text without its leaked stretches, their number item by item, and the share of its words that went.
+
+    Cutting goes on until nothing is found, so words that meet only by a cut leak nothing either.
+    A text that loses more than ``max_share`` of its words is emptied.
+    """
+    if not text:
+        return text, 0, 0.0
+    blocks, n, words = list(blocks), 0, len(words_of(text))
+    left = text
+    while spans := [(s, e) for sam in blocks for _, s, e in all_leaks_of(left, sam, min_words, coverage)]:
+        n += len(spans)
+        left = cut_spans(left, spans)
+    share = 1 - len(words_of(left)) / words if n else 0.0
+    return ("" if max_share is not None and share > max_share else left), n, share
+
+
+def _blocks(items: DataFrame) -> list[Broadcast]:
+    """Automata of the test items, block by block; the driver holds at most ``BLOCK_WORDS`` words (or one item) at once."""
+    share, out = items.sparkSession.sparkContext.broadcast, []
     block, n = [], 0
     for r in items.select("item_id", "text").filter("text is not null").orderBy("item_id").toLocalIterator():
         ws = words_of(r["text"])
         if block and n + len(ws) > BLOCK_WORDS:
-            yield SuffixAutomaton(block)
+            out.append(share(SuffixAutomaton(block)))
             block, n = [], 0
         block.append((r["item_id"], ws))
         n += len(ws)
-    if block:
-        yield SuffixAutomaton(block)
+    return [*out, share(SuffixAutomaton(block))] if block else out
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -225,50 +244,33 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
 
     ``documents``: doc_id, text; ``items``: item_id, text; other columns are ignored.
     """
-    spark = documents.sparkSession
-    schema = "doc_id long, item_id long, first_word int, n_words int"
     texts = documents.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text != ''")
-    out = None
-    for sam in _blocks(items):
-        shared = spark.sparkContext.broadcast(sam)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [(d, i, s, e - s) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, s, e in leaks_of(t, shared.value, min_words)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "n_words"])
-
-        part = texts.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema)
+    blocks = _blocks(items)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                words = words_of(t)  # once for all blocks
+                rows += [(d, i, s, e - s) for b in blocks for i, s, e in _longest(words, b.value, min_words)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "n_words"])
+
+    out = texts.mapInPandas(run, "doc_id long, item_id long, first_word int, n_words int")
     best = F.max(F.struct("n_words", (-F.col("first_word")).alias("first"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.first")).cast("int").alias("first_word"), "b.n_words")
 
 
-def remove_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text, n_removed: every document, without its leaked stretches; n_removed counts them item by item.
+def remove_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, coverage: float | None = None, max_share: float | None = None) -> DataFrame:
+    """doc_id, text, n_removed, share_removed: every document, without its leaked stretches; n_removed counts them item by item.
 
-    The stretches of all blocks are found in the whole text and cut out together at the end.
+    ``coverage`` and ``max_share``: see ``all_leaks_of`` and ``without_leaks``; None sets no limit.
     """
-    schema = "doc_id long, text string, spans array<int>"
-    texts = documents.select(F.col("doc_id").cast("long"), "text", F.array().cast("array<int>").alias("spans"))
-    for sam in _blocks(items):
-        shared = documents.sparkSession.sparkContext.broadcast(sam)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = []
-                for d, t, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
-                    rows.append((d, t, [*spans, *[x for _, s, e in all_leaks_of(t, shared.value, min_words) for x in (s, e)]]))
-                yield pd.DataFrame(rows, columns=["doc_id", "text", "spans"])
-
-        texts = texts.mapInPandas(run, schema)
+    blocks = _blocks(items)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["n_removed"] = [len(x) // 2 for x in pdf["spans"]]
-            pdf["text"] = [cut_spans(t, list(zip(x[::2], x[1::2], strict=True))) if len(x) else t for t, x in zip(pdf["text"], pdf["spans"], strict=True)]
-            yield pdf[["doc_id", "text", "n_removed"]]
+            done = [without_leaks(t, (b.value for b in blocks), min_words, coverage, max_share) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [x[0] for x in done], "n_removed": [x[1] for x in done], "share_removed": [x[2] for x in done]})
 
-    return texts.mapInPandas(cut, "doc_id long, text string, n_removed int")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, text string, n_removed int, share_removed double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm.contamination import find_leaks, remove_leaks
+from opslens.llm.contamination import COVERAGE, MAX_SHARE, find_leaks, remove_leaks
 from opslens.llm.credentials import find_credentials, redact_credentials
 from opslens.llm.encoding_repair import repair_encoding
 from opslens.llm.mixing import mix
@@ -63,7 +63,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its leaked stretches."""
-    return remove_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return remove_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), coverage=COVERAGE, max_share=MAX_SHARE)
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -99,3 +99,24 @@ def test_every_stretch_is_removed(spark, monkeypatch):
         monkeypatch.setattr(C, "BLOCK_WORDS", words)
         got = {r.doc_id: (r.text, r.n_removed) for r in C.remove_leaks(df, items).collect()}
         assert got == {1: ("a  b  c", 2), 2: ("a  b  c", 2), 3: ("a  c", 2), 4: ("a c", 0)}
+
+
+def test_pieces_that_cover_an_item():
+    item = [f"n{i}" for i in range(60)]
+    sam = C.SuffixAutomaton([(1, item)])
+    doc = "a " + " ".join(item[:15]) + " b " + " ".join(item[20:36]) + " c"
+    assert C.all_leaks_of(doc, sam) == []
+    assert [(s, e) for _, s, e in C.all_leaks_of(doc, sam, coverage=0.5)] == [(1, 16), (17, 33)]
+    assert C.all_leaks_of(doc, sam, coverage=0.6) == []
+
+
+def test_words_that_meet_by_a_cut(spark):
+    item = [f"n{i}" for i in range(60)]
+    doc = "a " + " ".join(item[:12] + item[30:55] + item[12:24]) + " b"  # two halves of a passage around another one
+    df = spark.createDataFrame([(1, doc), (2, " ".join(item) + " rest")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.text.split(), r.n_removed) for r in C.remove_leaks(df, items).collect()}
+    assert got == {1: (["a", "b"], 2), 2: (["rest"], 1)}
+    assert C.find_leaks(C.remove_leaks(df, items), items).count() == 0
+    emptied = {r.doc_id: (r.text, round(r.share_removed, 2)) for r in C.remove_leaks(df, items, max_share=0.97).collect()}
+    assert emptied == {1: ("a  b", 0.96), 2: ("", 0.98)}
