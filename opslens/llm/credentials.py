@@ -3,10 +3,11 @@
 A scan looks for credentials in the clear (assignments, connection strings, logins, known
 token shapes, private keys), then decodes every base64, hex, percent-encoded or escaped
 literal and scans the decoded text again, level by level, until nothing can be decoded (each
-level is shorter than the one before). Decoded bytes are also parsed as key containers by
-their binary grammar (DER private keys, encrypted ones, PKCS#12; the OpenSSH container is
-known by its 15 fixed bytes). What is found inside an encoded literal is redacted by
-replacing that enclosing literal.
+level is shorter than the one before; runs of percent codes of percent signs are one level).
+A literal that goes on over several lines is joined first. Decoded bytes are also parsed as
+key containers by their binary grammar: DER private keys, encrypted ones, PKCS#12, Java key
+stores and OpenSSH keys. What is found inside an encoded literal is redacted by replacing
+that enclosing literal, line by line where it has several.
 
 Defined results
   null or empty text   no finding, returned as it is
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import unquote
@@ -48,7 +51,7 @@ _USER = r"[A-Za-z][\w.-]{1,31}"
 
 # name = value, name: value, name => value, {name} = value, "name": value, f("NAME", value)
 _ASSIGN = re.compile(
-    rf"(?<![A-Za-z0-9])(?P<name>[\w.$%@*-]*?{_NAME})(?P<sep>[\"'\]}}]*\s*(?:=>|:=|==?(?!=)|:|,(?=\s*[\"']))\s*)(?P<value>{_PIECES}|{_BARE})",
+    rf"(?P<name>{_NAME})(?P<sep>[\"'\]}}]*\s*(?:=>|:=|==?(?!=)|:|,(?=\s*[\"']))\s*)(?P<value>{_PIECES}|{_BARE})",
     re.I,
 )
 _PHRASES = [
@@ -61,7 +64,7 @@ _PHRASES = [
         rf"\b(?:pickup|access|api|licen[cs]e)\s+key\s+(?P<value>[A-Za-z0-9+/=_-]{{16,}})",
         rf"\bsqlplus\b[^\n]*?\s{_USER}/(?P<value>[^\s@$]+(?:@(?=[^\s@]*@)[^\s@]*)*)@",
         rf"\bjdbc:[\w:]*?:(?:thin|oci):{_USER}/(?P<value>[^\s@]+(?:@(?!//))?[^\s@]*)@",
-        rf"\b[a-z][a-z0-9+.-]*://{_USER}:(?P<value>[^\s/@\"'<>]+)@",
+        rf"(?<=[a-z0-9+.-])://{_USER}:(?P<value>[^\s/@\"'<>]+)@",
         rf"->login\(\s*(?:{_QUOTED})\s*,\s*(?P<value>{_PIECES})",
         rf"->connect\(\s*(?:{_QUOTED})\s*,\s*(?:{_QUOTED})\s*,\s*(?P<value>{_PIECES})",
         rf"\bauth\s*=\s*\(\s*(?:{_QUOTED})\s*,\s*(?P<value>{_PIECES})",
@@ -74,13 +77,17 @@ _PHRASES = [
     )
 ]
 _BASIC = re.compile(r"\bBasic\s+(?P<value>[A-Za-z0-9+/]{8,}={0,2})")
-_SHAPES = re.compile(r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|lmk_[a-z]+_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_])")
+_SHAPES = re.compile(r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_])")
+# A word, an underscore and a long run of letters and digits; a token if the run looks drawn at random.
+_TAGGED = re.compile(r"(?<![A-Za-z0-9_])[a-z]{2,10}(?:_[a-z]+)*_(?P<run>[A-Za-z0-9]{20,})(?![A-Za-z0-9_])")
+#: Bits a character from which a run counts as random.
+RANDOM_BITS = 3.5
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:(?!-----).)*)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?", re.S)
 _PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE|CERTIFICATE REQUEST|X509 CRL)-----.*?-----END [A-Z0-9 ]+-----", re.S)
 
 # Lines without any of these (in lower case) hold nothing that the rules above could match,
 # lines without any of those behind it nothing that could be decoded.
-_WORDS = r"pass|pw|secret|tok|key|login|://|jdbc|sqlplus|connect|auth|basic|akia|gh[pousr]_|lmk_|xox|eyj|credential|was |open "
+_WORDS = r"pass|pw|secret|tok|key|login|://|jdbc|sqlplus|connect|auth|basic|akia|[a-z]_[a-z0-9]{20}|xox|eyj|credential|was |open "
 _HINT = re.compile(_WORDS)
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{16,}|%[0-9A-Fa-f]{2}[^\s%]*%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}")
 
@@ -107,8 +114,24 @@ def _literal(value: str) -> str:
     return value
 
 
-def _named(name: str, value: str) -> bool:
-    """Whether a value given to a secret name is a credential in full."""
+def random_run(text: str) -> bool:
+    """Whether letters and digits look drawn at random: all three kinds, and enough bits a character."""
+    if not (re.search("[a-z]", text) and re.search("[A-Z]", text) and re.search(r"\d", text)):
+        return False
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values()) >= RANDOM_BITS
+
+
+# Words that sentences hold and passphrases do not.
+_SENTENCE = re.compile(r"(?i)\b(?:a|an|the|is|are|was|be|must|may|not|no|for|from|of|to|in|on|at|by|with|and|or|your|you|this|that|please|enter|invalid|wrong|missing|required|expired)\b|[.!?:]$|[<>{}%$]")
+
+
+def _passphrase(name: str, text: str) -> bool:
+    """Three words or more that make no sentence, under a name that asks for a password."""
+    return "pass" in name and len(text.split()) >= 3 and not _SENTENCE.search(text)
+
+
+def _named(name: str, value: str, plain: bool = False) -> bool:
+    """Whether a value given to a secret name is a credential in full; ``plain``: set as in a shell or an env file."""
     quoted, text = value[:1] in "\"'", _literal(value).strip()
     if len(text) < 4 or _REFERENCE.match(text) or not quoted and _LOOKUP.match(text):
         return False
@@ -120,8 +143,8 @@ def _named(name: str, value: str) -> bool:
         return len(text) >= 12 and bool(re.search(r"\d|[A-Z].*[a-z]|[a-z].*[A-Z]", text)) and not re.search(r"\s", text)
     if not quoted:
         text = text.rstrip(",")
-        return len(text) >= 4 and not _CODE_VALUE.match(text) and (bool(re.search(r"[0-9\W_]|[a-z][A-Z]", text)) or len(text) >= 8)
-    return not re.search(r"\s", text) or bool(re.search(r"\d", text))
+        return len(text) >= 4 and not _CODE_VALUE.match(text) and (plain or bool(re.search(r"[0-9\W_]|[a-z][A-Z]", text)) or len(text) >= 8)
+    return not re.search(r"\s", text) or bool(re.search(r"\d", text)) or _passphrase(low, text)
 
 
 def _said(value: str) -> bool:
@@ -174,15 +197,63 @@ def _der_private(data: bytes) -> bool:
         return False
 
 
+def _openssh_private(data: bytes) -> bool:
+    """OpenSSH grammar: cipher, key derivation and its options, number of keys, public keys, private part."""
+    if not data.startswith(b"openssh-key-v1\x00"):
+        return False
+    i = 15
+
+    def field(i: int) -> int:
+        n = int.from_bytes(data[i : i + 4], "big")
+        if i + 4 > len(data):
+            raise ValueError
+        return i + 4 + n
+
+    try:
+        for _ in range(3):
+            i = field(i)
+        keys = int.from_bytes(data[i : i + 4], "big")
+        i += 4
+        for _ in range(min(keys, len(data))):
+            i = field(i)
+        return keys >= 1 and i < len(data)  # a cut private part is private still
+    except ValueError:
+        return False
+
+
+def _java_store(data: bytes) -> bool:
+    """JKS and JCEKS grammar: version, then entries of a tag, an alias, a date and what they hold; certificates alone are no case."""
+    if data[:4] not in (b"\xfe\xed\xfe\xed", b"\xce\xce\xce\xce") or int.from_bytes(data[4:8], "big") not in (1, 2):
+        return False
+    i, version = 12, data[7]
+    for _ in range(min(int.from_bytes(data[8:12], "big"), len(data))):
+        tag, n = int.from_bytes(data[i : i + 4], "big"), int.from_bytes(data[i + 4 : i + 6], "big")
+        if tag in (1, 3):
+            return i + 6 + n + 8 < len(data)
+        i += 6 + n + 8
+        if tag != 2 or i >= len(data):
+            return False
+        if version == 2:  # the certificate's type
+            i += 2 + int.from_bytes(data[i : i + 2], "big")
+        i += 4 + int.from_bytes(data[i : i + 4], "big")
+    return False
+
+
 def key_container(data: bytes) -> bool:
     """Whether bytes are a private-key container."""
-    return data.startswith(b"openssh-key-v1\x00") or _der_private(data)
+    return _der_private(data) or _openssh_private(data) or _java_store(data)
 
 
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}(?![A-Za-z0-9+/=_-])")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:0x)?(?:[0-9a-fA-F]{2}){8,}(?![0-9A-Za-z])")
-_PCT = re.compile(r"[\w.~:/@=&?+-]*(?:%[0-9A-Fa-f]{2}[\w.~:/@=&?+-]*){3,}")
-_ESC = re.compile(r"(?:[^\s\"'\\]*(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3})){3,}[^\s\"'\\]*")
+# A match begins where a stretch does and gives nothing back, so long stretches are walked once.
+_PCT = re.compile(r"(?<![\w.~:/@=&?+-])[\w.~:/@=&?+-]*+(?:%[0-9A-Fa-f]{2}[\w.~:/@=&?+-]*+){3,}")
+_PCT_OF_PCT = re.compile(r"%(?:25)++(?=[0-9A-Fa-f]{2})")
+_ESC = re.compile(r"(?<![^\s\"'\\])(?:[^\s\"'\\]*+(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3})){3,}[^\s\"'\\]*+")
+_RUN = r"[A-Za-z0-9+/_-]"
+_GLUE = r"[\"']?[ \t]*[\\+.&]?[ \t]*\r?\n[ \t]*(?:(?:\#|//|\*|--)[ \t]*)?[+.&]?[ \t]*[\"']?"
+#: A literal over several lines: a run that ends a line, runs that fill lines, and a last one.
+_WRAPPED = re.compile(rf"(?<!{_RUN}){_RUN}{{16,}}(?:{_GLUE}{_RUN}{{16,}})*+(?:{_GLUE}{_RUN}+)?={{0,2}}(?=[\"')\],;]*[ \t]*(?:\r?\n|$))")
 
 
 def _text(data: bytes) -> str | None:
@@ -193,6 +264,21 @@ def _text(data: bytes) -> str | None:
     return s if s and sum(c.isprintable() or c in "\r\n\t" for c in s) >= 0.97 * len(s) else None
 
 
+def _decoded(run: str) -> Iterator[bytes]:
+    """What a run of letters, digits and signs stands for as base64 and as hex."""
+    raw = run.rstrip("=")
+    if len(raw) % 4 != 1 and not raw.isdigit():
+        try:
+            yield base64.urlsafe_b64decode(raw.replace("+", "-").replace("/", "_") + "=" * (-len(raw) % 4))
+        except (ValueError, binascii.Error):
+            pass
+    if len(raw) % 2 == 0:
+        try:
+            yield bytes.fromhex(raw)
+        except ValueError:
+            pass
+
+
 def _layers(text: str, clear: str) -> Iterator[tuple[int, int, bytes]]:
     """Encoded literals of a text with the bytes they stand for.
 
@@ -210,7 +296,7 @@ def _layers(text: str, clear: str) -> Iterator[tuple[int, int, bytes]]:
     for m in _HEX.finditer(text):
         yield m.start(), m.end(), bytes.fromhex(m.group().removeprefix("0x"))
     for m in _PCT.finditer(clear) if "%" in clear else ():
-        yield m.start(), m.end(), unquote(m.group()).encode()
+        yield m.start(), m.end(), unquote(_PCT_OF_PCT.sub("%", m.group())).encode()
     for m in _ESC.finditer(clear) if "\\" in clear else ():
         try:
             yield m.start(), m.end(), m.group().encode("latin-1", "backslashreplace").decode("unicode_escape").encode("utf-8", "replace")
@@ -218,6 +304,32 @@ def _layers(text: str, clear: str) -> Iterator[tuple[int, int, bytes]]:
             pass
 
 
+def _wrapped(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """Literals that go on over several lines, with the bytes they stand for; the last line may not belong to them."""
+    for m in _WRAPPED.finditer(text):
+        if "\n" not in m.group():
+            continue
+        parts = _parts(m.group())
+        for n in (len(parts), len(parts) - 1):
+            if n > 1:
+                end = m.start() + parts[n - 1][1]
+                for data in _decoded("".join(m.group()[s:e] for s, e in parts[:n])):
+                    yield m.start(), end, data
+
+
+def _parts(block: str) -> list[tuple[int, int]]:
+    """The runs of a block over several lines, one a line."""
+    out, at = [], 0
+    for line in block.split("\n"):
+        if m := re.search(rf"{_RUN}+={{0,2}}(?=[\"']?[ \t]*[\\+.&]?[ \t]*\r?$)", line):
+            s = m.start()
+            while line.startswith("//", s) and out:  # a comment mark before the run
+                s += 2
+            out.append((at + s, at + m.end()))
+        at += len(line) + 1
+    return out
+
+
 def _inner(m: re.Match) -> tuple[int, int]:
     """The span of a value without the quotes around it."""
     s, e = m.span("value")
@@ -278,9 +390,10 @@ def scan(text: str | None) -> list[Finding]:
     if not text:
         return []
     spans, text = _keys(text)
+    wrapped = _long_literals(text)
     for at, line, ruled in _lines(text):
-        spans += [Finding(at + s, at + e, k) for s, e, k in _scan_line(line, ruled)]
-    spans.sort()
+        spans += [Finding(at + s, at + e, k) for s, e, k in _scan_line(line, ruled) if not any(at + s < w.end and w.start < at + e for w in wrapped)]
+    spans = sorted(spans + wrapped)
     out: list[Finding] = []
     for f in spans:
         if not out or f.start >= out[-1].end:
@@ -288,6 +401,15 @@ def scan(text: str | None) -> list[Finding]:
     return out
 
 
+def _long_literals(text: str) -> list[Finding]:
+    """Encoded literals over several lines that hold a credential."""
+    out: list[Finding] = []
+    for s, e, data in _wrapped(text):
+        if (not out or s >= out[-1].end) and (key_container(data) or (inner := _text(data)) and _holds(inner)):
+            out.append(Finding(s, e, "wrapped"))
+    return out
+
+
 def _holds(text: str) -> bool:
     """Whether a decoded text holds a credential, in the clear or below any number of encodings."""
     todo, seen = [text], {text}
@@ -295,6 +417,12 @@ def _holds(text: str) -> bool:
         keys, text = _keys(todo.pop())
         if keys:
             return True
+        for _, _, data in _wrapped(text):
+            if key_container(data):
+                return True
+            if (inner := _text(data)) and inner not in seen:
+                seen.add(inner)
+                todo.append(inner)
         for _, line, ruled in _lines(text):
             if ruled and _clear(line):
                 return True
@@ -307,12 +435,18 @@ def _holds(text: str) -> bool:
     return False
 
 
+# NAME=value as a shell or an env file sets it: nothing before the name but export or set.
+_ENV_LINE = re.compile(r"\s*(?:(?:export|set|setenv|declare|typeset|readonly|ENV)\s+)?[A-Z][A-Z0-9_]*=[^\s]+$")
+
+
 def _clear(line: str) -> list[Finding]:
     """What the rules find in a line."""
     found = [Finding(*m.span(), "token") for m in _SHAPES.finditer(line)]
+    found += [Finding(*m.span(), "token") for m in _TAGGED.finditer(line) if random_run(m.group("run"))]
     pos = 0
     while m := _ASSIGN.search(line, pos):
-        if line[m.end() : m.end() + 1] not in ("(", "[") and _named(m.group("name"), m.group("value")):
+        plain = m.group("sep") == "=" and bool(_ENV_LINE.match(line, 0, m.end()))
+        if line[m.end() : m.end() + 1] not in ("(", "[") and _named(m.group("name"), m.group("value"), plain):
             found.append(Finding(*_inner(m), "assignment"))
             pos = m.end()
         else:
@@ -361,7 +495,13 @@ def mask(text: str | None, findings: list[Finding]) -> str | None:
         span = text[f.start : f.end]
         out.append(text[at : f.start])
         lead = span[: len(span) - len(span.lstrip("\r\n"))]
-        if f.kind == "private_key" and "\n" in span:
+        if f.kind == "wrapped":
+            pos = 0
+            for s, e in _parts(span):
+                out.append(span[pos:s] + MASK)
+                pos = e
+            out.append(span[pos:])
+        elif f.kind == "private_key" and "\n" in span:
             out.append("\n".join(MASK if x.strip() else x for x in span.split("\n")))
         elif span[:1] in "\"'":  # several pieces become one literal
             out.append(span[0] + MASK + span[0])

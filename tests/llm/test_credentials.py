@@ -125,3 +125,65 @@ def test_rows(spark):
     assert len(out) == 6 and "driftcliff8" not in "".join(r.text_content or "" for r in out)
     assert {r.text_content for r in out if r.id in (2, 3)} == {None, ""}
     assert find_credentials(df.limit(0)).count() == 0
+
+
+WHOLE = [
+    'password: "correct horse battery staple"', "export DB_PASSWORD=summer", "DB_PASSWORD=summer", "t = 'acme_live_g0Oc9W5VtJngvVSAFp70OGS00cku'",
+]
+NO_WORDS = ['password: "must not be empty"', 'print("password: your old one is wrong")', "note: password=none given", "t = 'acme_live_aaaaaaaaaaaaaaaaaaaaaaaa'", "password: summer", "export DB_PASSWORD=$PW"]
+
+
+@pytest.mark.parametrize("line", WHOLE)
+def test_words_as_values(line):
+    found = scan(line)
+    assert len(found) == 1 and not scan(mask(line, found))
+
+
+@pytest.mark.parametrize("line", NO_WORDS)
+def test_words_that_are_none(line):
+    assert scan(line) == []
+
+
+def test_literal_over_several_lines():
+    secret = base64.b64encode(b"# settings of the loader\nname = loader\ndb.password = Kestrel2019#\nregion = north\n").decode()
+    rows = [secret[i : i + 40] for i in range(0, len(secret), 40)]
+    texts = ["blob = '" + "' \\\n       '".join(rows) + "'\nnext = 1", "k: |\n  " + "\n  ".join(rows) + "\nnext: 1", "# " + "\n# ".join(rows) + "\nrun it", 'x = "' + '" +\n    "'.join(rows) + '";\ny']
+    for text in texts:
+        found = scan(text)
+        masked = mask(text, found)
+        assert [f.kind for f in found] == ["wrapped"] and text.count("\n", 0, found[0].start) == (1 if text.startswith("k:") else 0)
+        assert masked.count("\n") == text.count("\n") and masked.count("REDACTED") == len(rows) and not scan(masked)
+        assert re.sub("[A-Za-z0-9+/=]", "", masked) == re.sub("[A-Za-z0-9+/=]", "", text)
+    plain = base64.b64encode(b"# settings of the loader\nname = loader\nregion = north\nnothing secret here\n").decode()
+    assert not scan("blob = '" + "' \\\n  '".join(plain[i : i + 40] for i in range(0, len(plain), 40)) + "'")
+
+
+def test_key_stores():
+    def text(b):
+        return len(b).to_bytes(2, "big") + b
+
+    def sized(b):
+        return len(b).to_bytes(4, "big") + b
+
+    trusted = (2).to_bytes(4, "big") + text(b"ca") + bytes(8) + text(b"X.509") + sized(bytes(60))
+    private = (1).to_bytes(4, "big") + text(b"loader") + bytes(8) + sized(bytes(range(200)))
+    head = lambda n: b"\xfe\xed\xfe\xed" + (2).to_bytes(4, "big") + n.to_bytes(4, "big")
+    ssh = b"openssh-key-v1\x00" + sized(b"none") + sized(b"none") + sized(b"") + (1).to_bytes(4, "big") + sized(bytes(51)) + sized(bytes(136))
+    assert key_container(head(1) + private) and key_container(head(2) + trusted + private) and key_container(ssh)
+    assert not key_container(head(1) + trusted) and not key_container(b"openssh-key-v1\x00" + bytes(30))
+    for data in (head(1) + private, ssh):
+        wrapped = base64.encodebytes(data).decode()
+        assert [f.kind for f in scan("store:\n" + wrapped + "end")] == ["wrapped"]
+
+
+def test_long_lines_in_linear_time():
+    import time
+
+    deep = "db.password%3D%4Bestrel%32%30%31%39"
+    for _ in range(2_000):
+        deep = deep.replace("%", "%25", 3)
+    nested = "db.password%3D%4Bestrel%32%30%31%39".replace("%", "%" + "25" * 2_000)
+    began = time.perf_counter()
+    assert scan(f"q={nested}") and scan("x" * 400_000 + "=") == [] and scan("pass-" * 60_000) == [] and scan("a\\x4" * 50_000) == [] and scan("%zz" * 100_000 + " key") == []
+    scan(f"q={deep}")
+    assert time.perf_counter() - began < 20
