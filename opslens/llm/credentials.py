@@ -368,7 +368,7 @@ def _keys(text: str) -> tuple[list[Finding], str]:
     if "-----BEGIN " in text:
         hide = []
         for m in _PEM.finditer(text):
-            body = re.sub(r"\\[nr]|[\s\"'+.#*/]+", "", m.group("body"))
+            body = re.sub(rf"\\[nr]|{MASK}|[\s\"'+.#*/]+", "", m.group("body"))
             if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 40 and not re.search(r"<.*>|\.\.\.", m.group("body")):
                 spans.append(Finding(*m.span("body"), "private_key"))
             hide.append(m.span())

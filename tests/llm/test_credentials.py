@@ -158,6 +158,11 @@ def test_literal_over_several_lines():
     assert not scan("blob = '" + "' \\\n  '".join(plain[i : i + 40] for i in range(0, len(plain), 40)) + "'")
 
 
+def test_a_masked_key_is_none():
+    masked = mask(KEY, scan(KEY))
+    assert masked.count("REDACTED") == 2 and not scan(masked)
+
+
 def test_key_stores():
     def text(b):
         return len(b).to_bytes(2, "big") + b
