@@ -1,6 +1,6 @@
 import pytest
 
-from opslens.llm.truncation import cut_share, field_limits, find_cut, vocabulary, vocabulary_trie
+from opslens.llm.truncation import cut_share, field_limits, find_cut, judge, vocabulary, vocabulary_trie
 
 SCHEMA = "doc_id long, text string, source string, word string, n int"
 BASE = [f"The spooler released the account range number {i}. The archive writer keeps the sort order." for i in range(40)]
@@ -54,3 +54,19 @@ def test_wide_table_row(spark):
     docs = [(1, f"| a | b |\n{row}", "s"), (2, f"| a | b |\n{row[:-1]}", "s"), (3, "| a | b |\n| c | d |", "s"), (4, "| a | b |\n| c | d", "s")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     assert len(row) > 800 and sorted(r.doc_id for r in find_cut(df).collect()) == [2, 4]
+
+
+def test_the_trie_decides(spark):
+    text = "The spooler released the account range of the night. The archive writer keeps the order. Runs end at night."
+    ends = {1: "- The spooler released the", 2: "- The spooler released the acc", 3: "- Released at night", 4: "The archive writer keeps the order", 5: "The archive writer keeps the", 6: "Kept by zzqx"}
+    df = spark.createDataFrame([(i, text, "s") for i in range(100, 400)] + [(i, t, "s") for i, t in ends.items()], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in judge(df).collect() if r.doc_id < 100}
+    assert {i for i, r in got.items() if r.cut} == {1, 2, 5, 6}  # 4 ends like a sentence, only without its mark
+    assert got[2].word_bits > got[1].word_bits > 3 and got[4].word_bits < -2 and got[6].word_bits == 1
+
+
+def test_very_long_words(spark):
+    long = "ab" * 5_000
+    rows = [(i, f"Word {long} here.", "s") for i in range(3)] + [(10, f"- Word {long[:9_000]}", "s"), (11, f"- Word {'ba' * 60}", "s"), (12, f"- Word {long}", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: (r.cut, r.word_bits) for r in judge(df).collect() if r.doc_id > 9 and r.doc_id < 12} == {10: (True, 5.0), 11: (False, 1.0)}
