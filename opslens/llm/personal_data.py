@@ -1,28 +1,35 @@
 """Personal data in free text: typed placeholders for what reveals a person.
 
-E-mail addresses, phone numbers, identity numbers and postal addresses have forms of their
-own and are found by them. Names have none, so they are found by what the corpus says:
-every run of capitalised words is a term with its context. Terms with a title or an
-initial, and names that stand in an e-mail address, are sure to reveal a person; they are
-the protected entities. Over the whole corpus it is counted how often each context and
-each term goes together with them, and the pointwise mutual information
-
-    log2 P(protected | context or term) / P(protected)
-
-estimates how strongly it discloses a person. A term whose own or whose context's
-disclosure reaches ``DISCLOSURE`` bits is a name and is generalised to its placeholder;
-product names, stages and the like never go together with protected entities and stay.
+E-mail addresses, identity numbers, postal addresses and phone numbers in their usual dress
+have forms of their own and are found by them. Names and bare runs of digits have none, so
+they are judged by what the corpus says: every run of capitalised words and every number is
+a term with its context. Terms that are sure to reveal a person (names with a title or an
+initial, dressed phone numbers) are the protected entities. Over the whole corpus it is
+counted how often each context and each word goes together with them, and the pointwise
+mutual information
+
+    log2 P(protected | context or word) / P(protected),
+
+estimates how strongly it discloses a person. It is smoothed: ``DISCOUNT`` is taken off the
+co-occurrences, so one alone says next to nothing, and ``SUPPORT`` occurrences that say
+nothing are added. What the context before a term, the one behind it and its most telling
+word disclose adds up; a word that is never met with protected entities says nothing. A term of at least ``DISCLOSURE`` bits becomes its
+placeholder ([NAME], [PHONE]); one of at least ``PARTIAL`` bits discloses a person only in
+part and is generalised to its class ([TERM], [NUMBER]); product names, stages, counts and
+the like never go together with protected entities and stay.
 
 Defined results
   null or empty text, empty list   nothing found, returned as it is
   null id                          reported as null
   placeholders such as [EMAIL]     no case
   repeated cards                   one row per id, field and type; every copy is sanitised
-  very long texts                  searched whole
+  very long texts                  searched whole; the context of a term is what stands
+                                   within ``NEAR_CHARS`` characters of it, two words a side
 """
 
 from __future__ import annotations
 
+import re as plain_re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,9 +39,12 @@ from pyspark.sql import functions as F
 
 from opslens.runtime import checkpointed
 
-#: Bits of disclosure from which a term is generalised, and occurrences beside protected entities that it takes.
-DISCLOSURE = -1.0
-SUPPORT = 1
+#: Bits of disclosure from which a term is removed, and from which it is generalised.
+DISCLOSURE, PARTIAL = 0.25, -1.0
+#: Occurrences without any evidence that are added to those seen, and what is taken off those beside protected entities.
+SUPPORT, DISCOUNT = 4.0, 0.75
+#: Characters around a term in which its context is looked for.
+NEAR_CHARS = 60
 
 FIELDS = ("root_cause", "fix_summary", "verify_commands")
 
@@ -44,14 +54,13 @@ EMAIL = re.compile(rf"(?<![\w.+%-])(?:mailto:)?(?P<local>[\p{{L}}0-9][\p{{L}}0-9
 _EXT = r"(?:\s?(?:ext\.?|x|Durchwahl)\s?\d{1,5})?"
 PHONE = re.compile(
     rf"""(?<![\w.+/-])(?:
-      \+\d{{1,3}}[ .-]?(?:\(0\)[ .-]?)?\(?\d{{1,4}}\)?(?:[ ./-]?\d{{2,7}}){{1,5}}{_EXT}       # +44 20 7946 0174
+      (?<=\b(?:call|tel|phone|fax|mobile|dial|on-call\ at|caller\ id)[:.]?\s)\d{{10,12}}
+    | \+\d{{1,3}}[ .-]?(?:\(0\)[ .-]?)?\(?\d{{1,4}}\)?(?:[ ./-]?\d{{2,7}}){{1,5}}{_EXT}       # +44 20 7946 0174
     | \(\d{{2,5}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}{_EXT}                                  # (868) 555-0156
     | \d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_EXT}                                              # 468 555 0101
     | \(0\)\d{{2,5}}[ ./-]?\d{{3,8}}(?:[ .-]\d{{1,6}})?{_EXT}                                # (0)30 23125-166
     | 0\d(?:[ .-]\d\d){{4}}                                                            # 01 99 00 16 36
     | 0\d{{2,4}}[ ./-]\d{{3,8}}(?:[ .-]\d{{2,6}})?{_EXT}                                 # 020 7946 0184
-    | (?<=\b(?:call|tel|phone|fax|mobile|dial|on-call\ at|caller\ id|escalate:|under)[:.]?\s)\d{{10,12}}
-    | \d{{10,12}}(?=['"]?\s+\S*(?:caller|phone|tel)\S*) | (?<=\$\d+\s*==\s*["'])\d{{10,12}}(?=["'])
     )(?![\w]|[.-]\d)""",
     re.X | re.I,
 )
@@ -75,27 +84,40 @@ ADDRESS = re.compile(
 _WORD = r"\p{Lu}\p{Ll}+(?:['’-]\p{Lu}\p{Ll}+)*|\p{Lu}{3,}(?:-\p{Lu}{2,})*|\p{Lu}['’]\p{Lu}\p{Ll}+"
 TITLE = r"(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sra?|Srta)\.?"
 TERM = re.compile(rf"(?<![\w.@/$\[{{-])(?P<title>{TITLE}\s)?(?:(?P<init>\p{{Lu}}\.)\s|(?:{_WORD})\s(?=\p{{Lu}}))*(?:{_WORD})(?:,\s(?:{_WORD}))?(?![\w@/\]}}]|-\w|\.\w)")
-_KINDS = (("email", EMAIL), ("id_number", ID_NUMBER), ("address", ADDRESS), ("phone", PHONE))
+#: A number; one of ``PHONE_DIGITS`` digits may be a phone number without its dress.
+NUMBER = plain_re.compile(r"(?<![\w.+/-])\d{3,}(?![\w]|[.-]\d)")
+PHONE_DIGITS = (10, 12)
+# What a kind cannot do without, cheap to look for.
+_KINDS = (
+    ("email", EMAIL, plain_re.compile(r"@|[\[({<]\s?at\s?[\])}>]", plain_re.I)), ("id_number", ID_NUMBER, plain_re.compile(r"\d{3}")),
+    ("address", ADDRESS, plain_re.compile(r"\d[A-Za-z]?,?\s\w|[^\W\d_][.,]?\s\d")), ("phone", PHONE, plain_re.compile(r"\+\d|\(0\)|\d\)?[ ./-]\d\d|\d{10}")),
+)
 
 
 def forms(text: str) -> list[tuple[int, int, str]]:
     """Spans of the kinds that have a form; earlier kinds win where two overlap."""
     out: list[tuple[int, int, str]] = []
-    for kind, pattern in _KINDS:
+    for kind, pattern, guard in _KINDS:
+        if not guard.search(text):
+            continue
         for m in pattern.finditer(text):
             if not any(s < m.end() and m.start() < e for s, e, _ in out):
                 out.append((*m.span(), kind))
     return out
 
 
+_CLAUSE_START, _CLAUSE_END = plain_re.compile(r"[;,()]\s|[;,(]"), plain_re.compile(r"[;,]\s|[;,)]")
+_DIGITS = plain_re.compile(r"\d+")
+
+
 def _near(text: str, start: int, end: int) -> tuple[str, str]:
     """Up to two tokens before and behind a term, within its clause; '' where there are none."""
-    before = text[max(0, start - 60) : start]
-    left = re.split(r"[;,()]\s|[;,(]", before)[-1]
+    before = text[max(0, start - NEAR_CHARS) : start]
+    left = _CLAUSE_START.split(before)[-1]
     if not left and before.endswith(", "):  # an apposition: what stands before the comma
-        left = re.split(r"[;,()]", before[:-2])[-1] + ","
-    right = re.split(r"[;,]\s|[;,)]", text[end : end + 60])[0]
-    shape = lambda s: re.sub(r"\d+", "9", s.lower())
+        left = plain_re.split(r"[;,()]", before[:-2])[-1] + ","
+    right = _CLAUSE_END.split(text[end : end + NEAR_CHARS], maxsplit=1)[0]
+    shape = lambda s: _DIGITS.sub("9", s.lower())
     return " ".join(shape(left).split()[-2:]), " ".join(shape(right).split()[:2])
 
 
@@ -112,18 +134,28 @@ def terms(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, i
 
 
 _FOUND = "id long, fld string, th long, start int, stop int, pii_type string, words array<string>, protected boolean, lft string, rgt string"
+_CAPITAL = plain_re.compile(r"[^\W\d_a-z]")
 
 
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Formed spans, and the terms that the corpus judges: capitalised ones (term) and numbers (number)."""
     for pdf in batches:
         rows = []
         for i, fld, th, text in zip(pdf["id"], pdf["fld"], pdf["th"], pdf["text"], strict=True):
             i = None if pd.isna(i) else int(i)
             spans = forms(text)
             for s, e, kind in spans:
-                local = re.findall(r"\p{L}{3,}", EMAIL.match(text, s).group("local").lower()) if kind == "email" else []
-                rows.append((i, fld, th, s, e, kind, local, True, "", ""))
-            rows += [(i, fld, th, s, e, "term", w, p, le, r) for s, e, w, p, le, r in terms(text, spans)]
+                words, left, right = [], "", ""
+                if kind == "email":
+                    words = re.findall(r"\p{L}{3,}", EMAIL.match(text, s).group("local").lower())
+                elif kind == "phone":
+                    words, (left, right) = ["".join(_DIGITS.findall(text[s:e]))], _near(text, s, e)
+                rows.append((i, fld, th, s, e, kind, words, True, left, right))
+            if _CAPITAL.search(text):
+                rows += [(i, fld, th, s, e, "term", w, p, le, r) for s, e, w, p, le, r in terms(text, spans)]
+            for m in NUMBER.finditer(text):
+                if not any(a < m.end() and m.start() < b for a, b, _ in spans):
+                    rows.append((i, fld, th, *m.span(), "number", [m.group()], False, *_near(text, *m.span())))
         if rows:
             pdf = pd.DataFrame(rows, columns=["id", "fld", "th", "start", "stop", "pii_type", "words", "protected", "lft", "rgt"])
             pdf["id"] = pdf["id"].astype("Int64")
@@ -139,37 +171,45 @@ def field_texts(cards: DataFrame) -> DataFrame:
 
 def _bits(n: Column, s: Column, base: Column) -> Column:
     """Disclosure in bits of something seen n times, s of them with a protected entity."""
-    return F.log2(((s + base) / (n + 1)) / base)
+    return F.log2((F.greatest(s - DISCOUNT, F.lit(0.0)) + SUPPORT * base) / (n + SUPPORT) / base)
 
 
-def find_personal_data(cards: DataFrame) -> DataFrame:
-    """id, fld, th, start, stop, pii_type: every span that reveals a person.
+def disclosure(cards: DataFrame) -> DataFrame:
+    """id, fld, th, start, stop, pii_type, bits: every formed span (bits null) and every term with the bits that it discloses.
 
     ``cards``: id, root_cause, fix_summary, verify_commands; other columns are ignored.
+    pii_type of a term is name or phone.
     """
     found = checkpointed(field_texts(cards).mapInPandas(_find, _FOUND))
-    term = found.filter("pii_type = 'term'")
-    base = F.lit(term.agg(((F.count_if("protected") + 1) / (F.count("*") + 2)).alias("base")).first()["base"])
+    kind = F.when(F.col("pii_type").isin("term", "email"), "name").when(F.col("pii_type").isin("number", "phone"), "phone").alias("kind")
+    seen = found.select("*", kind).filter("kind is not null")
+    # one row a kind
+    counts = {r["kind"]: (r["s"] + 1) / (r["n"] + 2) for r in seen.filter("pii_type != 'email'").groupBy("kind").agg(F.count("*").alias("n"), F.count_if("protected").alias("s")).collect()}
+    base = F.when(F.col("kind") == "name", counts.get("name", 0.5)).otherwise(counts.get("phone", 0.5))
     # Disclosure of contexts, by side
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("lft").alias("near")), F.struct(F.lit("r").alias("side"), F.col("rgt").alias("near"))))
-    near = term.select("protected", sides.alias("c")).select("protected", "c.side", "c.near").filter("near != ''")
-    near = near.groupBy("side", "near").agg(F.count("*").alias("n"), F.count_if("protected").alias("s"))
-    near = near.select("side", "near", "s", F.when(F.col("s") >= SUPPORT, _bits(F.col("n"), F.col("s"), base)).alias("bits"))
-    # An apposition says less about what follows: more support, and at least the average disclosure.
-    near = near.withColumn("bits", F.when(F.col("near").endswith(","), F.when((F.col("s") >= 3 * SUPPORT) & (F.col("bits") >= 0), F.col("bits"))).otherwise(F.col("bits"))).drop("s")
+    near = seen.filter("pii_type != 'email'").select("kind", "protected", sides.alias("c")).select("kind", "protected", "c.side", "c.near").filter("near != ''")
+    near = near.groupBy("kind", "side", "near").agg(F.count("*").alias("n"), F.count_if("protected").alias("s"))
+    bits = _bits(F.col("n"), F.col("s"), base)
+    # An apposition says less about what follows.
+    near = near.select("kind", "side", "near", F.when(F.col("near").endswith(","), bits / 2).otherwise(bits).alias("bits"))
     # Disclosure of the terms' words; a word of an e-mail address counts as beside a protected entity.
-    words = found.filter("pii_type in ('term', 'email')").select(F.explode("words").alias("word"), F.when(F.col("pii_type") == "email", True).otherwise(F.col("protected")).alias("protected"))
-    words = words.groupBy("word").agg(F.count("*").alias("n"), F.count_if("protected").alias("s"))
-    words = words.select("word", F.when(F.col("s") >= 2 * SUPPORT, _bits(F.col("n"), F.col("s"), base)).alias("bits"))
+    words = seen.select("kind", F.explode("words").alias("word"), "protected").groupBy("kind", "word").agg(F.count("*").alias("n"), F.count_if("protected").alias("s"))
+    words = words.select("kind", "word", _bits(F.col("n"), F.col("s"), base).alias("bits")).filter("bits > 0")
+
+    key = ["id", "fld", "th", "start", "stop", "kind"]
+    digits = F.col("stop") - F.col("start")
+    ask = seen.filter(~F.col("protected") & ((F.col("pii_type") == "term") | (F.col("pii_type") == "number") & digits.between(*PHONE_DIGITS)))
+    by_side = [ask.filter(f"{c} != ''").select(*key, F.col(c).alias("near")).join(near.filter(F.col("side") == side), ["kind", "near"]).select(*key, "bits") for c, side in (("lft", "l"), ("rgt", "r"))]
+    by_word = ask.select(*key, F.explode("words").alias("word")).join(words, ["kind", "word"]).groupBy(*key).agg(F.max("bits").alias("bits"))
+    told = by_side[0].unionByName(by_side[1]).unionByName(by_word).groupBy(*key).agg(F.sum("bits").alias("bits"))
+    sure = found.filter("protected").withColumn("kind", F.when(F.col("pii_type") == "term", "name").otherwise(F.col("pii_type"))).select(*key, F.lit(None).cast("double").alias("bits")).distinct()
+    return told.unionByName(sure).withColumnRenamed("kind", "pii_type")
+
 
-    key = ["id", "fld", "th", "start", "stop"]
-    ask = term.filter("not protected")
-    by_left = ask.select(*key, F.col("lft").alias("near")).join(near.filter("side = 'l'"), "near").select(*key, "bits")
-    by_right = ask.select(*key, F.col("rgt").alias("near")).join(near.filter("side = 'r'"), "near").select(*key, "bits")
-    by_word = ask.select(*key, F.explode("words").alias("word")).join(words, "word").groupBy(*key).agg(F.max("bits").alias("bits"))
-    told = by_left.unionByName(by_right).unionByName(by_word).filter(F.col("bits") >= DISCLOSURE).select(*key)
-    names = told.unionByName(term.filter("protected").select(*key)).distinct().withColumn("pii_type", F.lit("name"))
-    return found.filter("pii_type != 'term'").select(*key, "pii_type").distinct().unionByName(names)
+def find_personal_data(cards: DataFrame, least: float = DISCLOSURE) -> DataFrame:
+    """id, fld, th, start, stop, pii_type: every span that reveals a person."""
+    return disclosure(cards).filter((F.col("bits") >= least) | F.col("bits").isNull()).drop("bits")
 
 
 def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,7 +228,10 @@ def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sanitise(cards: DataFrame) -> DataFrame:
     """Every card with the three fields sanitised; all other columns stay as they are."""
     kept = checkpointed(cards.withColumn("__row", F.monotonically_increasing_id()))
-    spans = find_personal_data(kept).groupBy("fld", "th").agg(F.collect_set(F.struct("start", "stop", "pii_type")).alias("spans"))  # the spans of a text follow from the text
+    judged = disclosure(kept).filter((F.col("bits") >= PARTIAL) | F.col("bits").isNull())
+    general = F.when(F.col("pii_type") == "phone", "number").otherwise("term")
+    judged = judged.withColumn("pii_type", F.when(F.col("bits") < DISCLOSURE, general).otherwise(F.col("pii_type")))
+    spans = judged.groupBy("fld", "th").agg(F.collect_set(F.struct("start", "stop", "pii_type")).alias("spans"))  # the spans of a text follow from the text
     whole = [kept.select(F.col("__row").alias("row"), F.lit(f).alias("fld"), F.lit(0).alias("pos"), F.col(f).alias("text")) for f in FIELDS[:2]]
     lines = kept.select(F.col("__row").alias("row"), F.lit(FIELDS[2]).alias("fld"), F.posexplode(FIELDS[2]).alias("pos", "text"))
     texts = whole[0].unionByName(whole[1]).unionByName(lines).withColumn("th", F.xxhash64("text"))

@@ -1,6 +1,6 @@
 import pytest
 
-from opslens.llm.personal_data import find_personal_data, forms, sanitise
+from opslens.llm.personal_data import disclosure, find_personal_data, forms, sanitise
 
 SCHEMA = "id long, root_cause string, fix_summary string, verify_commands array<string>, title string, text string, start int"
 
@@ -71,3 +71,31 @@ def test_sanitise(spark):
     assert by[None].root_cause == "cc [EMAIL]" and by[None].verify_commands == [None, ""]
     empty = df.limit(0)
     assert find_personal_data(empty).count() == 0 and sanitise(empty).count() == 0
+
+
+def judged_cards(spark):
+    texts = [f"approved by Dr. Person{chr(97 + i // 9)} on call" for i in range(60)] + [f"the Letter Composer stage stalled {i}" for i in range(200)]
+    texts += ["approved by Anna Vessvold on call", "widened by Ms. Rare now", "widened by Street Sorter now", "approved by Insert Loader stage stalled"]
+    texts += [f"desk under (868) 555-01{i}; moved {i}123 records" for i in range(10, 60)] + ["desk under 8685559999", "moved 8685551234 records"]
+    return spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "id long, root_cause string, fix_summary string, verify_commands array<string>")
+
+
+def test_disclosure_threshold(spark):
+    df = judged_cards(spark)
+    text = {r.id: r.root_cause for r in df.collect()}
+    bits = {text[r.id][r.start : r.stop]: (r.pii_type, r.bits) for r in disclosure(df).collect() if r.bits is not None}
+    assert bits["Anna Vessvold"][1] > 2 and bits["8685559999"] == ("phone", bits["8685559999"][1]) and bits["8685559999"][1] > 0.25
+    assert bits["Letter Composer"][1] < -3 and bits["8685551234"][1] < -1
+    assert abs(bits["Street Sorter"][1]) < 2 * 0.8  # met once with a title: says little
+    assert -4 < bits["Insert Loader"][1] < bits["Anna Vessvold"][1]
+    counts = [find_personal_data(df, least).filter("pii_type = 'name'").count() for least in (-20.0, -1.0, 0.25, 20.0)]
+    assert counts[0] > counts[1] >= counts[2] > counts[3] == 61
+
+
+def test_partly_disclosing_terms_are_generalised(spark, monkeypatch):
+    from opslens.llm import personal_data
+
+    df = judged_cards(spark)
+    monkeypatch.setattr(personal_data, "DISCLOSURE", 20.0)
+    out = [r.root_cause for r in sanitise(df).collect()]
+    assert "approved by [TERM] on call" in out and "desk under [NUMBER]" in out and "the Letter Composer stage stalled 3" in out
