@@ -6,7 +6,8 @@ letters, control characters). A line with an implausible word starts a best-firs
 states are texts, steps re-encode a text in the encoding it may have been read with and
 decode it as the one it may have been written in, or unescape it. States are hashed so
 that none is opened twice, the cheapest state is opened first, and the cheapest text
-reached replaces the line if it is clearly more plausible. Where the whole line cannot be
+reached replaces the line if it is clearly more plausible. The search ends when no text
+within the cost bound can be cheaper than the best; no number of states ends it. Where the whole line cannot be
 re-encoded (garbled and right parts side by side), each word is searched alone. A run of
 escapes (entities, \\u, percent or quoted-printable codes) is searched if the text that it
 stands for is implausible, whether or not its line holds anything beyond ASCII.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import html
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: States that one search opens at most; the deepest chains in practice are three steps long.
-MAX_STATES = 60
+#: Cost of steps that a search spends at most on one text: two changes of table, a dozen of UTF-8. All texts within it are looked at.
+MAX_SPENT = 1.2
 #: A word of at least this cost starts a search.
 SUSPECT = 1.2
 #: Cost of a step: bytes that are valid UTF-8 are strong evidence, another table is not.
@@ -165,7 +167,7 @@ def text_cost(text: str) -> float:
     return cost + 0.8 * len(_ESCAPES.findall(text))
 
 
-_ESCAPES = re.compile(r"&(?:#\d{2,5}|#x[0-9a-fA-F]{2,4}|[A-Za-z][A-Za-z0-9]{1,7});|\\u[0-9a-fA-F]{4}|(?:%[89A-Fa-f][0-9A-Fa-f]){2,}|(?:=[89A-F][0-9A-F]){2,}")
+_ESCAPES = re.compile(r"&(?:amp;)*(?:#\d{2,5}|#x[0-9a-fA-F]{2,4}|[A-Za-z][A-Za-z0-9]{1,7});|\\u[0-9a-fA-F]{4}|(?:%[89A-Fa-f][0-9A-Fa-f]){2,}|(?:=[89A-F][0-9A-F]){2,}")
 
 
 def _unescape(text: str) -> Iterator[str]:
@@ -183,6 +185,14 @@ def _unescape(text: str) -> Iterator[str]:
                 yield t
 
 
+def _unescaped(text: str) -> Iterator[str]:
+    """What a text stands for after one level of escapes and after each further one."""
+    for t in _unescape(text):
+        yield t
+        if t != text and _ESCAPES.search(t):
+            yield from _unescaped(t)
+
+
 def _steps(text: str) -> Iterator[tuple[str, float]]:
     """Texts one step away with the step's cost, the likeliest kind of step first."""
     encoded = [(read, data) for read in READ_AS if (data := _encode(text, read)) is not None]
@@ -207,30 +217,28 @@ def search(text: str) -> tuple[str, float, float]:
     first = raw = text_cost(text)
     best, best_cost = text, first
     queue: list[tuple[float, int, float, str]] = [(first, 0, 0.0, text)]
-    seen, opened, order = {hash(text)}, 0, 0
-    while queue and opened < MAX_STATES:
-        rank, _, spent, state = heapq.heappop(queue)
-        if rank > first + 4:
-            break
-        opened += 1
+    seen, order = {hash(text): 0.0}, 0
+    while queue:
+        _, _, spent, state = heapq.heappop(queue)
         utf8 = True
         for t, step in _steps(state):
             if utf8 and step != STEP_UTF8:
                 utf8 = False
                 if best_cost <= 0.4 * first and _settled(best):  # no other table can beat valid UTF-8
                     return best, raw, first
+            paid = spent + step
+            if paid >= best_cost or paid > MAX_SPENT:  # costs are never negative: nothing behind it can win
+                continue
             h = hash(t)
-            if h in seen:
+            if seen.get(h, math.inf) <= paid:
                 continue
-            seen.add(h)
+            seen[h] = paid
             own = text_cost(t)
-            c = own + spent + step
-            if c < best_cost:
-                best, best_cost, raw = t, c, own
-            # A state far worse than the start is not on the way back: garbling adds characters.
-            if len(t) <= len(state) and c <= first + 4:
+            if own + paid < best_cost:
+                best, best_cost, raw = t, own + paid, own
+            if paid + STEP_UTF8 <= MAX_SPENT:
                 order += 1
-                heapq.heappush(queue, (c, order, spent + step, t))
+                heapq.heappush(queue, (own + paid, order, paid, t))
     return best, raw, first
 
 
@@ -273,7 +281,7 @@ def repair_escaped(line: str) -> tuple[str, bool]:
 
     def one(m: re.Match) -> str:
         nonlocal hit
-        for t in _unescape(m.group()):
+        for t in _unescaped(m.group()):
             if len(_BEYOND.findall(t)) < 2 or _settled(t):
                 continue
             b, c, f = search(t)
@@ -302,12 +310,15 @@ def repair(text: str | None) -> tuple[str | None, bool]:
 
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(t, i, text) for t, i, s in zip(pdf["tab"], pdf["row_id"], pdf["body"], strict=True) for text, hit in [repair(s)] if hit]
+        rows = [(t, i, text, not _LOST.search(text) and _settled(text)) for t, i, s in zip(pdf["tab"], pdf["row_id"], pdf["body"], strict=True) for text, hit in [repair(s)] if hit]
         if rows:
-            yield pd.DataFrame(rows, columns=["tab", "row_id", "restored"])
+            yield pd.DataFrame(rows, columns=["tab", "row_id", "restored", "settled"])
 
 
 def repair_encoding(texts: DataFrame) -> DataFrame:
-    """tab, row_id, restored: the rows of ``texts`` (tab, row_id, body) with a wrongly decoded part."""
+    """tab, row_id, restored, settled: the rows of ``texts`` (tab, row_id, body) with a wrongly decoded part.
+
+    ``settled`` is false where implausible or lost characters are left: not all could be restored.
+    """
     cand = texts.select("tab", F.col("row_id").cast("long"), "body").filter(F.col("body").rlike(r"[^\x00-\x7f]") | F.col("body").rlike(_ESCAPES.pattern))
-    return cand.mapInPandas(_run, "tab string, row_id long, restored string")
+    return cand.mapInPandas(_run, "tab string, row_id long, restored string, settled boolean")

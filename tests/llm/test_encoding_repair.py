@@ -67,3 +67,28 @@ def test_garbled_text_kept_as_escapes(spark):
         assert repair(line) == (line, False), line
     df = spark.createDataFrame([("t", i, x) for i, x in enumerate([*garbled, *right, None, ""])], "tab string, row_id long, body string")
     assert sorted(r.row_id for r in repair_encoding(df).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_escapes_of_escapes():
+    text = "Fa&amp;Atilde;&amp;frac14;r den Lauf"
+    assert repair(text) == ("Faür den Lauf", True)
+    assert repair("A &amp;amp; B &amp;eacute;t&amp;eacute;")[1] is False
+
+
+def test_no_number_of_states_ends_a_search():
+    import time
+
+    began = time.perf_counter()
+    garbled = "Zähler läuft über"
+    for _ in range(6):
+        garbled = garbled.encode("utf-8").decode("latin-1")
+    assert repair(garbled) == ("Zähler läuft über", True)
+    for i in range(20):
+        repair(f"x{i} ¤¶ÐÞ ƒ‡ŒŽ Ÿþð ¥¦¬ ÐÐÞÞ ×÷×")
+    assert time.perf_counter() - began < 30
+
+
+def test_settled(spark):
+    rows = [("a", 1, "ZÃ¤hler lÃ¤uft"), ("a", 2, "Der Z�hler l�uft"), ("a", 3, None)]
+    df = spark.createDataFrame(rows, "tab string, row_id long, body string")
+    assert {r.row_id: r.settled for r in repair_encoding(df).collect()} == {1: True, 2: False}
