@@ -7,7 +7,9 @@ document of a source then has the same expected number of copies, share * total
 Systematic sampling turns that into whole copies: within a source the expected copies are
 summed up along a fixed order, one random offset is added, and a copy is emitted for each
 whole number that the sum passes. The order runs by size class and then by hash, so every
-size is thinned or repeated alike and the tokens follow the documents closely.
+size is thinned or repeated alike. A few long documents more or less still move a small
+source, so the offset is drawn as one of ``OFFSETS`` evenly spaced ones from a random start,
+that which brings the source's tokens closest to their goal.
 
 No source is sorted in one task: cells of (source, size class, hash slot) are counted, the
 positions of the cells are summed over that small table, and documents are numbered within
@@ -38,6 +40,8 @@ from opslens.runtime import checkpointed
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are split before merging (fixed value of that tokenizer).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Offsets of a source that are compared.
+OFFSETS = 32
 #: Documents of a cell that one task numbers, about.
 CELL_ROWS = 100_000
 
@@ -64,7 +68,7 @@ def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """One row per target source: share, max_repeats, n_docs, tokens, goal_share (of what is present), copies (expected per document)."""
+    """One row per target source: share, max_repeats, n_docs, tokens, goal_share (of what is present), copies (expected per document), binds (repeated as often as allowed, so the mix grows no further)."""
     have = sized.filter("n_tokens > 0").groupBy(F.col("source").alias("src")).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     wanted = targets.filter("source is not null").groupBy("source").agg(F.min(F.struct("target_share", "max_repeats")).alias("t")).select("source", F.coalesce("t.target_share", F.lit(0.0)).alias("target_share"), F.coalesce("t.max_repeats", F.lit(0)).alias("max_repeats"))
     plan = wanted.join(have, F.col("source") == F.col("src"), "left").drop("src").fillna(0, ["n_docs", "tokens"])
@@ -74,34 +78,42 @@ def plan_mix(sized: DataFrame, targets: DataFrame, total: float | None = None) -
     plan = plan.withColumn("goal_share", F.when(usable, F.col("target_share") / F.col("present")).otherwise(0.0))
     bound = F.min(F.when(usable, F.col("max_repeats") * F.col("tokens") / F.col("goal_share"))).over(every)
     size: Column = bound if total is None else F.lit(float(total))
-    plan = plan.withColumn("total", size)
+    plan = plan.withColumn("total", size).withColumn("binds", F.coalesce(usable & (F.col("max_repeats") * F.col("tokens") / F.col("goal_share") <= F.col("total") * (1 + 1e-9)), F.lit(False)))
     copies = F.least(F.col("goal_share") * F.col("total") / F.col("tokens"), F.col("max_repeats").cast("double"))
     return plan.withColumn("copies", F.when(usable, copies).otherwise(0.0)).drop("present")
 
 
 def sample_copies(sized: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, source, n_tokens, n_copies of every document of which the mix holds a copy."""
-    rates = plan.filter("copies > 0").select("source", "copies", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / CELL_ROWS)).alias("slots"))
+    rates = plan.filter("copies > 0").select("source", "copies", (F.col("copies") * F.col("tokens")).alias("goal"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / CELL_ROWS)).alias("slots"))
     d = sized.filter("n_tokens > 0").join(rates, "source")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     size_class = F.floor(F.log2(F.col("n_tokens").cast("double")) * 8).cast("int")
-    d = d.select("doc_id", "source", "n_tokens", "copies", size_class.alias("size_class"), F.pmod(h, F.col("slots")).alias("slot"), h.alias("h"))
+    d = d.select("doc_id", "source", "n_tokens", "copies", "goal", size_class.alias("size_class"), F.pmod(h, F.col("slots")).alias("slot"), h.alias("h"))
     cell = ["source", "size_class", "slot"]
     before = Window.partitionBy("source").orderBy("size_class", "slot").rowsBetween(Window.unboundedPreceding, -1)
     cells = d.groupBy(*cell).agg(F.count("*").alias("k")).select(*cell, F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
     d = d.withColumn("i", F.row_number().over(Window.partitionBy(*cell).orderBy("h", "doc_id", "n_tokens"))).join(cells, cell)
-    place = F.col("first") + F.col("i")
-    # one offset in [0, 1) per source
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    passed = F.floor(F.col("copies") * place + offset) - F.floor(F.col("copies") * (place - 1) + offset)
-    return d.select("doc_id", "source", "n_tokens", passed.cast("int").alias("n_copies")).filter("n_copies > 0")
+    d = checkpointed(d.select("doc_id", "source", "n_tokens", "copies", "goal", (F.col("first") + F.col("i")).alias("place")))
+
+    def passed(offset: Column) -> Column:
+        return F.floor(F.col("copies") * F.col("place") + offset) - F.floor(F.col("copies") * (F.col("place") - 1) + offset)
+
+    # evenly spaced offsets in [0, 1) from a random start; the sums of all of them take one partial aggregation
+    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    offsets = [F.pmod(start + j / OFFSETS, F.lit(1.0)) for j in range(OFFSETS)]
+    sums = d.groupBy("source").agg(F.first("goal").alias("goal"), *[F.sum(passed(o) * F.col("n_tokens")).alias(f"t{j}") for j, o in enumerate(offsets)])
+    nearest = F.least(*[F.struct(F.abs(F.col(f"t{j}") - F.col("goal")).alias("miss"), o.alias("offset")) for j, o in enumerate(offsets)])
+    chosen = sums.select("source", nearest["offset"].alias("offset"))  # one row per source
+    d = d.join(chosen, "source")
+    return d.select("doc_id", "source", "n_tokens", passed(F.col("offset")).cast("int").alias("n_copies")).filter("n_copies > 0")
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, n_tokens, copy_no) and its report by source.
 
-    The report has target_share, goal_share, real_share, max_repeats, most_copies and the
-    documents and tokens there are and in the mix.
+    The report has target_share, goal_share, real_share, max_repeats, most_copies, binds and
+    the documents and tokens there are and in the mix.
     """
     sized = checkpointed(count_tokens(documents, tokenizer))
     plan = plan_mix(sized, targets, total)
@@ -110,5 +122,5 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     used = taken.groupBy(F.col("source").alias("src")).agg(F.sum("n_copies").alias("copies_in"), F.sum(F.col("n_copies") * F.col("n_tokens")).alias("tokens_in"), F.max("n_copies").alias("most_copies"))
     report = plan.join(used, F.col("source") == F.col("src"), "left").fillna(0, ["copies_in", "tokens_in", "most_copies"])
     all_in = F.sum("tokens_in").over(Window.partitionBy())  # one row per target source
-    report = report.select("source", "target_share", "goal_share", F.when(all_in > 0, F.col("tokens_in") / all_in).otherwise(0.0).alias("real_share"), "max_repeats", "most_copies", "n_docs", "tokens", "copies_in", "tokens_in")
+    report = report.select("source", "target_share", "goal_share", F.when(all_in > 0, F.col("tokens_in") / all_in).otherwise(0.0).alias("real_share"), "max_repeats", "most_copies", "binds", "n_docs", "tokens", "copies_in", "tokens_in")
     return rows, report

@@ -47,3 +47,19 @@ def test_empty(spark):
     assert rows.count() == 0 and report.collect()[0].real_share == 0
     rows, report = M.mix(docs(spark), targets.limit(0))
     assert rows.count() == 0 and report.count() == 0
+
+
+def test_shares_are_close_and_the_binding_source_is_told(spark):
+    import random
+
+    from opslens.llm.mixing import plan_mix, sample_copies
+
+    rng = random.Random(3)
+    rows = [(i, "abc"[i % 3], int(rng.lognormvariate(6, 1))) for i in range(1_500)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 3), ("c", 0.1, 2)], "source string, target_share double, max_repeats int")
+    plan = plan_mix(sized, targets)
+    assert [r.source for r in plan.filter("binds").collect()] == ["a"]
+    got = {r.source: r.t for r in sample_copies(sized, plan).selectExpr("source", "n_copies * n_tokens t").groupBy("source").sum("t").withColumnRenamed("sum(t)", "t").collect()}
+    for source, share in (("a", 0.6), ("b", 0.3), ("c", 0.1)):
+        assert abs(got[source] / sum(got.values()) / share - 1) < 0.02
