@@ -107,25 +107,40 @@ def related_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, top: int
 MENTION = r"(?<![a-zA-Z0-9_])([a-zA-Z0-9_][\w.-]*?\.(?:sh|pl|py))(?![a-zA-Z0-9])"
 
 
-def mentions(files: DataFrame) -> DataFrame:
-    """caller, callee: which known script names each script's text contains (files: path, text_content; one row per path).
+def calls(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """caller, callee, exists: which script names each script's text contains (files: path, text_content; one row per path).
 
-    Texts are cut into names once and joined on equality, so the work is linear in the text.
+    ``known`` (name): the names that count, whether a file of theirs exists or not; None: any
+    name. Texts are cut into names once and joined on equality, so the work is linear in the text.
     """
-    known = files.select(base_name("path").alias("callee")).distinct()
     names = F.explode(F.array_distinct(F.regexp_extract_all("text_content", F.lit(MENTION), F.lit(1)))).alias("callee")
-    said = files.filter("text_content is not null").select(base_name("path").alias("caller"), names).distinct()
-    return said.filter("caller != callee").join(known, "callee", "left_semi").select("caller", "callee")
+    said = files.filter("text_content is not null").select(base_name("path").alias("caller"), names).distinct().filter("caller != callee")
+    if known is not None:
+        said = said.join(known.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi")
+    have = files.select(base_name("path").alias("callee"), F.lit(True).alias("exists")).distinct()
+    return said.join(have, "callee", "left").select("caller", "callee", F.coalesce("exists", F.lit(False)).alias("exists"))
+
+
+def mentions(files: DataFrame) -> DataFrame:
+    """caller, callee: which scripts of ``files`` each script's text names."""
+    return calls(files).filter("exists").select("caller", "callee")
 
 
 def call_tree(calls: DataFrame, root: str, limit: int = 200) -> str:
-    """The calls below a script as an indented tree; names seen before are marked. At most ``limit`` names are gathered."""
+    """The calls below a script as an indented tree; names seen before are marked.
+
+    A report for reading: a level is gathered with one query, and where more than ``limit``
+    names are found the tree says so in its last line.
+    """
     lines, seen = [root], {root}
-    level, below = [root], {}
-    while level and len(seen) < limit:
-        rows = calls.filter(F.col("caller").isin(level)).orderBy("caller", "callee").limit(limit).collect()
+    level, below, more = [root], {}, False
+    while level and not more:
+        rows = calls.filter(F.col("caller").isin(level)).orderBy("caller", "callee").limit(limit - len(seen) + 1).collect()
         level = []
         for r in rows:
+            if r["callee"] not in seen and len(seen) >= limit:
+                more = True
+                continue
             below.setdefault(r["caller"], []).append(r["callee"])
             if r["callee"] not in seen:
                 seen.add(r["callee"])
@@ -143,16 +158,27 @@ def call_tree(calls: DataFrame, root: str, limit: int = 200) -> str:
                 walk(c, indent + ("    " if last else "│   "))
 
     walk(root, "")
+    if more:
+        lines.append(f"... more than {limit} names; the rest is left out")
     return "\n".join(lines)
 
 
 def diagram_edges(bundle: DataFrame, calls: DataFrame) -> DataFrame:
-    """proc_name, src, dst, label: the edges of a bundle's diagram (bundle: proc_name, path, kind)."""
+    """proc_name, src, dst, label: the edges of a bundle's diagram (bundle: proc_name, path, kind[, source]).
+
+    Scripts hang on the proc that runs them or on their callers; helpers by name that nothing
+    calls hang on the proc as such.
+    """
     labels = {"script": "RUNS", "insert": "READS", "control": "control", "docdef": "dfa"}
     label = F.lit(None).cast("string")
     for kind, name in labels.items():
         label = F.when(F.col("kind") == kind, name).otherwise(label)
-    own = bundle.select("proc_name", F.col("proc_name").alias("src"), base_name("path").alias("dst"), label.alias("label")).filter("label is not null")
-    inside = bundle.filter("kind = 'script'").select("proc_name", base_name("path").alias("name")).distinct()
+    source = F.col("source") if "source" in bundle.columns else F.lit("RUNS_edge")
+    files = bundle.select("proc_name", base_name("path").alias("dst"), "kind", label.alias("label"), source.alias("source")).filter("label is not null")
+    own = files.filter("kind != 'script' or source = 'RUNS_edge'").select("proc_name", F.col("proc_name").alias("src"), "dst", "label")
+    inside = files.filter("kind = 'script'").select("proc_name", F.col("dst").alias("name")).distinct()
     called = calls.join(inside.select("proc_name", F.col("name").alias("caller")), "caller").join(inside.withColumnRenamed("name", "callee"), ["proc_name", "callee"])
-    return own.unionByName(called.select("proc_name", F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("calls").alias("label"))).distinct()
+    called = called.select("proc_name", F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("calls").alias("label"))
+    reached = own.select("proc_name", "dst").unionByName(called.select("proc_name", "dst")).distinct()
+    orphans = files.filter("source = 'helper_prefix_match'").join(reached, ["proc_name", "dst"], "left_anti").select("proc_name", F.col("proc_name").alias("src"), "dst", F.lit("helper").alias("label"))
+    return own.unionByName(called).unionByName(orphans).distinct()

@@ -63,14 +63,18 @@ def find_candidates(intents: DataFrame, nodes: DataFrame, procs: DataFrame) -> D
 def keyword_hits(wanted: DataFrame, procs: DataFrame) -> DataFrame:
     """intent_id, kw, proc_name where the fields' text contains the keyword (wanted: intent_id, kw)."""
     words = procs.select("proc_name", F.explode(F.array_distinct(F.split(F.lower("parsed_json"), r"[^a-z0-9]+"))).alias("w")).filter("length(w) >= 3")
-    # The parts of each distinct word, not of each text: vocabulary grows slowly. A keyword has 64 characters at most.
-    vocabulary = words.select("w").distinct()
-    every = "flatten(transform(sequence(1, length(w) - 2), i -> transform(sequence(3, least(length(w) - i + 1, 64)), n -> substring(w, i, n))))"
-    parts = vocabulary.select("w", F.explode(F.array_distinct(F.expr(every))).alias("kw"))
-    match = parts.join(wanted.select("kw").distinct(), "kw")
+    # Heads of three letters of each distinct word, not of each text: vocabulary grows slowly.
+    match = inside_words(wanted.select("kw").distinct(), "kw", words.select("w").distinct(), 3)
     return wanted.join(match, "kw").join(words, "w").select("intent_id", "kw", "proc_name").distinct()
 
 
+def inside_words(wanted: DataFrame, col: str, words: DataFrame, head: int) -> DataFrame:
+    """(col, w) of the wanted texts that a word (w) contains; both are joined on the first ``head`` letters, then compared whole."""
+    heads = f"array_distinct(transform(sequence(1, greatest(length(w) - {head - 1}, 1)), i -> substring(w, i, {head})))"
+    cut = words.filter("w != ''").select("w", F.explode(F.expr(heads)).alias("head"))
+    return wanted.select(col, F.substring(col, 1, head).alias("head")).join(cut, "head").filter(F.contains("w", F.col(col))).select(col, "w").distinct()
+
+
 def _add(bundle: DataFrame | None, part: DataFrame, step: int, kind: str | None, source: str) -> DataFrame:
     k = F.lit(kind).alias("kind") if kind else F.col("kind")
     part = part.select("intent_id", "proc_name", "path", k, F.lit(source).alias("source"), F.lit(step).alias("step"))
@@ -95,15 +99,17 @@ def build_bundles(candidates: DataFrame, intents: DataFrame, nodes: DataFrame, e
     inserts = files.filter("kind = 'insert'").groupBy(base_name("path").alias("name")).agg(F.min("path").alias("path"))
     out = _add(out, c.join(setup, "proc_name").join(inserts, "name"), 3, "insert", "procs_file_setup")
 
-    controls = files.filter("kind = 'control'").select("path", F.lower("path").alias("low"), "text_content")
-    stem = controls.select("path", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(length(low) - 3, 1)), i -> substring(low, i, 4))"))).alias("cid4"), "low", "text_content")
+    # Paths are matched first; only the texts of matched files move.
+    controls = files.filter("kind = 'control'").select("path", F.lower("path").alias("low"))
+    stem = controls.select("path", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(length(low) - 3, 1)), i -> substring(low, i, 4))"))).alias("cid4"), "low")
     matched = key.withColumn("cid4", F.substring("cid", 1, 4)).join(stem, "cid4").filter(F.contains("low", F.lower("cid")) & F.contains("low", job_family(F.col("proc_name"))))
     lettered = F.coalesce(F.contains("path", F.col("letter_number")), F.lit(False))
     matched = matched.withColumn("lettered", lettered).withColumn("any_lettered", F.max(lettered).over(Window.partitionBy("intent_id", "proc_name"))).filter("lettered or not any_lettered")
     out = _add(out, matched, 4, "control", "control_match")
 
     right_letter = F.col("letter_number").isNull() | (F.right("code", F.lit(3)) == F.col("letter_number"))
-    from_control = matched.select("intent_id", "proc_name", "letter_number", F.explode(F.array_distinct(F.transform(found_all(F.coalesce("text_content", F.lit("")), FORMAT_DFA), F.upper))).alias("code")).filter(right_letter).withColumn("from", F.lit(51))
+    formats = files.filter("kind = 'control'").select("path", F.array_distinct(F.transform(found_all(F.coalesce("text_content", F.lit("")), FORMAT_DFA), F.upper)).alias("formats"))
+    from_control = matched.join(formats, "path").select("intent_id", "proc_name", "letter_number", F.explode("formats").alias("code")).filter(right_letter).withColumn("from", F.lit(51))
     tokens = key.join(procs.select("proc_name", F.array_distinct(found_all("parsed_json", DFA_TOKEN)).alias("tokens")), "proc_name").select("intent_id", "proc_name", "cid", "letter_number", F.explode("tokens").alias("code"))
     from_procs = tokens.filter(F.startswith("code", F.upper("cid")) & right_letter).select("intent_id", "proc_name", "letter_number", "code", F.lit(52).alias("from"))
     codes = from_control.unionByName(from_procs).select("intent_id", "proc_name", "code", "from").distinct()
@@ -111,8 +117,8 @@ def build_bundles(candidates: DataFrame, intents: DataFrame, nodes: DataFrame, e
     wanted = codes.select("code").distinct()
     # A code is one word; a path contains it inside one of its own words.
     pieces = docdefs.select("path", F.explode(F.array_distinct(F.split("up", r"[^A-Z0-9_]+"))).alias("w")).filter("w != ''")
-    inside = "flatten(transform(sequence(1, length(w)), i -> transform(sequence(1, least(length(w) - i + 1, 64)), n -> substring(w, i, n))))"
-    cut = pieces.select("w").distinct().select("w", F.explode(F.array_distinct(F.expr(inside))).alias("code")).join(wanted, "code")
+    # Codes begin with a client id of four letters; shorter ones are compared by their first letter.
+    cut = inside_words(wanted.filter("length(code) >= 4"), "code", pieces.select("w").distinct(), 4).unionByName(inside_words(wanted.filter("length(code) between 1 and 3"), "code", pieces.select("w").distinct(), 1))
     resolved = codes.join(cut, "code").join(pieces, "w").groupBy("intent_id", "proc_name", "path").agg(F.min("from").alias("from"))
     out = _add(out, resolved.filter("from = 51"), 5, "docdef", "control_format_dfa")
     out = _add(out, resolved.filter("from = 52"), 5, "docdef", "procs_dfa_token")
@@ -166,3 +172,17 @@ def scope_summary(bundles: DataFrame) -> DataFrame:
     first = files.withColumn("place", place).filter(F.col("place") <= keep)
     points = first.groupBy("intent_id", "proc_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "place", "path"))), lambda x: x["path"]), "|").alias("entry_points"))
     return counts.join(points, ["intent_id", "proc_name"], "left").fillna("", ["entry_points"])
+
+
+def generate_plan(asked: DataFrame, nodes: DataFrame, edges: DataFrame, procs: DataFrame, files: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores, bundles and scope of each request: what a job is made of, from what is known of it.
+
+    ``asked``: intent_id, cid, job_id, title; ``procs``: proc_name, file_setup, parsed_json;
+    ``files``: path, kind, text_content, one row per path. Bundles are those of the ``top`` candidates.
+    """
+    intents = checkpointed(build_intents(asked))
+    candidates = checkpointed(find_candidates(intents, nodes, procs))
+    bundles = checkpointed(build_bundles(candidates, intents, nodes, edges, procs, files))
+    scores = checkpointed(score_candidates(candidates, bundles, intents, procs, top))
+    kept = bundles.join(scores.select("intent_id", "proc_name"), ["intent_id", "proc_name"], "left_semi")
+    return scores, kept, scope_summary(kept)

@@ -20,7 +20,6 @@ PRINT_FILES = r"(?i)Print files?:\s*(/\S+)"
 INPUT_LOCATION = r"(?i)File Location:\s*(/\S+)"
 CROSS_REF = r"(?i)refer to\s+(/home/procs/\w+\.procs)"
 ABSOLUTE_PATH = r"(/(?:home|d|z|download|ftpbu)/[^\s,;\"'<>()]+)"
-FIELDS = ("firm", "cid", "app_type", "job_id", "lr", "shell_script", "log_file", "file_setup", "print_files", "input_location", "cross_refs", "all_paths")
 
 
 def _line_of(text: Column, pattern: str) -> Column:

@@ -72,9 +72,10 @@ def similar_cases(queries: DataFrame, cards: DataFrame, top: int = 3, threshold:
     return texts.select("query_id", "place", "case_id", "score", F.when(told, F.col("root_cause")).otherwise(F.col("sib.root_cause")).alias("root_cause"), F.when(told, F.col("fix_summary")).otherwise(F.col("sib.fix_summary")).alias("fix_summary"))
 
 
-def jaccard(queries: DataFrame, cards: DataFrame) -> DataFrame:
-    """query_id, case_set (smallest case id of the cards with the same signals), n_cases, jaccard: sets that share a signal."""
+def jaccard(queries: DataFrame, cards: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """query_id, case_set (smallest case id of the cards with the same signals), n_cases, jaccard: sets that share a signal and reach the threshold."""
     qs, cs = _sets(queries, "query_id"), _sets(cards.withColumnRenamed("id", "case_id"), "case_id")
     classes = cs.groupBy(F.col("set").alias("cset")).agg(F.min("case_id").alias("case_set"), F.count("*").alias("n_cases"))
-    d = overlaps(qs, cs).join(classes, "cset").join(qs.select("query_id", F.col("set").alias("qset")), "qset")
-    return d.select("query_id", "case_set", "n_cases", F.round(F.col("shared") / (F.col("n_query") + F.col("n_case") - F.col("shared")), 6).alias("jaccard"))
+    # what two sets share is at least as large a part of the larger one as of both together
+    d = overlaps(qs, cs, threshold).join(classes, "cset").join(qs.select("query_id", F.col("set").alias("qset")), "qset")
+    return d.select("query_id", "case_set", "n_cases", F.round(F.col("shared") / (F.col("n_query") + F.col("n_case") - F.col("shared")), 6).alias("jaccard")).filter(F.col("jaccard") >= threshold)

@@ -43,12 +43,19 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spread(df) if name in TEXTS else df
 
 
-def _latest_files(spark: SparkSession, d: str) -> DataFrame:
-    """The last snapshot's files, one row per path: id, path, kind, size, text_content."""
-    a = _t(spark, d, "artifacts")
-    last = a.agg(F.max("snapshot_no").alias("snapshot_no"))
-    one = a.join(F.broadcast(last), "snapshot_no", "left_semi").groupBy("path").agg(F.max(F.struct("loaded_at", "id", "kind", "size", "text_content")).alias("f"))
-    return one.select("f.id", "path", "f.kind", "f.size", "f.text_content")
+def _latest_files(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
+    """The last snapshot's files (of some kinds), one row per path: id, path, kind, size, text_content.
+
+    Which rows count is told from narrow columns; texts are read for those only and not moved.
+    """
+    a = table(spark, d, "artifacts")
+    narrow = a.select("snapshot_no", "path", "loaded_at", "id", "kind")
+    last = narrow.agg(F.max("snapshot_no").alias("snapshot_no"))  # one row
+    ids = narrow.join(F.broadcast(last), "snapshot_no", "left_semi").groupBy("path").agg(F.max(F.struct("loaded_at", "id", "kind")).alias("f")).select("f.id", "f.kind")
+    texts = a
+    if kinds:
+        ids, texts = ids.filter(F.col("kind").isin(*kinds)), a.filter(F.col("kind").isin(*kinds))
+    return texts.join(ids.select("id"), "id", "left_semi").select("id", "path", "kind", "size", "text_content")
 
 
 LATEST = """files as (select id, path, kind, size, text_content from (select *, row_number() over (partition by path order by loaded_at desc, id desc) rn
@@ -159,6 +166,25 @@ def missing_ids(spark, d):
     return external_signals.missing_ids(_t(spark, d, "log_lines"))
 
 
+#: Log lines whose words on missing ids are put as the rules know them.
+DERIVED = r"dl as (select log_path, line_no, received_at, regexp_replace(line, 'no data for message_id (\d+)', 'message_id \1 not found in infotrac; services=mail|print\1') line from log_lines)"
+
+
+def _derived(spark, d) -> DataFrame:
+    said = r"message_id $1 not found in infotrac; services=mail|print$1"
+    return _t(spark, d, "log_lines").withColumn("line", F.regexp_replace("line", r"no data for message_id (\d+)", said))
+
+
+@query("services_named", f"with {DERIVED}, {SERVICES.replace('log_lines', 'dl')} select * from services")
+def services_named(spark, d):
+    return external_signals.services_seen(_derived(spark, d))
+
+
+@query("missing_ids_named", f"with {DERIVED}, {EXT.replace('log_lines', 'dl')} select log_path, split_part(captures, '=', -1) message_id, min(line_no) first_line from hits where rule_no = 0 and captures <> '' group by 1, 2")
+def missing_ids_named(spark, d):
+    return external_signals.missing_ids(_derived(spark, d))
+
+
 def _hypotheses_sql() -> str:
     fired = []
     wrapper = f"regexp_matches(m, {q('(?i)' + hypotheses.LINE_RULES[10][1])})"
@@ -269,12 +295,12 @@ gn as (select 'proc:' || proc_name as key, 'proc' as type, upper(coalesce(cid, l
 
 @query("graph_build", f"with {GRAPH} select * from gn")
 def graph_build(spark, d):
-    return graph.build_graph(_latest_files(spark, d).filter("kind = 'procs'"))[0]
+    return graph.build_graph(_latest_files(spark, d, "procs"))[0]
 
 
 @query("graph_edges", f"with {GRAPH} select src_key, 'script:' || script dst_key, file, line_no from rn")
 def graph_edges(spark, d):
-    return graph.build_graph(_latest_files(spark, d).filter("kind = 'procs'"))[1]
+    return graph.build_graph(_latest_files(spark, d, "procs"))[1]
 
 
 @query("graph_stats", "select 'node' what, type as name, count(*) n from nodes group by 2 union all select 'edge', rel_type, count(*) from edges group by 2 union all select 'node', 'all', count(*) from nodes union all select 'edge', 'all', count(*) from edges")
@@ -323,7 +349,13 @@ mt as (select caller, callee from said where caller <> callee and callee in (sel
 
 @query("mention_graph", f"with {MENTIONS} select * from mt")
 def mention_graph(spark, d):
-    return graph.mentions(_latest_files(spark, d).filter("kind = 'script'"))
+    return graph.mentions(_latest_files(spark, d, "script"))
+
+
+@query("script_calls", f"with {MENTIONS} select caller, callee, callee in (select caller from sc) as exists from said where caller <> callee")
+def script_calls(spark, d):
+    """Every script that a script names, whether its file is there or not."""
+    return graph.calls(_latest_files(spark, d, "script"))
 
 
 MATCH = rf"""{TOKENS}, {PATHS}, {RUNBY}, pn as (select id node_id, key, split_part(key, ':', -1) as name, lower(key) low from nodes where type = 'proc'),
@@ -457,10 +489,22 @@ def jaccard(spark, d):
     return similarity.jaccard(explain.log_queries(log_signals.log_tokens(_t(spark, d, "log_lines"))), _t(spark, d, "case_cards"))
 
 
+@query("jaccard_cards", """with cs as (select id, list_distinct(list_transform(list_filter(signals, lambda s: s is not null), lambda s: lower(s))) s from case_cards where len(signals) > 0), c1 as (select id, len(s) n, unnest(s) g from cs),
+p as (select a.id q, b.id k, any_value(a.n) nq, any_value(b.n) nc, count(*) shared from c1 a join c1 b using (g) where a.id % 20 = 0 group by 1, 2)
+select q query_id, min(k) case_set, count(*) n_cases, jaccard from (select q, k, list_sort(s) ss, round(shared / (nq + nc - shared)::double, 6) jaccard from p join cs on cs.id = k) where jaccard >= 0.5 group by q, ss, jaccard""")
+def jaccard_cards(spark, d):
+    c = _t(spark, d, "case_cards")
+    return similarity.jaccard(c.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "signals"), c, threshold=0.5)
+
+
 _STOP = ", ".join(map(q, planner.STOPWORDS))
-TITLES = rf"""ti as (select doc_id, nullif(lower(regexp_extract(title, {q(planner.CID)}, 1)), '') title_cid, case when regexp_matches(title, {q(planner.LETTER)}) then lpad(regexp_extract(title, {q(planner.LETTER)}, 1), 3, '0') end letter_number,
+def _titles_sql(name: str, key: str, source: str) -> str:
+    return rf"""{name} as (select {key}, nullif(lower(regexp_extract(title, {q(planner.CID)}, 1)), '') title_cid, case when regexp_matches(title, {q(planner.LETTER)}) then lpad(regexp_extract(title, {q(planner.LETTER)}, 1), 3, '0') end letter_number,
   array_to_string(list_filter(list_transform(regexp_split_to_array(title, '[^A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) >= 3 and w not in ({_STOP})), ' ') keywords,
-  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '\b[A-Z]{{4}}\b', ''), '(?i)(?:Letter\s*|DL)\d{{2,3}}\b', ''), '^[\s\-–—:,]+', ''), '[\s\-–—:,]+$', '')) phrase from (select doc_id, coalesce(title, '') title from documents))"""
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '\b[A-Z]{{4}}\b', ''), '(?i)(?:Letter\s*|DL)\d{{2,3}}\b', ''), '^[\s\-–—:,]+', ''), '[\s\-–—:,]+$', '')) phrase from (select {key}, coalesce(title, '') title from {source}))"""
+
+
+TITLES = _titles_sql("ti", "doc_id", "documents")
 
 
 @query("title_intent", f"with {TITLES} select * from ti")
@@ -476,20 +520,45 @@ def job_family(spark, d):
     return p.select("proc_name", planner.job_family(F.col("proc_name")).alias("family"))
 
 
-def _plan_inputs(spark, d):
-    """An intent per log: client and job read from its path, its proc file's firm as title."""
-    files = checkpointed(_latest_files(spark, d))
-    fields = checkpointed(procs.with_json(procs.parse_procs(files.filter("kind = 'procs'"))))
+def _plan_files(spark, d):
+    """The files and the fields of the procs that a planner reads."""
+    files = checkpointed(_latest_files(spark, d, "procs", "script", "control", "docdef", "insert"))
+    return files, checkpointed(procs.with_json(procs.parse_procs(files.filter("kind = 'procs'"))))
+
+
+def _asked(spark, d) -> DataFrame:
+    """A request per log: client and job read from its path."""
     paths = log_signals.path_features(_t(spark, d, "log_lines")).filter("cid is not null and base_proc is not null")
-    asked = paths.select(F.col("log_path").alias("intent_id"), "cid", F.expr("substring(base_proc, 5)").alias("job_id"), F.lit(None).cast("string").alias("title"))
-    intents = checkpointed(planner.build_intents(asked))
+    return paths.select(F.col("log_path").alias("intent_id"), "cid", F.expr("substring(base_proc, 5)").alias("job_id"), F.lit(None).cast("string").alias("title"))
+
+
+def _titled(spark, d, files: DataFrame, fields: DataFrame) -> DataFrame:
+    """Requests by title only: a letter of a client per control file, and a firm without any client."""
+    name = F.element_at(F.split(F.lower(F.translate("path", "\\", "/")), "/"), -1)
+    letters = files.filter("kind = 'control'").select("path", F.upper(F.left(name, F.lit(4))).alias("cid"), F.regexp_extract(name, r"(\d{2,3})\.", 1).alias("no")).filter("no != ''")
+    letters = letters.select("path", F.concat("cid", F.lit(" Letter "), "no", F.lit(" - Monthly Card Statement")).alias("title"))
+    firms = fields.select(F.get_json_object("parsed_json", "$.firm").alias("path")).filter("path is not null").distinct().select("path", F.concat("path", F.lit(" DL014")).alias("title"))
+    none = F.lit(None).cast("string")
+    return letters.unionByName(firms).select(F.col("path").alias("intent_id"), none.alias("cid"), none.alias("job_id"), "title")
+
+
+def _plan_inputs(spark, d, titled: bool = False):
+    files, fields = _plan_files(spark, d)
+    intents = checkpointed(planner.build_intents(_titled(spark, d, files, fields) if titled else _asked(spark, d)))
     nodes, edges = _t(spark, d, "nodes"), _t(spark, d, "edges")
     return intents, checkpointed(planner.find_candidates(intents, nodes, fields)), nodes, edges, fields, files
 
 
-INTENTS = rf"""{PATHS}, it as (select log_path intent_id, cid, substr(base_proc, 5) job_id from paths where cid is not null and base_proc is not null),
-pn as (select id node_id, key proc_key, split_part(key, ':', -1) proc_name from nodes where type = 'proc'),
-cand as (select intent_id, proc_key, proc_name, node_id, proc_name = cid || job_id exact, cid, job_id from it join pn on starts_with(proc_name, cid))"""
+_PN = "pn as (select id node_id, key proc_key, split_part(key, ':', -1) proc_name from nodes where type = 'proc')"
+INTENTS = rf"""{PATHS}, it as (select log_path intent_id, cid, substr(base_proc, 5) job_id, null::varchar letter_number, ''::varchar keywords, ''::varchar phrase from paths where cid is not null and base_proc is not null), {_PN},
+cand as (select intent_id, proc_key, proc_name, node_id, proc_name = cid || job_id exact, cid, job_id, letter_number, keywords, phrase from it join pn on starts_with(proc_name, cid))"""
+_PJ = "pj as (select proc_name, file_setup, concat_ws(' ', firm, cid, app_type, job_id, lr, shell_script, log_file, file_setup, input_location, array_to_string(print_files, ' '), array_to_string(cross_refs, ' '), array_to_string(all_paths, ' ')) j from p1)"
+TITLED = rf"""{_PJ}, aw as (select path intent_id, upper(left(nm, 4)) || ' Letter ' || regexp_extract(nm, '(\d{{2,3}})\.', 1) || ' - Monthly Card Statement' title from (select path, lower(split_part(replace(path, chr(92), '/'), '/', -1)) nm from files where kind = 'control') where regexp_matches(nm, '(\d{{2,3}})\.')
+  union all select distinct firm, firm || ' DL014' from p1 where firm is not null), {_titles_sql("tt", "intent_id", "aw")},
+it as (select intent_id, title_cid cid, null::varchar job_id, letter_number, keywords, phrase from tt), {_PN},
+c1 as (select it.*, proc_key, proc_name, node_id from it join pn on starts_with(proc_name, cid)),
+c2 as (select distinct it.*, proc_key, pn.proc_name, node_id from (select *, unnest(string_split(keywords, ' ')) kw from it where intent_id not in (select intent_id from c1)) it0 join it using (intent_id) join pj on it0.kw <> '' and contains(lower(j), it0.kw) join pn on pn.proc_name = pj.proc_name),
+cand as (select intent_id, proc_key, proc_name, node_id, false exact, cid, job_id, letter_number, keywords, phrase from c1 union all select intent_id, proc_key, proc_name, node_id, false, cid, job_id, letter_number, keywords, phrase from c2)"""
 
 
 @query("plan_candidates", f"with {INTENTS} select intent_id, proc_key, proc_name, node_id, exact from cand")
@@ -497,13 +566,22 @@ def plan_candidates(spark, d):
     return _plan_inputs(spark, d)[1]
 
 
+@query("plan_titled_candidates", f"with {GRAPH}, {TITLED} select intent_id, proc_key, proc_name, node_id, exact from cand")
+def plan_titled_candidates(spark, d):
+    return _plan_inputs(spark, d, titled=True)[1]
+
+
 _FAMILY = "case when length(proc_name) <= 4 then proc_name when regexp_replace(proc_name, '[0-9]+$', '') <> proc_name and length(regexp_replace(proc_name, '[0-9]+$', '')) >= 5 then regexp_replace(proc_name, '[0-9]+$', '') when length(proc_name) > 5 then left(proc_name, length(proc_name) - 1) else proc_name end"
-BUNDLES = rf"""{GRAPH}, {INTENTS}, {DE}, {MENTIONS[len(LATEST) + 2:]},
-pj as (select proc_name, file_setup, concat_ws(' ', firm, cid, app_type, job_id, lr, shell_script, log_file, file_setup, input_location, array_to_string(print_files, ' '), array_to_string(cross_refs, ' '), array_to_string(all_paths, ' ')) j from p1),
+
+
+def _bundles_sql(intents: str, pj: str) -> str:
+    return rf"""{GRAPH}, {intents}, {DE}, {MENTIONS[len(LATEST) + 2:]},{pj}
 s2 as (select intent_id, proc_name, canonical_path path from cand join de on de.src = node_id and rel = 'RUNS' join nodes on nodes.id = dst where canonical_path is not null),
-mc as (select cand.*, f.path, f.text_content, {_FAMILY} fam from cand join files f on f.kind = 'control' and contains(lower(f.path), cid)), s4 as (select * from mc where contains(lower(path), fam)),
-co as (select intent_id, proc_name, upper(c) code, 51 frm from (select intent_id, proc_name, unnest(regexp_extract_all(coalesce(text_content, ''), {q(planner.FORMAT_DFA)}, 1)) c from s4)
-  union select intent_id, proc_name, c, 52 from (select intent_id, cand.proc_name, cid, unnest(regexp_extract_all(j, {q(planner.DFA_TOKEN)}, 1)) c from cand join pj on pj.proc_name = cand.proc_name) where starts_with(c, upper(cid))),
+kc as (select * replace (coalesce(cid, left(proc_name, 4)) as cid) from cand),
+mc as (select kc.*, f.path, f.text_content, coalesce(contains(f.path, letter_number), false) lettered from kc join files f on f.kind = 'control' and contains(lower(f.path), cid) and contains(lower(f.path), {_FAMILY})),
+s4 as (select * from (select *, bool_or(lettered) over (partition by intent_id, proc_name) any_lettered from mc) where lettered or not any_lettered),
+co as (select intent_id, proc_name, upper(c) code, 51 frm from (select intent_id, proc_name, letter_number, unnest(regexp_extract_all(coalesce(text_content, ''), {q(planner.FORMAT_DFA)}, 1)) c from s4) where letter_number is null or right(upper(c), 3) = letter_number
+  union select intent_id, proc_name, c, 52 from (select intent_id, kc.proc_name, cid, letter_number, unnest(regexp_extract_all(j, {q(planner.DFA_TOKEN)}, 1)) c from kc join pj on pj.proc_name = kc.proc_name) where starts_with(c, upper(cid)) and (letter_number is null or right(c, 3) = letter_number)),
 s5 as (select intent_id, proc_name, path, min(frm) frm from co join files f on f.kind = 'docdef' and contains(upper(f.path), code) group by 1, 2, 3),
 early as (select distinct * from (select intent_id, proc_name, 'procs/' || proc_name || '.procs' path, 'procs' kind, 'proc_file' source, 1 step from cand union all select *, 'script', 'RUNS_edge', 2 from s2
   union all select intent_id, cand.proc_name, i.path, 'insert', 'procs_file_setup', 3 from cand join pj on pj.proc_name = cand.proc_name join (select split_part(path, '/', -1) as name, min(path) path from files where kind = 'insert' group by 1) i on i.name = split_part(file_setup, '/', -1)
@@ -516,19 +594,43 @@ late as (select intent_id, proc_name, path, min((step, source)) f from (
 bundle as (select * from early union all select intent_id, proc_name, path, 'script', f[2], f[1] from late)"""
 
 
+BUNDLES = _bundles_sql(INTENTS, f" {_PJ},")
+TITLED_BUNDLES = _bundles_sql(TITLED, "")
+
+
 @query("plan_bundle", f"with {BUNDLES} select intent_id, proc_name, path, kind, source, cast(step as int) step from bundle")
 def plan_bundle(spark, d):
     intents, candidates, nodes, edges, fields, files = _plan_inputs(spark, d)
     return planner.build_bundles(candidates, intents, nodes, edges, fields, files)
 
 
-@query("plan_score", f"""with {BUNDLES}, fl as (select intent_id, proc_name, max(case when kind = 'script' then 10 else 0 end) + max(case when kind = 'insert' then 10 else 0 end) + max(case when kind = 'control' then 10 else 0 end) + max(case when kind = 'docdef' then 5 else 0 end) pts from bundle group by 1, 2),
-scr as (select c.intent_id, c.proc_name, cast(case when exact then 50 else 0 end + 15 + coalesce(pts, 0) as int) score from cand c left join fl using (intent_id, proc_name))
-select intent_id, cast(place as int) place, proc_name, score from (select *, row_number() over (partition by intent_id order by score desc, proc_name) place from scr) where place <= 5""")
+@query("plan_titled_bundle", f"with {TITLED_BUNDLES} select intent_id, proc_name, path, kind, source, cast(step as int) step from bundle")
+def plan_titled_bundle(spark, d):
+    intents, candidates, nodes, edges, fields, files = _plan_inputs(spark, d, titled=True)
+    return planner.build_bundles(candidates, intents, nodes, edges, fields, files)
+
+
+def _score_sql(bundles: str) -> str:
+    return f"""with {bundles}, fl as (select intent_id, proc_name, max(case when kind = 'script' then 10 else 0 end) + max(case when kind = 'insert' then 10 else 0 end) + max(case when kind = 'control' then 10 else 0 end) + max(case when kind = 'docdef' then 5 else 0 end) pts from bundle group by 1, 2),
+scr as (select c.intent_id, c.proc_name, cast(case when exact then 50 else 0 end + case when starts_with(c.proc_name, cid) then 15 else 0 end + coalesce(pts, 0) + case when phrase <> '' and contains(lower(j), lower(phrase)) then 30 else 0 end
+  + 2 * len(list_filter(string_split(keywords, ' '), lambda w: w <> '' and contains(lower(coalesce(j, '')), w))) as int) score from cand c left join fl using (intent_id, proc_name) left join pj on pj.proc_name = c.proc_name)
+select intent_id, cast(place as int) place, proc_name, score from (select *, row_number() over (partition by intent_id order by score desc, proc_name) place from scr) where place <= 5"""
+
+
+@query("plan_score", _score_sql(BUNDLES))
 def plan_score(spark, d):
-    intents, candidates, nodes, edges, fields, files = _plan_inputs(spark, d)
-    bundles = planner.build_bundles(candidates, intents, nodes, edges, fields, files)
-    return planner.score_candidates(candidates, bundles, intents, fields)
+    return planner.generate_plan(_asked(spark, d), *_plan_tables(spark, d))[0]
+
+
+@query("plan_titled_score", _score_sql(TITLED_BUNDLES))
+def plan_titled_score(spark, d):
+    nodes, edges, fields, files = _plan_tables(spark, d)
+    return planner.generate_plan(_titled(spark, d, files, fields), nodes, edges, fields, files)[0]
+
+
+def _plan_tables(spark, d):
+    files, fields = _plan_files(spark, d)
+    return _t(spark, d, "nodes"), _t(spark, d, "edges"), fields, files
 
 
 @query("plan_scope", f"""with {BUNDLES}, fb as (select intent_id, proc_name, path, kind, min(step) step from bundle group by 1, 2, 3, 4), pl as (select *, row_number() over (partition by intent_id, proc_name, kind order by step, path) place from fb),
@@ -539,9 +641,10 @@ def plan_scope(spark, d):
     return planner.scope_summary(checkpointed(planner.build_bundles(candidates, intents, nodes, edges, fields, files)))
 
 
-@query("diagram_edges", f"""with {BUNDLES}, ins as (select distinct proc_name, split_part(path, '/', -1) as name from bundle where kind = 'script')
-select distinct proc_name, proc_name src, split_part(path, '/', -1) dst, case kind when 'script' then 'RUNS' when 'insert' then 'READS' when 'control' then 'control' when 'docdef' then 'dfa' end as label from bundle where kind in ('script', 'insert', 'control', 'docdef')
-union select a.proc_name, caller, callee, 'calls' from mt join ins a on a.name = caller join ins b on b.name = callee and b.proc_name = a.proc_name""")
+@query("diagram_edges", f"""with {BUNDLES}, ins as (select distinct proc_name, split_part(path, '/', -1) as name from bundle where kind = 'script'),
+own as (select distinct proc_name, proc_name src, split_part(path, '/', -1) dst, case kind when 'script' then 'RUNS' when 'insert' then 'READS' when 'control' then 'control' when 'docdef' then 'dfa' end as label from bundle where kind in ('insert', 'control', 'docdef') or (kind = 'script' and source = 'RUNS_edge')),
+cl as (select a.proc_name, caller src, callee dst, 'calls' as label from mt join ins a on a.name = caller join ins b on b.name = callee and b.proc_name = a.proc_name)
+select * from own union select * from cl union select proc_name, proc_name, split_part(path, '/', -1), 'helper' from bundle b where source = 'helper_prefix_match' and not exists (select 1 from (select * from own union all select * from cl) x where x.proc_name = b.proc_name and x.dst = split_part(b.path, '/', -1))""")
 def diagram_edges(spark, d):
     intents, candidates, nodes, edges, fields, files = _plan_inputs(spark, d)
     bundles = checkpointed(planner.build_bundles(candidates, intents, nodes, edges, fields, files))
