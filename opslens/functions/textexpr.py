@@ -26,6 +26,71 @@ def cut(col: Column, n: int, mark: str = "...") -> Column:
     return F.when(F.length(col) > n, F.concat(F.substring(col, 1, n), F.lit(mark))).otherwise(col)
 
 
+def literals_of(pattern: str) -> tuple[str, ...]:
+    """For each alternative of a pattern the longest plain text that every match holds, in lower case; () if one has none."""
+    best, run, out, i = "", "", [], 0
+
+    def close() -> None:
+        nonlocal best, run
+        best, run = max(best, run, key=len), ""
+
+    while i <= len(pattern):
+        c = pattern[i] if i < len(pattern) else "|"
+        if c == "|":
+            close()
+            if not best:
+                return ()
+            out.append(best.lower())
+            best = ""
+        elif c == "(" or c == "[":
+            close()
+            depth, listed = 0, False
+            while True:  # to the end of the group or list
+                d = pattern[i]
+                if d == "\\":
+                    i += 1
+                elif listed:
+                    listed = d != "]"
+                elif d == "[":
+                    listed = True
+                    i += pattern[i + 1 : i + 2] == "]"
+                elif d in "()":
+                    depth += 1 if d == "(" else -1
+                if depth == 0 and not listed:
+                    break
+                i += 1
+        elif c == "\\":
+            i += 1
+            if pattern[i].isalnum():
+                close()
+            else:
+                run += pattern[i]
+        elif c in "?*{":
+            run = run[:-1]
+            close()
+            if c == "{":
+                i = pattern.index("}", i)
+        elif c in "+.^$":
+            close()
+        else:
+            run += c
+        i += 1
+    return tuple(out)
+
+
+def matches(col: Column | str, low: Column | str, pattern: str, flags: str = "") -> Column:
+    """Whether a pattern matches; where its texts must hold something plain, that is looked for first in ``low``, the column in lower case."""
+    c = F.col(col) if isinstance(col, str) else col
+    test = c.rlike(flags + pattern)
+    need = literals_of(pattern)
+    if not need:
+        return test
+    holds = F.contains(low, F.lit(need[0]))
+    for text in need[1:]:
+        holds = holds | F.contains(low, F.lit(text))
+    return holds & test
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

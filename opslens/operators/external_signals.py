@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.functions.textexpr import cut, found_all, strip
+from opslens.functions.textexpr import cut, found_all, matches, strip
 from opslens.rules import CATEGORY_BONUS, OTHER_BONUS, RULES, Rule
 
 # How services are named.
@@ -13,7 +13,11 @@ SERVICE_PATTERNS = (r"(?i)services?=([\w|]+)", r"(?i)/services?/(\w+)", r"(?i)[\
 MAX_EVIDENCE, MAX_LINE = 5, 200
 
 
-def _hit(line: Column, rule: Rule, no: int) -> Column:
+#: Lines of a log whose signals one task puts in order.
+BLOCK_LINES = 10_000
+
+
+def _hit(line: Column, low: Column, rule: Rule, no: int) -> Column:
     """Struct of the rule's first matching pattern on a line, null if none matches."""
     out = F.lit(None)
     for pattern, names in reversed(rule.groups()):
@@ -22,14 +26,14 @@ def _hit(line: Column, rule: Rule, no: int) -> Column:
         captures = F.filter(F.array(*pairs), lambda x: x["value"] != "") if pairs else F.array().cast("array<struct<name:string,value:string>>")
         shown = F.array_join(F.transform(captures, lambda x: F.concat(x["name"], F.lit("="), x["value"])), ";")
         score = rule.rank * 10 + CATEGORY_BONUS.get(rule.category, OTHER_BONUS) + 2 * F.size(captures)
-        out = F.when(line.rlike(p), F.struct(F.lit(rule.id).alias("rule_id"), F.lit(no).alias("rule_no"), F.lit(rule.severity).alias("severity"), F.lit(rule.rank).alias("rank"), F.lit(rule.category).alias("category"), shown.alias("captures"), score.cast("int").alias("score"))).otherwise(out)
+        out = F.when(matches(line, low, pattern, "(?i)"), F.struct(F.lit(rule.id).alias("rule_id"), F.lit(no).alias("rule_no"), F.lit(rule.severity).alias("severity"), F.lit(rule.rank).alias("rank"), F.lit(rule.category).alias("category"), shown.alias("captures"), score.cast("int").alias("score"))).otherwise(out)
     return out
 
 
 def rule_hits(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """A row per line and rule that fires on it."""
-    d = lines.select("log_path", "line_no", strip("line").alias("message")).filter("message != ''")
-    hits = F.array_compact(F.array(*[_hit(F.col("message"), r, i) for i, r in enumerate(rules)]))
+    d = lines.select("log_path", "line_no", strip("line").alias("message")).filter("message != ''").withColumn("low", F.lower("message"))
+    hits = F.array_compact(F.array(*[_hit(F.col("message"), F.col("low"), r, i) for i, r in enumerate(rules)]))
     return d.select("log_path", "line_no", cut(F.col("message"), MAX_LINE).alias("evidence"), F.explode(hits).alias("h")).select("log_path", "line_no", "evidence", "h.*")
 
 
@@ -43,8 +47,22 @@ def external_signals(lines: DataFrame, rules: tuple[Rule, ...] = RULES, max_evid
     first = F.min(F.struct("line_no", "evidence")).alias("f")
     signals = rule_hits(lines, rules).groupBy(*key, "rule_no", "severity", "rank", "category", "score").agg(F.count("*").alias("n"), first)
     signals = signals.select(*key, "rule_no", "severity", "rank", "category", "score", F.least(F.col("n"), F.lit(max_evidence)).cast("int").alias("n_evidence"), F.col("f.line_no").alias("first_line"), F.col("f.evidence").alias("evidence"))
-    order = Window.partitionBy("log_path").orderBy(F.desc("rank"), F.desc("score"), "first_line", "rule_no", "captures")
-    return signals.withColumn("place", F.row_number().over(order).cast("int")).drop("rank", "rule_no")
+    # A log may hold any number of captures: places are counted by cells of rank, score and block of lines.
+    cell = ["log_path", "rank", "score", "block"]
+    signals = signals.withColumn("block", F.floor(F.col("first_line") / BLOCK_LINES))
+    before = Window.partitionBy("log_path").orderBy(F.desc("rank"), F.desc("score"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    cells = signals.groupBy(*cell).agg(F.count("*").alias("k")).select(*cell, F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("first_line", "rule_no", "captures"))
+    same = F.col("s.block").eqNullSafe(F.col("c.block")) & F.col("s.log_path").eqNullSafe(F.col("c.log_path")) & (F.col("s.rank") == F.col("c.rank")) & (F.col("s.score") == F.col("c.score"))
+    placed = signals.withColumn("i", inside).alias("s").join(cells.alias("c"), same).select("s.*", (F.col("c.before") + F.col("i")).cast("int").alias("place"))
+    return placed.drop("rank", "rule_no", "block", "i")
+
+
+def evidence_lines(lines: DataFrame, rules: tuple[Rule, ...] = RULES, max_evidence: int = MAX_EVIDENCE) -> DataFrame:
+    """log_path, rule_id, captures, ord, line_no, evidence: the first lines of each signal, ``max_evidence`` at most."""
+    order = Window.partitionBy("log_path", "rule_id", "captures").orderBy("line_no", "evidence")
+    d = rule_hits(lines, rules).withColumn("ord", F.row_number().over(order).cast("int")).filter(F.col("ord") <= max_evidence)
+    return d.select("log_path", "rule_id", "captures", "ord", "line_no", "evidence")
 
 
 def services_seen(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.textexpr import cut, found, found_all, redact
+from opslens.functions.textexpr import cut, found, found_all, matches, redact
 from opslens.operators.log_signals import ERROR_SIGNATURES
 from opslens.operators.procs import clean_paths
 
@@ -51,8 +51,11 @@ def chunks(docs: DataFrame) -> DataFrame:
     return d.filter(F.col("chunk").rlike(r"\S"))
 
 
-def signatures(text: Column) -> Column:
-    return F.array_distinct(F.concat(*[found_all(text, p, 0) for p in ERROR_SIGNATURES]))
+def signatures(text: Column, low: Column | None = None) -> Column:
+    """The distinct error signatures of a text; ``low`` is the text in lower case, as a column of its own."""
+    low = F.lower(text) if low is None else low
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.when(matches(text, low, p), found_all(text, p, 0)).otherwise(none) for p in ERROR_SIGNATURES]))
 
 
 def commands(text: Column) -> Column:
@@ -81,9 +84,9 @@ def case_cards(docs: DataFrame, redacted: bool = False) -> DataFrame:
     d = chunks(docs)
     text = redact("chunk") if redacted else F.col("chunk")
     t = F.col("t")
-    parts = F.struct(t, signatures(t).alias("signals"), commands(t).alias("verify_commands"), F.slice(clean_paths(found_all(t, FILE_PATH)), 1, 20).alias("related_files"))
+    parts = F.struct(t, signatures(t, F.col("low")).alias("signals"), commands(t).alias("verify_commands"), F.slice(clean_paths(found_all(t, FILE_PATH)), 1, 20).alias("related_files"))
     # the one-row explode keeps the optimizer from computing the lists again in the filter and behind it
-    cards = d.select("doc_id", "chunk_id", text.alias("t")).select("doc_id", "chunk_id", F.explode(F.array(parts)).alias("p")).select("doc_id", "chunk_id", "p.*")
+    cards = d.select("doc_id", "chunk_id", text.alias("t")).withColumn("low", F.lower("t")).select("doc_id", "chunk_id", F.explode(F.array(parts)).alias("p")).select("doc_id", "chunk_id", "p.*")
     cards = cards.filter((F.size("signals") > 0) | (F.size("verify_commands") > 0) | (F.size("related_files") > 0))
     sections = docs.select("doc_id", F.substring(F.trim(found(F.coalesce("text", F.lit("")), CAUSE_SECTION)), 1, 300).alias("file_cause"), F.substring(F.trim(found(F.coalesce("text", F.lit("")), FIX_SECTION)), 1, 300).alias("file_fix")).filter("file_cause is not null or file_fix is not null")
     cards = cards.join(sections, "doc_id", "left")

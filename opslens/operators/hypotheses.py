@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.functions.textexpr import cut
+from opslens.functions.textexpr import cut, matches
 from opslens.operators.external_signals import external_signals, services_seen
 from opslens.operators.log_signals import STRONG_FAILURE, any_of, line_signals
 from opslens.rules import RULES, Rule
@@ -28,6 +28,23 @@ LINE_RULES = (
     ("bad_csv", r"CSV file.*is bad|CSV.*bad", "A CSV input is malformed", 0.9),
     ("failed_in", r"Failed in \w+", "A script failed while it ran", 0.85),
 )
+#: How each line rule is confirmed; rules of the pack bring their hints.
+CONFIRM = {
+    "oracle": ("See that the listener answers", "Compare the connection's name with the network configuration", "Read the database's own log"),
+    "docexec": ("Check the document definition's syntax", "Compare the input with the format it expects", "Look at the variables it declares"),
+    "converter": ("Check the converter's configuration and profile", "Look at the format of the input"),
+    "no_file": ("See that the file is where the log says", "List its permissions", "Check the path in the insert file"),
+    "permission": ("List the permissions of the path", "See which user the job runs as", "See whether another process holds the file"),
+    "mismatch": ("Compare the record counts of input and output", "Look for repeated records", "Check the input against its layout"),
+    "timeout": ("Check the network", "See that the database answers", "Look at the load of the host"),
+    "missing": ("See that the insert file sets every parameter", "Check the fields of the input", "Look at what the calling script passes on"),
+    "bad_line": ("Open the input at the line named", "Check quotes and separators", "Count the columns"),
+    "return_code": ("Read the log of the program called", "See that its inputs exist", "Check its configuration"),
+    "wrapper": ("Look for other codes in the same log", "Read the lines before it", "Without any other failure it may be a false alarm"),
+    "error": ("Read the message itself", "Read the lines before it", "Check input and configuration"),
+    "bad_csv": ("Check the file's encoding", "Check quotes and separators", "Count the columns"),
+    "failed_in": ("Open the script named", "Read its log", "Check the parameters it was given"),
+}
 SEVERITY_CONFIDENCE = {"F": 0.95, "E": 0.85, "W": 0.70, "I": 0.50}
 WRAPPER_ONLY = "Only the wrapper's message was found and no failure behind it"
 DEFAULT = "No known pattern was found; read the log"
@@ -40,16 +57,16 @@ def _from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Each rule fires once per log, on fatal lines before errors; where a log has neither, on all lines.
     """
-    s = line_signals(lines)
+    s = line_signals(lines).withColumn("low", F.lower("message"))
     level = F.when(F.col("severity") == "F", 0).when(F.col("severity") == "E", 1).otherwise(2)
-    wrapper = F.col("message").rlike("(?i)" + LINE_RULES[10][1])
+    wrapper = matches("message", "low", LINE_RULES[10][1], "(?i)")
     fired = []
     for no, (name, pattern, _, _) in enumerate(LINE_RULES):
         # a wrapper line fires its own rule only
-        test = wrapper if name == "wrapper" else ~wrapper & F.col("message").rlike("(?i)" + pattern)
+        test = wrapper if name == "wrapper" else matches("message", "low", pattern, "(?i)") & ~wrapper
         fired.append(F.when(test, no))
     # -1 and -2 stand for the log itself: its best level, and a strong failure
-    per_line = F.array_compact(F.array(F.lit(-1), F.when(any_of("message", STRONG_FAILURE), -2), *fired))
+    per_line = F.array_compact(F.array(F.lit(-1), F.when(any_of("message", STRONG_FAILURE, "low"), -2), *fired))
     hits = s.select("log_path", "line_no", "message", level.alias("level"), F.explode(per_line).alias("no"))
     first = hits.groupBy("log_path", "no").agg(F.min(F.struct("level", "line_no", F.when(F.col("no") >= 0, F.col("message")).alias("message"))).alias("f"))
     first = checkpointed(first)
@@ -88,7 +105,7 @@ def _from_rules(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def hypotheses(lines: DataFrame, top: int = 3, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """log_path, place, rule, hypothesis, confidence, line_no, evidence: the best ``top`` of each log.
+    """log_path, place, rule, hypothesis, confidence, line_no, evidence, confirm (steps joined by '|'): the best ``top`` of each log.
 
     A log whose only hypothesis is the wrapper's message and that shows no strong failure
     keeps it at low confidence; a log without any gets the default.
@@ -107,4 +124,10 @@ def hypotheses(lines: DataFrame, top: int = 3, rules: tuple[Rule, ...] = RULES)
         F.coalesce("line_no", F.lit(0)).alias("line_no"), F.coalesce("evidence", F.lit("")).alias("evidence"),
     )
     order = Window.partitionBy("log_path").orderBy(F.desc("confidence"), "ord", "rule")  # at most one row per rule
-    return d.withColumn("place", F.row_number().over(order).cast("int")).filter(F.col("place") <= top).drop("ord")
+    return d.withColumn("place", F.row_number().over(order).cast("int")).filter(F.col("place") <= top).drop("ord").withColumn("confirm", confirm_steps(F.col("rule"), rules))
+
+
+def confirm_steps(rule: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The steps that confirm a rule's hypothesis, joined by '|'; '' where there are none."""
+    steps = {**{r.id: r.hints for r in rules}, **CONFIRM}
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in steps.items() for x in (k, "|".join(v))]), rule), F.lit(""))

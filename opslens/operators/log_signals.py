@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.textexpr import found, found_all, strip
+from opslens.functions.textexpr import found, found_all, matches, strip
 from opslens.rules import RULES
 
 # The patterns that lines are searched with.
@@ -69,7 +69,7 @@ def _tagged(tokens: Column, kind: str) -> Column:
 
 def log_tokens(lines: DataFrame) -> DataFrame:
     """log_path, kind, token: the distinct tokens of each log (error codes and seven kinds of references)."""
-    s = line_signals(lines)
+    s = line_signals(lines).withColumn("low", F.lower("message"))
     m = F.col("message")
     groups = []
     for kind, pattern, case in TOKENS:
@@ -81,25 +81,25 @@ def log_tokens(lines: DataFrame) -> DataFrame:
         groups.append(_tagged(hits, kind))
     codes = F.array_compact(F.array(F.col("code")))
     bare = F.col("severity").isin("E", "F") & F.col("code").isNull()
-    phrases = F.when(bare, F.array_compact(F.array(*[F.lower(found(m, p, 0)) for p in ERROR_SIGNATURES]))).otherwise(F.array().cast("array<string>"))
+    phrases = F.when(bare, F.array_compact(F.array(*[F.when(matches(m, "low", p), F.lower(found(m, p, 0))) for p in ERROR_SIGNATURES]))).otherwise(F.array().cast("array<string>"))
     groups.append(_tagged(F.concat(codes, phrases), "error_code"))
     return s.select("log_path", F.explode(F.flatten(F.array(*groups))).alias("t")).select("log_path", "t.kind", "t.token").distinct()
 
 
-def any_of(col: Column | str, patterns: tuple[str, ...]) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    out = c.rlike(patterns[0])
+def any_of(col: Column | str, patterns: tuple[str, ...], low: Column | str) -> Column:
+    """Whether one of the patterns matches; ``low`` is the column in lower case."""
+    out = matches(col, low, patterns[0])
     for p in patterns[1:]:
-        out = out | c.rlike(p)
+        out = out | matches(col, low, p)
     return out
 
 
 def log_rollup(lines: DataFrame) -> DataFrame:
     """Per log: line and severity counts, wrapper and strong-failure flags, and each kind of token sorted and joined by '|'."""
     # Counts need no window and no list: partial aggregation carries a log of any size.
-    counts = line_signals(lines).groupBy("log_path").agg(
+    counts = line_signals(lines).withColumn("low", F.lower("message")).groupBy("log_path").agg(
         F.count("*").alias("n_signals"), F.count_if(F.col("severity").isin("E", "F")).alias("n_errors"), F.count_if(F.col("severity") == "F").alias("n_fatal"), F.count_if(F.col("severity") == "W").alias("n_warnings"),
-        F.max(F.col("message").rlike(WRAPPER)).alias("has_wrapper_noise"), F.max(any_of("message", STRONG_FAILURE + FATAL_RULES)).alias("has_strong_failure"),
+        F.max(F.col("message").rlike(WRAPPER)).alias("has_wrapper_noise"), F.max(any_of("message", STRONG_FAILURE + FATAL_RULES, "low")).alias("has_strong_failure"),
     )
     kinds = ["error_code", *dict.fromkeys(k for k, _, _ in TOKENS)]
     lists = [F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("token")))), "|").alias(f"{k}s") for k in kinds]

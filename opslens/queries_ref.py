@@ -153,6 +153,11 @@ def external_signals_q(spark, d):
     return external_signals.external_signals(_t(spark, d, "log_lines"))
 
 
+@query("signal_evidence", f"with {EXT} select log_path, rule_id, captures, cast(ord as int) ord, line_no, ev evidence from (select *, row_number() over (partition by log_path, rule_id, captures order by line_no, ev) ord from hits) where ord <= 5".replace("min((line_no, ev))[2]", "arg_min(ev, (line_no, ev))"))
+def signal_evidence(spark, d):
+    return external_signals.evidence_lines(_t(spark, d, "log_lines"))
+
+
 SERVICES = "services as (select distinct log_path, service from (select log_path, unnest(string_split(lower(t), '|')) service from (" + " union all ".join(f"select log_path, unnest(regexp_extract_all(line, {q(p)}, 1)) t from log_lines" for p in external_signals.SERVICE_PATTERNS) + ")) where length(service) > 1)"
 
 
@@ -185,6 +190,11 @@ def missing_ids_named(spark, d):
     return external_signals.missing_ids(_derived(spark, d))
 
 
+def _confirm_sql() -> str:
+    steps = {**{r.id: r.hints for r in RULES}, **hypotheses.CONFIRM}
+    return "case rule " + " ".join(f"when '{k}' then {q('|'.join(v))}" for k, v in steps.items()) + " else '' end"
+
+
 def _hypotheses_sql() -> str:
     fired = []
     wrapper = f"regexp_matches(m, {q('(?i)' + hypotheses.LINE_RULES[10][1])})"
@@ -217,7 +227,7 @@ ours as (select * from xo union all select * from lo), cnt as (select log_path,
 logs as (select log_path, coalesce(strong, false) strong from (select distinct log_path from log_lines) left join (select log_path, bool_or({strong}) strong from sig group by 1) using (log_path)),
 fin as (select logs.log_path, coalesce(rule, 'default') rule, coalesce(ord, 0) ord, case when rule is null then {q(hypotheses.DEFAULT)} when rule = 'wrapper' and n_rows = 1 and not strong then {q(hypotheses.WRAPPER_ONLY)} else hypothesis end hypothesis,
   case when rule is null then 0.5 when rule = 'wrapper' and n_rows = 1 and not strong then 0.2 else confidence end confidence, coalesce(line_no, 0) line_no, coalesce(evidence, '') evidence from logs left join ours using (log_path) left join cnt using (log_path))
-select log_path, rule, hypothesis, cast(confidence as double) confidence, line_no, evidence, cast(place as int) place from (select *, row_number() over (partition by log_path order by confidence desc, ord, rule) place from fin) where place <= 3""".replace("min((line_no, ev))[2]", "arg_min(ev, (line_no, ev))")
+select log_path, rule, hypothesis, cast(confidence as double) confidence, line_no, evidence, cast(place as int) place, {_confirm_sql()} confirm from (select *, row_number() over (partition by log_path order by confidence desc, ord, rule) place from fin) where place <= 3""".replace("min((line_no, ev))[2]", "arg_min(ev, (line_no, ev))")
 
 
 @query("hypotheses_topk", _hypotheses_sql())
@@ -793,7 +803,8 @@ def case_cards(spark, d):
 
 @query("error_signatures", "select doc_id, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), '|') signals from (select doc_id, list_concat(" + ", ".join(f"regexp_extract_all(coalesce(text, ''), {q(p)}, 0)" for p in log_signals.ERROR_SIGNATURES) + ") s from documents)")
 def error_signatures(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.array_join(history.signatures(F.coalesce("text", F.lit(""))), "|").alias("signals"))
+    t = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    return t.select("doc_id", F.array_join(history.signatures(F.col("text"), F.col("low")), "|").alias("signals"))
 
 
 def _as_diffs(spark, d) -> DataFrame:
