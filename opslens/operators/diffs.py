@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.textexpr import found
@@ -24,21 +27,31 @@ def capped_diffs(diffs: DataFrame, suffixes: tuple[str, ...] = CODE_SUFFIXES, ma
     """change_id, file, state (taken, truncated, other_type, empty, over_total), size of each diff (change_id, ord, file, diff).
 
     Diffs are taken in order as long as they fit; one that does not is skipped and later ones
-    may still fit, so the sizes (not the texts) of a change are folded in order.
+    may still fit, so the sizes (not the texts) of a change are walked in order, with a running
+    total as the only state.
     """
     suffix = F.when(F.contains("file", F.lit(".")), F.lower(F.substring_index("file", ".", -1))).otherwise("")
     diffs = diffs.withColumn("diff", F.coalesce("diff", F.lit("")))
     size = F.least(F.length("diff"), F.lit(max_file))
     kind = F.when(~suffix.isin(*suffixes), "other_type").when(F.trim(F.translate("diff", "\n\t\r", "   ")) == "", "empty").when(F.length("diff") > max_file, "truncated").otherwise("taken")
     rows = diffs.select("change_id", "ord", "file", size.alias("size"), F.coalesce(kind, F.lit("other_type")).alias("kind"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<ord:bigint,file:string,size:int,state:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = x["kind"].isin("taken", "truncated")
-        over = fits & (s["total"] + x["size"] > max_total)
-        state = F.when(over, "over_total").otherwise(x["kind"])
-        row = F.struct(x["ord"].cast("long").alias("ord"), x["file"].alias("file"), x["size"].cast("int").alias("size"), state.alias("state"))
-        return F.struct((s["total"] + F.when(fits & ~over, x["size"]).otherwise(0)).cast("long").alias("total"), F.array_append(s["out"], row).alias("out"))
-
-    folded = rows.groupBy("change_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("ord", "file", "size", "kind"))), start, step)["out"].alias("out"))
-    return folded.select("change_id", F.explode("out").alias("o")).select("change_id", "o.ord", "o.file", "o.size", "o.state")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in ("change_id", "ord", "file")) + ", size int, state string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # changes follow each other, each in order; one total is all that is kept
+        change, total = object(), 0
+        for pdf in batches:
+            states = []
+            for c, n, k in zip(pdf["change_id"], pdf["size"], pdf["kind"], strict=True):
+                c = None if pd.isna(c) else c
+                if c != change:
+                    change, total = c, 0
+                if k in ("taken", "truncated"):
+                    if total + n > max_total:
+                        k = "over_total"
+                    else:
+                        total += n
+                states.append(k)
+            yield pdf[["change_id", "ord", "file", "size"]].assign(state=states)
+
+    return rows.repartition("change_id").sortWithinPartitions("change_id", "ord", "file", "size", "kind").mapInPandas(run, schema)

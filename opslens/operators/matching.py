@@ -43,10 +43,12 @@ def _names(tokens: DataFrame, kind: str) -> DataFrame:
     return tokens.filter(F.col("kind") == kind).select("log_path", "token")
 
 
-def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: DataFrame | None = None, alone: int | None = None) -> DataFrame:
     """log_path, node_id, strategy, token, points (tenths): everything that speaks for a node.
 
-    ``tokens`` are those of the lines if they are at hand; the lines are then read for their paths only.
+    ``tokens`` are those of the lines if they are at hand; the lines are then read for their
+    paths only. ``alone``: of the procs for which nothing but the client speaks, all alike,
+    only so many are listed, by node id (None: all).
     """
     tokens = checkpointed(log_tokens(lines)) if tokens is None else tokens
     procs = _procs(nodes)
@@ -57,6 +59,9 @@ def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: D
     names = path_features(lines).select("log_path", own_names).select("log_path", "t.kind", "t.token").filter("token is not null")
     names = names.unionByName(_names(tokens, "prefix").select("log_path", F.lit("prefix").alias("kind"), "token"))
     cuts = procs.select("node_id", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("k"), F.lower("name").alias("name")).select("node_id", F.expr("left(name, k)").alias("token"), (F.col("k") == F.length("name")).alias("whole"))
+    by_client = names.filter("kind = 'cid'").select("log_path", "token")
+    if alone is not None:
+        names = names.filter("kind != 'cid'")
     hits = checkpointed(names.join(cuts, "token"))
     # Whether a token is a whole name, and which of a log's own names is one, decides what counts.
     whole = hits.filter("kind = 'prefix' and whole").select("token").distinct().withColumn("is_name", F.lit(True))
@@ -76,12 +81,18 @@ def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: D
     by_jid = _by_part(_names(tokens, "jid"), procs)
     for part, name, n in ((by_script, "script", SCRIPT), (by_jid, "jid", JID)):
         named = named.unionByName(part.select("log_path", "node_id", F.lit(name).alias("strategy"), "token", F.lit(n).alias("points")))
-    return named
+    if alone is None:
+        return named
+    named = checkpointed(named)
+    some = named.select("log_path", "node_id").distinct().join(by_client, "log_path").join(procs.select("node_id", F.lower("name").alias("name")), "node_id").filter(F.startswith("name", "token"))
+    first = cuts.join(by_client.select("token").distinct(), "token").withColumn("n", F.row_number().over(Window.partitionBy("token").orderBy("node_id"))).filter(F.col("n") <= alone)
+    client = some.select("log_path", "node_id", "token").unionByName(by_client.join(first, "token").select("log_path", "node_id", "token")).distinct()
+    return named.unionByName(client.select("log_path", "node_id", F.lit("cid").alias("strategy"), "token", F.lit(CID).alias("points")))
 
 
 def match_logs(lines: DataFrame, nodes: DataFrame, edges: DataFrame, top: int = 1, tokens: DataFrame | None = None) -> DataFrame:
     """log_path, place, node_id, key, points (tenths), confidence: the best ``top`` procs of each log, ties by node id."""
-    total = match_scores(lines, nodes, edges, tokens).groupBy("log_path", "node_id").agg(F.sum("points").alias("points"))
+    total = match_scores(lines, nodes, edges, tokens, alone=top).groupBy("log_path", "node_id").agg(F.sum("points").alias("points"))
     order = Window.partitionBy("log_path").orderBy(F.desc("points"), "node_id")
     best = total.withColumn("place", F.row_number().over(order).cast("int")).filter(F.col("place") <= top)
     confidence = F.round(F.least(F.lit(1.0), F.col("points") / FULL), 4)

@@ -1,7 +1,8 @@
 """Search over files and knowledge: paths, substrings, and an inverted index with phrases.
 
 A query of the index is tokenised like the texts and never fails: words joined by AND, OR
-and NOT, "phrases" and prefix* terms.
+and NOT, "phrases", prefix* terms, ^first words and NEAR(words "and phrases", 10) of at most
+so many words between the first and the last.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ KINDS = {"scripts": ("script", "master"), "procs": ("procs",), "controls": ("con
 
 
 def of_kind(files: DataFrame, kind: str = "all", scope: DataFrame | None = None) -> DataFrame:
-    """Files of a kind (unknown kinds filter nothing), and of a scope (path) unless it is None."""
+    """Files of a kind (unknown kinds filter nothing), and of a scope (path); no scope or an empty one filters nothing."""
     values = KINDS.get(kind.lower())
     out = files.filter(F.col("kind").isin(*values)) if values else files
-    return out.join(scope.select("path").distinct(), "path", "left_semi") if scope is not None else out
+    return out.join(scope.select("path").distinct(), "path", "left_semi") if scope is not None and not scope.isEmpty() else out
 
 
 def search_path(files: DataFrame, text: str, limit: int | None = None) -> DataFrame:
@@ -48,10 +49,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Inverted index: term, doc_id, positions. One row per term and document."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens(F.coalesce(text_col, F.lit("")))).alias("pos", "term"))
-    return words.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+#: Words of a path stand this far before those of the text, so nothing spans both.
+PATH_AT = -(1 << 20)
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, path_col: str | None = None) -> DataFrame:
+    """Inverted index: term, doc_id, positions. One row per term and document; words of the path come before those of the text."""
+    words = F.transform(tokens(F.coalesce(text_col, F.lit(""))), lambda w, i: F.struct(i.alias("pos"), w.alias("term")))
+    if path_col:
+        words = F.concat(F.transform(tokens(F.coalesce(path_col, F.lit(""))), lambda w, i: F.struct((i + PATH_AT).alias("pos"), w.alias("term"))), words)
+    each = docs.select(F.col(id_col).alias("doc_id"), F.explode(words).alias("w")).select("doc_id", "w.pos", "w.term")
+    return each.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def _plain(text: str) -> list[str]:
@@ -59,9 +67,13 @@ def _plain(text: str) -> list[str]:
     return [w for w in re.split(r"[^\w]+|_", out) if w]
 
 
+#: Words between the first and the last of NEAR, where it names no number (fixed value).
+NEAR_WORDS = 10
+
+
 def parse_query(query: str) -> list[list[tuple[bool, str, str]]]:
-    """A query as OR of ANDs of (negated, kind, text); kind is term, prefix or phrase."""
-    parts = re.findall(r'"[^"]*"?|\S+', query)
+    """A query as OR of ANDs of (negated, kind, text); kind is term, prefix, phrase, first or near."""
+    parts = re.findall(r'NEAR\s*\([^)]*\)?|\^?"[^"]*"?|\S+', query)
     groups: list[list[tuple[bool, str, str]]] = [[]]
     negate = False
     for p in parts:
@@ -69,39 +81,74 @@ def parse_query(query: str) -> list[list[tuple[bool, str, str]]]:
             groups.append([])
         elif p == "NOT":
             negate = True
-        elif p not in ("AND", "NEAR"):
+        elif re.match(r"NEAR\s*\(", p):
+            body = p.split("(", 1)[1].rstrip(")")
+            if _near(body)[0]:
+                groups[-1].append((negate, "near", body))
+            negate = False
+        elif p != "AND":
             body = p.strip('"^')
-            kind = "phrase" if p.startswith('"') else "prefix" if p.endswith("*") else "phrase" if len(_plain(p)) > 1 else "term"
+            kind = "first" if p.startswith("^") else "phrase" if p.startswith('"') else "prefix" if p.endswith("*") else "phrase" if len(_plain(p)) > 1 else "term"
             if _plain(body):
                 groups[-1].append((negate, kind, body))
             negate = False
     return [g for g in groups if any(not n for n, _, _ in g)]
 
 
+def _near(body: str) -> tuple[list[list[str]], int]:
+    """The words of each phrase of a NEAR group, and its number."""
+    n = re.search(r",\s*(\d+)\s*$", body)
+    body = body[: n.start()] if n else body
+    phrases = [_plain(a or b) for a, b in re.findall(r'"([^"]*)"?|([^\s"]+)', body)]
+    return [p for p in phrases if p], int(n.group(1)) if n else NEAR_WORDS
+
+
+def _words(kind: str, text: str) -> list[str]:
+    return [w for p in _near(text)[0] for w in p] if kind == "near" else _plain(text)
+
+
 def _asks(kind: str, text: str) -> Column:
     """Which index rows a literal needs."""
-    words = _plain(text)
+    words = _words(kind, text)
     if kind == "prefix":
         return F.startswith("term", F.lit(words[0]))
     return F.col("term").isin(*words)
 
 
-def _holds(kind: str, text: str) -> Column:
-    """Whether a document's rows fulfil a literal; evaluated in one aggregation per document."""
-    words = _plain(text)
-    if kind == "prefix":
-        return F.max(F.startswith("term", F.lit(words[0])))
-    places = [F.coalesce(F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True), F.array().cast("array<int>")) for w in words]
+def _places(words: list[str]) -> Column:
+    """Where in a document a phrase begins; an aggregate over the document's rows."""
+    each = [F.coalesce(F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True), F.array().cast("array<int>")) for w in words]
     if len(words) == 1:
-        return F.size(places[0]) > 0
+        return each[0]
 
     def follows(at: Column) -> Column:
         out = F.lit(True)
-        for i, p in enumerate(places[1:], 1):
+        for i, p in enumerate(each[1:], 1):
             out = out & F.array_contains(p, at + i)
         return out
 
-    return F.exists(places[0], follows)
+    return F.filter(each[0], follows)
+
+
+def _holds(kind: str, text: str) -> Column:
+    """Whether a document's rows fulfil a literal; evaluated in one aggregation per document."""
+    words = _words(kind, text)
+    if kind == "prefix":
+        return F.max(F.startswith("term", F.lit(words[0])))
+    if kind == "first":
+        return F.exists(_places(words), lambda at: at.isin(0, PATH_AT))
+    if kind != "near":
+        return F.size(_places(words)) > 0
+    phrases, most = _near(text)
+
+    def within(i: int, starts: tuple[Column, ...]) -> Column:
+        if i < len(phrases):
+            return F.exists(_places(phrases[i]), lambda at: within(i + 1, (*starts, at)))
+        if len(starts) == 1:
+            return F.lit(True)
+        return F.greatest(*starts) - F.least(*[s + len(p) for s, p in zip(starts, phrases, strict=True)]) <= most
+
+    return within(0, ())
 
 
 def find(index: DataFrame, query: str) -> DataFrame:
@@ -141,7 +188,7 @@ def smart_search(files: DataFrame, query: str, index: DataFrame | None = None) -
 
     All tiers are one plan; the best tier that has a row is kept.
     """
-    index = build_index(files, "id", "text_content") if index is None else index
+    index = build_index(files, "id", "text_content", "path") if index is None else index
     of = lambda docs, m, tier: docs.withColumnRenamed("doc_id", "id").join(files.select("id", "path"), "id").select(F.lit(tier).alias("tier"), F.lit(m).alias("method"), "id", "path")
     if any(m in query for m in RAW_MARKS):
         return of(find(index, query), "fts_raw", 0).drop("tier")
@@ -158,19 +205,43 @@ def smart_search(files: DataFrame, query: str, index: DataFrame | None = None) -
     return rows.join(F.broadcast(best), "tier", "left_semi").drop("tier")
 
 
+#: Characters of a text before and behind a hit, and of a text without one.
+AROUND, BEGINNING = 80, 100
+
+
+def snippet(text: Column | str, query: str) -> Column:
+    """What stands around the first hit of a query's words, the hit in >>> and <<<; without one the beginning of the text."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    plain = F.translate(F.lower(t), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    words = "|".join(dict.fromkeys(r"[^\p{L}\p{N}]+".join(_plain(x)) + (r"[\p{L}\p{N}]*" if k == "prefix" else "") if k != "near" else "|".join(_words(k, x)) for g in parse_query(query) for n, k, x in g if not n))
+    if not words:
+        return F.left(t, F.lit(BEGINNING))
+    pattern = rf"(?s)^(.*?(?:^|[^\p{{L}}\p{{N}}]))({words})(?:[^\p{{L}}\p{{N}}].*)?$"
+    before, hit = F.length(F.regexp_extract(plain, pattern, 1)), F.length(F.regexp_extract(plain, pattern, 2))
+    start = F.greatest(before - AROUND, F.lit(0))
+    left = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(t, start + 1, before - start))
+    right = F.concat(F.substring(t, before + hit + 1, F.lit(AROUND)), F.when(F.length(t) > before + hit + AROUND, "...").otherwise(""))
+    return F.when(hit > 0, F.concat(left, F.lit(">>>"), F.substring(t, before + 1, hit), F.lit("<<<"), right)).otherwise(F.left(t, F.lit(BEGINNING)))
+
+
 def search_knowledge(codes: DataFrame, cards: DataFrame, text: str) -> DataFrame:
-    """kind, ref, place, title: codes (code hits first) and then case cards (latest first) that contain a text."""
+    """kind, ref, o (place), title, preview, section: codes (code hits first) and then case cards (latest first) that contain a text."""
     in_code = has_ci("code", text)
     c = codes.filter(in_code | has_ci("title", text) | has_ci("body", text))
-    c = c.select(F.lit("message_code").alias("kind"), F.concat(F.lit("message_codes/"), F.col("entry_id")).alias("ref"), F.struct(F.when(in_code, 0).otherwise(1).alias("a"), F.col("code").alias("b"), F.col("entry_id").alias("c")).alias("o"), F.concat("code", F.lit(" ("), F.coalesce("severity", F.lit("")), F.lit(")")).alias("title"))
+    c = c.select(F.lit("message_code").alias("kind"), F.concat(F.lit("message_codes/"), F.col("entry_id")).alias("ref"), F.struct(F.when(in_code, 0).otherwise(1).alias("a"), F.col("code").alias("b"), F.col("entry_id").alias("c")).alias("o"), F.concat("code", F.lit(" ("), F.coalesce("severity", F.lit("")), F.lit(")")).alias("title"), _preview(("Code", "code"), ("Severity", "severity"), ("Title", "title"), ("", "body"), ("Source", "source_path")))
     k = cards.filter(has_ci("source_path", text) | has_ci("title", text) | has_ci("root_cause", text) | has_ci("fix_summary", text))
     late = F.date_diff(F.lit("9999-01-01").cast("date"), F.col("created_at").cast("date"))
-    k = k.select(F.lit("case_card").alias("kind"), F.concat(F.lit("case_cards/"), F.col("id")).alias("ref"), F.struct(late.alias("a"), F.date_format("created_at", "HHmmssSSSSSS").alias("b"), F.col("id").alias("c")).alias("o"), F.coalesce("title", F.concat(F.lit("Case card "), F.col("id"))).alias("title"))
-    k = k.withColumn("o", F.struct(F.col("o.a").alias("a"), F.translate("o.b", "0123456789", "9876543210").alias("b"), F.col("o.c").alias("c")))
+    k = k.select(F.lit("case_card").alias("kind"), F.concat(F.lit("case_cards/"), F.col("id")).alias("ref"), F.struct(late.alias("a"), F.date_format("created_at", "HHmmssSSSSSS").alias("b"), F.col("id").alias("c")).alias("o"), F.coalesce("title", F.concat(F.lit("Case card "), F.col("id"))).alias("title"), _preview(("Source", "source_path"), ("Title", "title"), ("Root cause", "root_cause"), ("Fix", "fix_summary")))
+    k = k.withColumn("o", F.struct(F.col("o.a").alias("a"), F.translate("o.b", "0123456789", "9876543210").alias("b"), F.col("o.c").alias("c"))).select(*c.columns)
     out = c.withColumn("section", F.lit(0)).unionByName(k.withColumn("section", F.lit(1)))
     return out
 
 
+def _preview(*fields: tuple[str, str]) -> Column:
+    """What is known of an entry, a labelled line per field that is not null."""
+    return F.array_join(F.array_compact(F.array(*[F.concat(F.lit(f"{label}: " if label else ""), F.col(c)) for label, c in fields])), "\n").alias("preview")
+
+
 def blend(files: DataFrame, codes: DataFrame, cards: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """place, section, ref: knowledge first, at most half; then files; ``limit`` in all (a top-k report)."""
     n_know = max(5, limit // 2)
@@ -194,7 +265,7 @@ def web_search(files: DataFrame, codes: DataFrame, cards: DataFrame, text: str,
     if mode == "path":
         hits = search_path(f, text).select("id", "path", F.lit(0).alias("tier"), F.lit(0).alias("o"))
     else:
-        index = build_index(f, "id", "text_content") if index is None else index
+        index = build_index(f, "id", "text_content", "path") if index is None else index
         by_index = find(index, text).withColumnRenamed("doc_id", "id").join(f.select("id", "path"), "id").select("id", "path", F.lit(0).alias("tier"), F.lit(0).alias("o"))
         by_text = search_like(f, text).select("id", "path", F.lit(1).alias("tier"), F.when(F.col("in_path"), 0).otherwise(1).alias("o"))
         both = by_index.unionByName(by_text)

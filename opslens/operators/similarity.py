@@ -72,6 +72,26 @@ def similar_cases(queries: DataFrame, cards: DataFrame, top: int = 3, threshold:
     return texts.select("query_id", "place", "case_id", "score", F.when(told, F.col("root_cause")).otherwise(F.col("sib.root_cause")).alias("root_cause"), F.when(told, F.col("fix_summary")).otherwise(F.col("sib.fix_summary")).alias("fix_summary"))
 
 
+#: Fixed value: commands that a report shows of a case.
+COMMANDS = 3
+
+
+def case_report(similar: DataFrame, cards: DataFrame) -> DataFrame:
+    """query_id, place, case_id, score, title, root_cause, fix_summary, verify_commands: similar cases that say something, the best of each source.
+
+    ``similar`` is of ``similar_cases``; a case whose texts came from a sibling shows that one's commands.
+    """
+    told = F.col("root_cause").isNotNull() | F.col("fix_summary").isNotNull()
+    c = cards.select(F.col("id").alias("case_id"), "source_path", "title", "verify_commands", told.alias("own"))
+    sibling = cards.filter(told & F.col("source_path").isNotNull()).groupBy("source_path").agg(F.min(F.struct("chunk_id", "id", "verify_commands")).alias("sib"))
+    d = similar.filter(told).join(c, "case_id").join(sibling, "source_path", "left")
+    commands = F.slice(F.coalesce(F.when(F.col("own"), F.col("verify_commands")).otherwise(F.col("sib.verify_commands")), F.array().cast("array<string>")), 1, COMMANDS)
+    source = F.coalesce("source_path", F.concat(F.lit("\x00"), F.col("case_id").cast("string")))
+    first = F.row_number().over(Window.partitionBy("query_id", source).orderBy("place"))
+    d = d.withColumn("n", first).filter("n = 1")
+    return d.select("query_id", "place", "case_id", "score", "title", "root_cause", "fix_summary", commands.alias("verify_commands"))
+
+
 def jaccard(queries: DataFrame, cards: DataFrame, threshold: float = 0.0) -> DataFrame:
     """query_id, case_set (smallest case id of the cards with the same signals), n_cases, jaccard: sets that share a signal and reach the threshold."""
     qs, cs = _sets(queries, "query_id"), _sets(cards.withColumnRenamed("id", "case_id"), "case_id")

@@ -6,11 +6,9 @@ that counts, so repeated keys in a batch need no window over a hot key.
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.operators.log_signals import log_tokens
@@ -28,10 +26,22 @@ def upsert_incidents(updates: DataFrame) -> DataFrame:
 
     The first update creates the incident, the last gives its values; exact repeats count once.
     """
+    return as_incidents(incident_state(updates.select("log_path", "top_node_key", "confidence", "at", "loaded_at").distinct()))
+
+
+def incident_state(updates: DataFrame) -> DataFrame:
+    """log_path, created_at, l (the last update), n_updates of updates without repeats."""
     key = F.struct("at", "loaded_at", "top_node_key", "confidence")
-    d = updates.select("log_path", "top_node_key", "confidence", "at", "loaded_at").distinct()
-    agg = d.groupBy("log_path").agg(F.min("at").alias("created_at"), F.max(key).alias("l"), F.count("*").alias("n_updates"))
-    return agg.select("log_path", F.col("l.top_node_key").alias("top_node_key"), F.col("l.confidence").alias("confidence"), "created_at", F.when(F.col("n_updates") > 1, F.col("l.at")).alias("updated_at"), "n_updates")
+    return updates.groupBy("log_path").agg(F.min("at").alias("created_at"), F.max(key).alias("l"), F.count("*").alias("n_updates"))
+
+
+def merged_state(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two states of incidents as one."""
+    return old.unionByName(new).groupBy("log_path").agg(F.min("created_at").alias("created_at"), F.max("l").alias("l"), F.sum("n_updates").alias("n_updates"))
+
+
+def as_incidents(state: DataFrame) -> DataFrame:
+    return state.select("log_path", F.col("l.top_node_key").alias("top_node_key"), F.col("l.confidence").alias("confidence"), "created_at", F.when(F.col("n_updates") > 1, F.col("l.at")).alias("updated_at"), "n_updates")
 
 
 def merge_cards(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,16 +88,33 @@ def decode_log_codes(lines: DataFrame, codes: DataFrame, top: int = 10, tokens:
     return d.withColumn("place", place).filter(F.col("place") <= top)
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, as the cluster is set up, and the path in it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Writes a table beside its place and swaps it in whole; on failure the old one stays (local paths)."""
+    """Writes a table beside its place and swaps it in whole; on failure the old one stays. Any file system that Spark reaches."""
+    spark = df.sparkSession
     stage = f"{path}.{uuid.uuid4().hex}"
     try:
         w = df.write
         (w.partitionBy(*partition_by) if partition_by else w).parquet(stage)
-        old = f"{stage}.old"
-        if os.path.exists(path):
-            os.rename(path, old)
-        os.rename(stage, path)
-        shutil.rmtree(old, ignore_errors=True)
+        fs, to = _path(spark, path)
+        fresh, old = _path(spark, stage)[1], _path(spark, f"{stage}.old")[1]
+        had = fs.exists(to)
+        if had and not fs.rename(to, old):
+            raise OSError(f"cannot move {path}")
+        if not fs.rename(fresh, to):
+            if had:
+                fs.rename(old, to)
+            raise OSError(f"cannot put a table to {path}")
+        fs.delete(old, True)
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
+        remove_folder(spark, stage)

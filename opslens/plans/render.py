@@ -9,8 +9,9 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that one text gathers at most.
+#: Rows that one text gathers at most; a text that leaves some out says so.
 MAX_ROWS = 2_000
+LEFT_OUT = "... the rest is left out"
 _WORDS = {
     "en": {"bundle": "FILES TO OPEN", "others": "OTHER CANDIDATES", "none": "no matching proc", "score": "score"},
     "ru": {"bundle": "ФАЙЛЫ", "others": "ДРУГИЕ КАНДИДАТЫ", "none": "подходящих процедур нет", "score": "оценка"},
@@ -22,7 +23,7 @@ def plan_rows(scores: DataFrame, bundles: DataFrame, intent_id: str) -> tuple[li
     best = scores.filter(F.col("intent_id") == intent_id).orderBy("place").limit(MAX_ROWS).collect()
     if not best:
         return [], []
-    files = bundles.filter((F.col("intent_id") == intent_id) & (F.col("proc_name") == best[0]["proc_name"])).orderBy("step", "path").limit(MAX_ROWS).collect()
+    files = bundles.filter((F.col("intent_id") == intent_id) & (F.col("proc_name") == best[0]["proc_name"])).orderBy("step", "path").limit(MAX_ROWS + 1).collect()
     return best, files
 
 
@@ -32,7 +33,8 @@ def plan_text(scores: DataFrame, bundles: DataFrame, intent_id: str, lang: str =
     if not best:
         return w["none"]
     lines = [f"{best[0]['proc_name']} ({w['score']} {best[0]['score']})", "", w["bundle"]]
-    lines += [f"  [{f['kind']}] {f['path']}  ({f['source']})" for f in files]
+    lines += [f"  [{f['kind']}] {f['path']}  ({f['source']})" for f in files[:MAX_ROWS]]
+    lines += [f"  {LEFT_OUT}"] if len(files) > MAX_ROWS else []
     if len(best) > 1:
         lines += ["", w["others"], *[f"  {b['place']}. {b['proc_name']} ({b['score']})" for b in best[1:]]]
     return "\n".join(lines)
@@ -40,8 +42,8 @@ def plan_text(scores: DataFrame, bundles: DataFrame, intent_id: str, lang: str =
 
 def plan_json(scores: DataFrame, bundles: DataFrame, intent_id: str) -> str:
     best, files = plan_rows(scores, bundles, intent_id)
-    shown = [{"path": f["path"], "kind": f["kind"], "source": f["source"]} for f in files]
-    return json.dumps({"intent": intent_id, "candidates": [{"proc": b["proc_name"], "score": b["score"]} for b in best], "files": shown}, ensure_ascii=False)
+    shown = [{"path": f["path"], "kind": f["kind"], "source": f["source"]} for f in files[:MAX_ROWS]]
+    return json.dumps({"intent": intent_id, "candidates": [{"proc": b["proc_name"], "score": b["score"]} for b in best], "files": shown, "whole": len(files) <= MAX_ROWS}, ensure_ascii=False)
 
 
 def match_text(scores: DataFrame, nodes: DataFrame, log_path: str, top: int = 10) -> str:
@@ -64,10 +66,11 @@ def diagram(edges: DataFrame, proc_name: str, scripts_only: bool = False) -> str
     """The diagram of a proc as text of the Mermaid language (edges of ``graph.diagram_edges``)."""
     d = edges.filter(F.col("proc_name") == proc_name)
     if scripts_only:
-        d = d.filter("label in ('RUNS', 'calls')")
-    rows = d.orderBy("src", "dst", "label").limit(MAX_ROWS).collect()
+        d = d.filter("label in ('RUNS', 'calls', 'helper')")
+    rows = d.orderBy("src", "dst", "label").limit(MAX_ROWS + 1).collect()
+    more, rows = len(rows) > MAX_ROWS, rows[:MAX_ROWS]
     names = sorted({r["src"] for r in rows} | {r["dst"] for r in rows})
-    return "\n".join(["graph TD", *[f'    {_node(n)}["{n}"]' for n in names], *[f"    {_node(r['src'])} -->|{r['label']}| {_node(r['dst'])}" for r in rows]])
+    return "\n".join(["graph TD", *[f'    {_node(n)}["{n}"]' for n in names], *[f"    {_node(r['src'])} -->|{r['label']}| {_node(r['dst'])}" for r in rows], *([f"    %% {LEFT_OUT}"] if more else [])])
 
 
 def diagram_link(code: str) -> str:
@@ -95,9 +98,10 @@ def diff_prompt(header: DataFrame, diffs: DataFrame, states: DataFrame) -> str:
     """
     h = header.limit(1).collect()
     out = [f"Description: {h[0]['description']}", f"Parallel ID: {h[0]['parallel_id']}", "Files:", *[f"  - {f}" for f in h[0]["files"]], ""] if h else []
-    taken = diffs.join(states.select("change_id", "ord", "state", "size"), ["change_id", "ord"]).orderBy("change_id", "ord").select("file", "state", F.expr("left(diff, size)").alias("diff")).limit(MAX_ROWS).collect()
+    taken = diffs.join(states.select("change_id", "ord", "state", "size"), ["change_id", "ord"]).orderBy("change_id", "ord").select("file", "state", F.expr("left(diff, size)").alias("diff")).limit(MAX_ROWS + 1).collect()
+    more, taken = len(taken) > MAX_ROWS, taken[:MAX_ROWS]
     for r in taken:
         if r["state"] in ("taken", "truncated"):
             out += [f"--- {r['file']}{' (cut)' if r['state'] == 'truncated' else ''}", r["diff"], ""]
     left = [f"  - {r['file']}: {r['state']}" for r in taken if r["state"] not in ("taken", "truncated")]
-    return "\n".join([*out, *(["Left out:", *left] if left else [])])
+    return "\n".join([*out, *(["Left out:", *left] if left else []), *([LEFT_OUT] if more else [])])

@@ -494,6 +494,14 @@ def similar_cards(spark, d):
     return similarity.similar_cases(c.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "signals", F.col("related_files").alias("files")), c)
 
 
+@query("case_report", f"""with sm as ({SQL["similar_cards"]}), sib as (select * from (select source_path, verify_commands vc, row_number() over (partition by source_path order by chunk_id nulls first, id) rn from case_cards where source_path is not null and (root_cause is not null or fix_summary is not null)) where rn = 1),
+d as (select sm.*, c.title, case when c.root_cause is not null or c.fix_summary is not null then c.verify_commands else sib.vc end vc, row_number() over (partition by query_id, coalesce(c.source_path, chr(1) || case_id) order by place) n from sm join case_cards c on c.id = case_id left join sib on sib.source_path = c.source_path where sm.root_cause is not null or sm.fix_summary is not null)
+select query_id, place, case_id, score, title, root_cause, fix_summary, coalesce(array_to_string(vc[:3], '|'), '') verify_commands from d where n = 1""")
+def case_report(spark, d):
+    c = _t(spark, d, "case_cards")
+    return similarity.case_report(similar_cards(spark, d), c).withColumn("verify_commands", F.array_join("verify_commands", "|"))
+
+
 @query("jaccard", f"with {TOKENS}, {PAIRS} select query_id, min(case_id) case_set, count(*) n_cases, jaccard from (select query_id, case_id, list_sort(s) ss, round(shared / (n_query + n_case - shared)::double, 6) jaccard from pr2 join cs using (case_id)) group by query_id, ss, jaccard")
 def jaccard(spark, d):
     return similarity.jaccard(explain.log_queries(log_signals.log_tokens(_t(spark, d, "log_lines"))), _t(spark, d, "case_cards"))
@@ -720,6 +728,44 @@ def search_web(spark, d):
     return search.web_search(files, _t(spark, d, "message_codes"), _t(spark, d, "case_cards"), '"quota ran"', kind="scripts", space="files")
 
 
+def _around_sql(word: str) -> str:
+    """The snippet of the first hit of one word in text t, whose plain form is pl."""
+    p = q(rf"(?s)^(.*?(?:^|[^\p{{L}}\p{{N}}]))({word})(?:[^\p{{L}}\p{{N}}].*)?$")
+    return f"""select doc_id, case when b > {search.AROUND} then '...' else '' end || substr(t, greatest(b - {search.AROUND}, 0) + 1, least(b, {search.AROUND})) || '>>>' || substr(t, b + 1, length('{word}')) || '<<<' || substr(t, b + length('{word}') + 1, {search.AROUND})
+  || case when length(t) > b + length('{word}') + {search.AROUND} then '...' else '' end as snippet from (select doc_id, text t, length(regexp_extract(pl, {p}, 1)) b from (select doc_id, text, translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') pl from documents) where regexp_matches(pl, {p}))"""
+
+
+@query("search_snippet", _around_sql("overlay"))
+def search_snippet(spark, d):
+    """The texts that hold a word, with what stands around its first place."""
+    docs = _t(spark, d, "documents")
+    found = search.find(search.build_index(docs, "doc_id", "text"), "overlay")
+    return docs.join(found, "doc_id", "left_semi").select("doc_id", search.snippet("text", "overlay").alias("snippet"))
+
+
+@query("search_near", f"with {WORDS}, p as (select doc_id, generate_subscripts(w, 1) pos, unnest(w) w from wd), o as (select * from p where w = 'overlay'), f as (select a.doc_id, a.pos from p a join p b on b.doc_id = a.doc_id and b.pos = a.pos + 1 where a.w = 'carrier' and b.w = 'code') select distinct o.doc_id from o join f using (doc_id) where greatest(o.pos, f.pos) - least(o.pos + 1, f.pos + 2) <= 20 union select doc_id from wd where w[1] = 'after'")
+def search_near(spark, d):
+    """Words near each other, or a text's first word."""
+    return search.find(search.build_index(_t(spark, d, "documents"), "doc_id", "text"), 'NEAR(overlay "carrier code", 20) OR ^after')
+
+
+@query("search_scope", f"""with {LATEST}, h as (select 'all' scope, id, path from files where kind = 'control' and contains(lower(path), 'mt') union all select 'short', id, path from files where kind = 'control' and contains(lower(path), 'mt') and length(path) < 24)
+select scope, cast(place as int) place, path || '#' || id as ref from (select *, row_number() over (partition by scope order by path, id) place from h) where place <= 20""")
+def search_scope(spark, d):
+    """A path search in a scope, and in an empty one, which filters nothing."""
+    files = checkpointed(_latest_files(spark, d))
+    codes, cards = _t(spark, d, "message_codes"), _t(spark, d, "case_cards")
+    short = files.filter("length(path) < 24").select("path")
+    out = [search.web_search(files, codes, cards, "mt", mode="path", kind="controls", scope=scope, space="files").select(F.lit(name).alias("scope"), "place", "ref") for name, scope in (("all", short.limit(0)), ("short", short))]
+    return out[0].unionByName(out[1])
+
+
+@query("search_previews", """select 'message_codes/' || entry_id as ref, concat_ws(chr(10), 'Code: ' || code, 'Severity: ' || severity, 'Title: ' || title, body, 'Source: ' || source_path) preview from message_codes where contains(lower(code), 'overlay') or contains(lower(title), 'overlay') or contains(lower(body), 'overlay')
+union all select 'case_cards/' || id, concat_ws(chr(10), 'Source: ' || source_path, 'Title: ' || title, 'Root cause: ' || root_cause, 'Fix: ' || fix_summary) from case_cards where contains(lower(source_path), 'overlay') or contains(lower(title), 'overlay') or contains(lower(root_cause), 'overlay') or contains(lower(fix_summary), 'overlay')""")
+def search_previews(spark, d):
+    return search.search_knowledge(_t(spark, d, "message_codes"), _t(spark, d, "case_cards"), "overlay").select("ref", "preview")
+
+
 @query("absolute_paths", f"select id, array_to_string({_ordered(f"list_filter(list_transform(regexp_extract_all(text_content, {q(procs.ANY_PATH)}, 1), lambda p: rtrim(p, '.,;:)]}}')), lambda p: length(p) > 5)")}, '|') paths from artifacts where text_content is not null")
 def absolute_paths(spark, d):
     a = _t(spark, d, "artifacts").filter("text_content is not null")

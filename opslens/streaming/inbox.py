@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opslens.operators.log_signals import line_signals
-from opslens.operators.store import replace_table, upsert_incidents
+from opslens.operators.store import as_incidents, incident_state, merged_state, remove_folder, replace_table
 
 
 def arriving(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -24,13 +24,22 @@ def severity_counts(lines: DataFrame, late: str = "2 hours", width: str = "1 hou
 
 
 def keep_incidents(updates: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Streams incident updates into a table of all of them and one of the incidents they make."""
+    """Streams incident updates into a table of the incidents that they make.
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # one folder per batch: a batch that runs again replaces its own rows
-        batch.write.mode("overwrite").parquet(f"{table}/updates/batch={batch_id}")
-        replace_table(upsert_incidents(spark.read.parquet(f"{table}/updates")), f"{table}/incidents")
+    Repeats are dropped by the stream's state. A batch is merged into the state that the batch
+    before it left, a row per log, so no batch reads the updates of earlier ones; a batch that
+    runs again starts from the same state.
+    """
+    fresh = updates.select("log_path", "top_node_key", "confidence", "at", "loaded_at").dropDuplicates()
 
-    w = updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark, state = batch.sparkSession, incident_state(batch)
+        if batch_id > 0:
+            state = merged_state(spark.read.parquet(f"{table}/state/{batch_id - 1}"), state)
+        state.write.mode("overwrite").parquet(f"{table}/state/{batch_id}")
+        replace_table(as_incidents(spark.read.parquet(f"{table}/state/{batch_id}")), f"{table}/incidents")
+        if batch_id > 1:
+            remove_folder(spark, f"{table}/state/{batch_id - 2}")
+
+    w = fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
