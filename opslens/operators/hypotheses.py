@@ -77,9 +77,9 @@ def _from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, logs.select("log_path", "strong")
 
 
-def _from_rules(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def _from_rules(lines: DataFrame, rules: tuple[Rule, ...], signals: DataFrame | None) -> DataFrame:
     """One hypothesis per rule of the pack, from its best signal; placeholders filled from captures and the first service."""
-    signals = external_signals(lines, rules)
+    signals = external_signals(lines, rules) if signals is None else signals
     first = signals.groupBy("log_path", "rule_id", "severity", "category").agg(F.min(F.struct("place", "captures", "first_line", "evidence")).alias("f"))
     service = services_seen(lines).groupBy("log_path").agg(F.min("service").alias("service"))
     d = first.join(service, "log_path", "left")
@@ -104,14 +104,15 @@ def _from_rules(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return d.select("log_path", F.col("rule_id").alias("rule"), F.col("f.place").alias("ord"), text.alias("hypothesis"), confidence.alias("confidence"), F.col("f.first_line").alias("line_no"), evidence.alias("evidence"))
 
 
-def hypotheses(lines: DataFrame, top: int = 3, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def hypotheses(lines: DataFrame, top: int = 3, rules: tuple[Rule, ...] = RULES, signals: DataFrame | None = None) -> DataFrame:
     """log_path, place, rule, hypothesis, confidence, line_no, evidence, confirm (steps joined by '|'): the best ``top`` of each log.
 
+    ``signals`` are the external signals of the lines if they are at hand.
     A log whose only hypothesis is the wrapper's message and that shows no strong failure
     keeps it at low confidence; a log without any gets the default.
     """
     by_line, strong = _from_lines(lines)
-    ours = checkpointed(_from_rules(lines, rules).unionByName(by_line))
+    ours = checkpointed(_from_rules(lines, rules, signals).unionByName(by_line))
     logs = lines.select("log_path").distinct().join(strong, "log_path", "left")
     n_rows = ours.groupBy("log_path").agg(F.count("*").alias("n_rows"))
     d = logs.join(ours, "log_path", "left").join(n_rows, "log_path", "left")

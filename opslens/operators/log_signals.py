@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions.textexpr import found, found_all, matches, strip
+from opslens.functions.textexpr import found, found_all, literals_of, matches, strip
 from opslens.rules import RULES
 
 # The patterns that lines are searched with.
@@ -54,12 +54,22 @@ def line_signals(lines: DataFrame) -> DataFrame:
     """A row per line that carries a signal: ts, code, severity, source, docdef and script references."""
     d = lines.select("log_path", "line_no", strip("line").alias("message")).filter("message != ''")
     d = d.filter(~F.contains("message", F.lit("is still alive")) & ~F.contains("message", F.lit("is no longer alive")))
-    ora, code = found("message", ORA_CODE), found("message", MESSAGE_CODE)
-    severity = F.when(F.col("message").rlike(ERROR_WORD) | ora.isNotNull(), "E").when(code.isNotNull(), F.right(code, F.lit(1))).otherwise("I")
+    # plain texts that each pattern needs are looked for first
+    d = d.withColumn("low", F.lower("message"))
+
+    def has(*texts: str, col: str = "message") -> Column:
+        out = F.contains(col, F.lit(texts[0]))
+        for t in texts[1:]:
+            out = out | F.contains(col, F.lit(t))
+        return out
+
+    ora, code = F.when(has("ORA-"), found("message", ORA_CODE)), F.when(has("PP", "AFPR"), found("message", MESSAGE_CODE))
+    error = has("error", "fail", "exception", "mismatch", "missing", "abort", col="low") & F.col("message").rlike(ERROR_WORD)
+    severity = F.when(error | ora.isNotNull(), "E").when(code.isNotNull(), F.right(code, F.lit(1))).otherwise("I")
     return d.select(
         "log_path", "line_no", "message", found("message", TIMESTAMP).alias("ts"), F.coalesce(ora, code).alias("code"), severity.alias("severity"),
-        found("message", SOURCE_REF).alias("source_file"), found("message", SOURCE_REF, 2).try_cast("int").alias("source_line"), found("message", DOCDEF_REF).alias("docdef_ref"),
-        found("message", SCRIPT_LINE).alias("script_ref"), found("message", SCRIPT_LINE, 2).try_cast("int").alias("script_line"),
+        F.when(has(".cpp,"), found("message", SOURCE_REF)).alias("source_file"), F.when(has(".cpp,"), found("message", SOURCE_REF, 2)).try_cast("int").alias("source_line"), F.when(has("DOCDEF '"), found("message", DOCDEF_REF)).alias("docdef_ref"),
+        F.when(has("line", col="low"), found("message", SCRIPT_LINE)).alias("script_ref"), F.when(has("line", col="low"), found("message", SCRIPT_LINE, 2)).try_cast("int").alias("script_line"),
     )
 
 
@@ -76,6 +86,9 @@ def log_tokens(lines: DataFrame) -> DataFrame:
         first = kind == "docdef_ref" and case is None or kind == "script_ref"
         # the first DOCDEF and script reference of a line count, of the other kinds all
         hits = F.array_compact(F.array(found(m, pattern))) if first else found_all(m, pattern)
+        need = literals_of(pattern)
+        if need:  # one alternative each
+            hits = F.when(F.contains("low", F.lit(need[0])), hits).otherwise(F.array().cast("array<string>"))
         if case:
             hits = F.transform(hits, F.upper if case == "upper" else F.lower)
         groups.append(_tagged(hits, kind))

@@ -871,15 +871,27 @@ def diff_cap(spark, d):
     return diffs.capped_diffs(_as_diffs(spark, d))
 
 
+_SIX = f"""with sm as ({SQL["similar_cases"]}), sib as (select * from (select source_path, verify_commands vc, row_number() over (partition by source_path order by chunk_id nulls first, id) rn from case_cards where source_path is not null and (root_cause is not null or fix_summary is not null)) where rn = 1),
+d as (select sm.*, coalesce(case when c.root_cause is not null or c.fix_summary is not null then c.verify_commands else sib.vc end, [])[:3] vc, row_number() over (partition by query_id, coalesce(c.source_path, chr(1) || case_id) order by place) n from sm join case_cards c on c.id = case_id left join sib on sib.source_path = c.source_path where sm.root_cause is not null or sm.fix_summary is not null)
+select query_id, 6, place, 'case ' || case_id || ' score ' || printf('%.3f', score) || case when len(vc) > 0 then ' | ' || array_to_string(vc, '; ') else '' end from d where n = 1"""
+_SEVEN = f"""with {TOKENS}, k as (select log_path, token, case kind when 'docdef_token' then 0 when 'script_path' then 1 when 'io_path' then 2 end k from tokens), r as (select *, row_number() over (partition by log_path, k order by token) n from k where k is not null),
+pl as (select *, case when k = 0 then 'docdef/' || lower(token) || '.dfa' when k = 1 and starts_with(token, '/home/master/') then 'master/' || substr(token, 14) when k = 1 and starts_with(token, '/home/test/master/') then 'master/' || substr(token, 19) end place from r where n <= 5)
+select log_path, 7, cast(k * 5 + n as int), token || case when k = 2 then '' when place in (select path from artifacts) then ' -> ' || place else ' (not in the snapshot)' end from pl"""
+_EIGHT = f"""with {EXT}, {SERVICES} select log_path, 8, place, '[' || severity || '] ' || rule_id || ' (' || category || ')' || case when captures <> '' then ' ' || captures else '' end || ' | L' || first_line || ': ' || evidence from ext where place <= 5
+union all select log_path, 8, 6, 'services: ' || string_agg(service, ', ' order by service) from services where log_path in (select log_path from ext) group by log_path
+union all select log_path, 8, 7, 'missing ids: ' || string_agg(distinct split_part(captures, '=', -1), ', ' order by split_part(captures, '=', -1)) from hits where rule_no = 0 and captures <> '' group by log_path""".replace("min((line_no, ev))[2]", "arg_min(ev, (line_no, ev))")
+
+
 @query("explain_pack", rf"""with m as ({SQL["node_match"]}), ev as (with {SIGNALS} select log_path, 2 section, cast(ord as int) ord, 'L' || line_no || ' ' || severity || ' ' || c as text from (select *, row_number() over (partition by log_path order by case severity when 'F' then 0 else 1 end, line_no, c) ord
   from (select distinct log_path, line_no, severity, case when length(m) > {explain.MAX_CHARS} then left(m, {explain.MAX_CHARS}) || '...' else m end c from sig where severity in ('F', 'E'))) where ord <= {explain.MAX_EVIDENCE}), nr as (with {NEAR} select * from near)
 select log_path, 1 section, 1 ord, key || ' (' || printf('%.2f', confidence) || ')' as text from m union all select * from ev
-union all select log_path, 3, place, concat_ws(' ', code, title) from ({SQL["code_lookup"]}) union all select log_path, 4, place, hypothesis || ' | ' || evidence from ({SQL["hypotheses_topk"]})
+union all select log_path, 3, place, concat_ws(' ', code, title) from ({SQL["code_lookup"]}) union all select log_path, 4, place, hypothesis || ' | ' || evidence || case when confirm <> '' then ' | ' || replace(confirm, '|', '; ') else '' end from ({SQL["hypotheses_topk"]})
 union all select log_path, 5, case direction when 'upstream' then 1 else 2 end, direction || ': ' || count(*) from nr join m using (node_id) group by log_path, direction
-union all select query_id, 6, place, 'case ' || case_id || ' score ' || printf('%.3f', score) from ({SQL["similar_cases"]})""")
+union all select * from ({_SIX}) union all select * from ({_SEVEN}) union all select * from ({_EIGHT})
+union all select distinct log_path, 9, 0, log_path from log_lines union all select m.log_path, 9, rl.place, rl.path from m join ({SQL["related_files"]}) rl using (node_id) where rl.place <= 8""")
 def explain_pack(spark, d):
     lines = _t(spark, d, "log_lines")
-    return explain.explain_rows(lines, _t(spark, d, "nodes"), _t(spark, d, "edges"), _t(spark, d, "message_codes"), _t(spark, d, "case_cards"))
+    return explain.explain_rows(lines, _t(spark, d, "nodes"), _t(spark, d, "edges"), _t(spark, d, "message_codes"), _t(spark, d, "case_cards"), table(spark, d, "artifacts").select("path"))
 
 
 QUERIES, ORACLE = Q, SQL
