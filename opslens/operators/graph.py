@@ -38,6 +38,12 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e).unionByName(total[0]).unionByName(total[1])
 
 
+def lookup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The nodes of the wanted ids (column id) or keys (column key)."""
+    by = "id" if "id" in wanted.columns else "key"
+    return nodes.join(wanted.select(by).distinct(), by, "left_semi")
+
+
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """src, dst, rel (capitals, trimmed), edge_id (the first of its kind): resolved edges without repeats."""
     d = edges.filter("src is not null and dst is not null and rel_type is not null")

@@ -43,6 +43,19 @@ def _names(tokens: DataFrame, kind: str) -> DataFrame:
     return tokens.filter(F.col("kind") == kind).select("log_path", "token")
 
 
+def script_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """token, node_id: the names under which a log may mean a script, each with the procs that run it.
+
+    A script is meant by its name and by any text that its original path ends with; such a text
+    has no slash, so it ends the path's last part.
+    """
+    runs = scripts_run_by(nodes, edges).select("script", F.col("proc_id").alias("node_id")).distinct()
+    paths = nodes.filter("type = 'script' and original_path is not null").select(F.col("display_name").alias("script"), base_name("original_path").alias("name")).filter("name != ''")
+    ends = paths.select("script", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.length("name")))).alias("token"))
+    names = ends.unionByName(runs.select("script", F.col("script").alias("token"))).distinct()
+    return runs.join(names, "script").select("token", "node_id").distinct()
+
+
 def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: DataFrame | None = None, alone: int | None = None) -> DataFrame:
     """log_path, node_id, strategy, token, points (tenths): everything that speaks for a node.
 
@@ -77,7 +90,7 @@ def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: D
         points = F.when(F.col("strategy") == name, n).otherwise(points)
     named = d.withColumn("strategy", strategy).filter("strategy is not null").select("log_path", "node_id", "strategy", "token", points.alias("points"))
     scripts = _names(tokens, "script_path").select("log_path", base_name("token").alias("token")).distinct()
-    by_script = scripts.join(scripts_run_by(nodes, edges).select(F.col("script").alias("token"), F.col("proc_id").alias("node_id")).distinct(), "token")
+    by_script = scripts.join(script_names(nodes, edges), "token")
     by_jid = _by_part(_names(tokens, "jid"), procs)
     for part, name, n in ((by_script, "script", SCRIPT), (by_jid, "jid", JID)):
         named = named.unionByName(part.select("log_path", "node_id", F.lit(name).alias("strategy"), "token", F.lit(n).alias("points")))

@@ -327,6 +327,12 @@ def neighbors(spark, d):
     return graph.neighbours(_t(spark, d, "nodes"), _t(spark, d, "edges"))
 
 
+@query("node_lookup", "select id, key, type, display_name from nodes where id in (select dst from edges where upper(trim(rel_type)) = 'RUNS')")
+def node_lookup(spark, d):
+    wanted = graph.distinct_edges(_t(spark, d, "edges")).filter("rel = 'RUNS'").select(F.col("dst").alias("id"))
+    return graph.lookup(_t(spark, d, "nodes"), wanted).select("id", "key", "type", "display_name")
+
+
 RUNBY = f"{DE}, rb as (select s.display_name script, p.key proc_key, p.id proc_id from de join nodes p on p.id = src and p.type = 'proc' join nodes s on s.id = dst and s.type = 'script' where rel = 'RUNS')"
 
 
@@ -375,7 +381,7 @@ based as (select log_path, node_id, base_proc token from paths join pn on lower(
 sc2 as (select log_path, node_id, strategy, token, points from (
   select log_path, node_id, 'prefix_exact' strategy, token, 20 points from px join pn on lower(name) = token
   union all select log_path, node_id, 'prefix_partial', token, 15 from px join pn on starts_with(lower(name), token) where token not in (select lower(name) from pn)
-  union all select log_path, proc_id, 'script', token, 12 from (select distinct log_path, split_part(token, '/', -1) token from tokens where kind = 'script_path') join (select distinct script, proc_id from rb) on script = token
+  union all select distinct log_path, proc_id, 'script', token, 12 from (select distinct log_path, split_part(token, '/', -1) token from tokens where kind = 'script_path') join (select distinct script, proc_id, coalesce(original_path, '') op from rb join nodes s on s.type = 'script' and s.display_name = script) on script = token or ends_with(op, token)
   union all select log_path, node_id, 'path_exact', token, 10 from byname union all select log_path, node_id, 'path_base', token, 9 from based
   union all select log_path, node_id, 'path_partial', token, 7 from nm join pn on starts_with(lower(name), token) where log_path not in (select log_path from byname union select log_path from based)
   union all select log_path, node_id, 'jid', token, 5 from tokens join pn on contains(low, token) where kind = 'jid'

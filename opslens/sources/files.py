@@ -11,9 +11,10 @@ SCAN_DIRS = ("procs", "master", "control", "insert", "docdef")
 
 
 def scan(spark: SparkSession, root: str, dirs: tuple[str, ...] = SCAN_DIRS) -> DataFrame:
-    """path (relative), kind, mtime, size, text_content, sha256 of the files below the scanned folders.
+    """path (relative), kind, mtime, size, failed, text_content, sha256 of the files below the scanned folders.
 
     Text is kept of small text files that are valid UTF-8; the hash only where text is kept.
+    ``failed`` are those whose text should be kept and could not be read.
     Spark's file sources leave empty files out.
     """
     root = root.rstrip("/")
@@ -28,14 +29,22 @@ def scan(spark: SparkSession, root: str, dirs: tuple[str, ...] = SCAN_DIRS) -> D
     low = F.lower(suffix)
     keeps = (F.col("size") <= MAX_TEXT) & ~low.isin(*NO_TEXT_SUFFIXES) & (low.isin(*TEXT_SUFFIXES) | (low == ""))
     text = F.when(keeps, F.expr("try_validate_utf8(cast(content as string))"))
-    d = d.select("path", kind.alias("kind"), (F.col("us") / 1e6).alias("mtime"), "size", text.alias("text_content"), "content")
+    d = d.select("path", kind.alias("kind"), (F.col("us") / 1e6).alias("mtime"), "size", text.alias("text_content"), keeps.alias("keeps"), "content")
+    d = d.select("path", "kind", "mtime", "size", (F.col("keeps") & F.col("text_content").isNull()).alias("failed"), "text_content", "content")
     return d.withColumn("sha256", F.when(F.col("text_content").isNotNull(), F.sha2("content", 256))).drop("content")
 
 
-def texts(spark: SparkSession, folder: str, pattern: str = "*.txt", recursive: bool = False) -> DataFrame:
-    """doc_id (path) and text of the files of a folder."""
-    r = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    return r.load(folder).select(F.col("path").alias("doc_id"), F.expr("cast(content as string)").alias("text"))
+def texts(spark: SparkSession, folder: str, *patterns: str, recursive: bool = False) -> DataFrame:
+    """doc_id (path) and text of the files of a folder that have one of the patterns (*.txt and *.md by default).
+
+    A pattern that begins with ``**/`` is looked for in all folders below. Bytes that are no
+    UTF-8 become replacement characters.
+    """
+    patterns = patterns or ("*.txt", "*.md")
+    deep = recursive or any(p.startswith("**/") for p in patterns)
+    glob = "{" + ",".join(p.removeprefix("**/") for p in patterns) + "}"
+    r = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(deep).lower())
+    return r.load(folder).select(F.col("path").alias("doc_id"), F.expr("make_valid_utf8(cast(content as string))").alias("text"))
 
 
 def log_lines(spark: SparkSession, folder: str, pattern: str = "*.log") -> DataFrame:
