@@ -50,6 +50,8 @@ def script_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     has no slash, so it ends the path's last part.
     """
     runs = scripts_run_by(nodes, edges).select("script", F.col("proc_id").alias("node_id")).distinct()
+    if "original_path" not in nodes.columns:
+        return runs.select(F.col("script").alias("token"), "node_id")
     paths = nodes.filter("type = 'script' and original_path is not null").select(F.col("display_name").alias("script"), base_name("original_path").alias("name")).filter("name != ''")
     ends = paths.select("script", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.length("name")))).alias("token"))
     names = ends.unionByName(runs.select("script", F.col("script").alias("token"))).distinct()
