@@ -84,8 +84,8 @@ ADDRESS = re.compile(
 _WORD = r"\p{Lu}\p{Ll}+(?:['’-]\p{Lu}\p{Ll}+)*|\p{Lu}{3,}(?:-\p{Lu}{2,})*|\p{Lu}['’]\p{Lu}\p{Ll}+"
 TITLE = r"(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sra?|Srta)\.?"
 TERM = re.compile(rf"(?<![\w.@/$\[{{-])(?P<title>{TITLE}\s)?(?:(?P<init>\p{{Lu}}\.)\s|(?:{_WORD})\s(?=\p{{Lu}}))*(?:{_WORD})(?:,\s(?:{_WORD}))?(?![\w@/\]}}]|-\w|\.\w)")
-#: A number; one of ``PHONE_DIGITS`` digits may be a phone number without its dress.
-NUMBER = plain_re.compile(r"(?<![\w.+/-])\d{3,}(?![\w]|[.-]\d)")
+#: A long number; one of ``PHONE_DIGITS`` digits may be a phone number without its dress, the others show where numbers stand.
+NUMBER = plain_re.compile(r"(?<![\w.+/-])\d{5,}(?![\w]|[.-]\d)")
 PHONE_DIGITS = (10, 12)
 # What a kind cannot do without, cheap to look for.
 _KINDS = (
