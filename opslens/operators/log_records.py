@@ -97,28 +97,38 @@ def level_letter(level: Column) -> Column:
     return out
 
 
-def header_fields(line: Column, path_year: Column) -> dict[str, Column]:
-    """ts_sec, level, component and message of a header line; ts_sec is null on others."""
+#: The fields of a header in the order in which ``_parts`` puts them; the message comes last.
+_FIELDS = ("y", "mo", "d", "h", "mi", "s", "offset", "level", "component", "message")
+
+
+def _flagged(layout: Layout) -> str:
+    return ("(?i)" if layout.name in ("piped", "plain", "syslog") else "") + layout.pattern
+
+
+def _kind(line: Column) -> Column:
+    """Name of the first layout that matches a line, null on other lines."""
     kinds = F.lit(None).cast("string")
     for layout in reversed(LAYOUTS):
-        kinds = F.when(line.rlike("(?i)" + layout.pattern if layout.name in ("piped", "plain", "syslog") else layout.pattern), layout.name).otherwise(kinds)
+        kinds = F.when(line.rlike(_flagged(layout)), layout.name).otherwise(kinds)
+    return F.when(line.rlike(r'^\{ *"ts" *:'), "json").when(line.rlike(r"^[0-9\[A-Z]"), kinds)
+
+
+def _parts(kind: Column, line: Column) -> Column:
+    """All fields of a header from one match, '' where the layout or the line has none."""
+    out = F.lit(None).cast("array<string>")
+    for layout in reversed(LAYOUTS):
+        at = {"mo" if k == "mon" else k: i for k, i in layout.groups.items()}
+        order = "\x01".join(f"${at[f]}" if f in at else "" for f in _FIELDS)
+        out = F.when(kind == layout.name, F.split(F.regexp_replace(line, _flagged(layout) + r"[\s\S]*$", order), "\x01", len(_FIELDS))).otherwise(out)
+    return out
+
+
+def _header(kind: Column, parts: Column, line: Column, path_year: Column) -> Column:
+    """ts_sec, level, component and message of a header line; null on others."""
+    part = {f: parts[i] for i, f in enumerate(_FIELDS)}
+    day = _day(F.when(kind == "syslog", path_year).otherwise(part["y"]), F.coalesce(_month(part["mo"]), part["mo"]), part["d"])
+    secs = day.cast("long") * 86400 + part["h"].try_cast("int") * 3600 + part["mi"].try_cast("int") * 60 + part["s"].try_cast("int") - _offset_seconds(part["offset"])
     json_ts = F.get_json_object(line, "$.ts")
-    kind = F.when(line.rlike(r'^\{ *"ts" *:'), "json").when(line.rlike(r"^[0-9\[A-Z]"), kinds)
-
-    def get(layout: Layout, name: str) -> Column:
-        i = layout.groups.get(name)
-        flags = "(?i)" if layout.name in ("piped", "plain", "syslog") else ""
-        return F.regexp_extract(line, flags + layout.pattern, i) if i else F.lit(None).cast("string")
-
-    fields = []
-    for layout in LAYOUTS:
-        y = path_year if layout.name == "syslog" else get(layout, "y")
-        mo = _month(get(layout, "mon")) if "mon" in layout.groups else get(layout, "mo")
-        day = _day(y, mo, get(layout, "d"))
-        secs = day.cast("long") * 86400 + get(layout, "h").try_cast("int") * 3600 + get(layout, "mi").try_cast("int") * 60 + get(layout, "s").try_cast("int")
-        if "offset" in layout.groups:
-            secs = secs - _offset_seconds(get(layout, "offset"))
-        fields.append((layout.name, F.struct(secs.alias("ts_sec"), get(layout, "level").alias("level"), get(layout, "component").alias("component"), get(layout, "message").alias("message"))))
     num = json_ts.try_cast("double")
     iso = F.unix_micros(F.concat(F.regexp_replace(json_ts, "(?:Z|[+-]\\d\\d:?\\d\\d)$", ""), F.lit("Z")).try_cast("timestamp")) / 1e6
     parsed = F.struct(
@@ -127,23 +137,20 @@ def header_fields(line: Column, path_year: Column) -> dict[str, Column]:
         F.coalesce(F.get_json_object(line, "$.mod"), F.get_json_object(line, "$.comp")).alias("component"),
         F.coalesce(F.get_json_object(line, "$.msg"), F.get_json_object(line, "$.message")).alias("message"),
     )
-    out = F.when(kind == "json", parsed)
-    for name, value in fields:
-        out = out.when(kind == name, value)
-    return {"layout": kind, "header": out}
+    return F.when(kind == "json", parsed).when(kind.isNotNull(), F.struct(secs.alias("ts_sec"), part["level"].alias("level"), part["component"].alias("component"), part["message"].alias("message")))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Per line: log_path, line_no, block, received_at, line, ts_sec (null: continuation), level, component, message, code."""
     year = F.regexp_extract("log_path", r"(?:^|[^0-9])((?:19|20)\d\d)(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?![0-9])", 1)
     received = F.col("received_at") if "received_at" in lines.columns else F.lit(None).cast("timestamp_ntz")
-    year = F.when(year != "", year).otherwise(F.year(received).cast("string"))
-    h = header_fields(F.rtrim(F.col("line")), year)
-    return (
-        lines.filter(F.col("line_no").isNotNull())
-        .select("log_path", "line_no", F.floor(F.col("line_no") / BLOCK_LINES).cast("long").alias("block"), received.alias("received_at"), "line", h["header"].alias("h"), F.regexp_extract("line", CODE, 1).alias("code"))
-        .select("log_path", "line_no", "block", "received_at", "line", "h.ts_sec", "h.level", "h.component", "h.message", F.nullif("code", F.lit("")).alias("code"), F.coalesce(F.trim(F.translate("line", "\t\r ", "   ")) != "", F.lit(False)).alias("filled"))
-    )
+    year = F.when(F.col("kind") != "syslog", None).when(year != "", year).otherwise(F.year("received_at").cast("string"))
+    d = lines.filter(F.col("line_no").isNotNull()).select("log_path", "line_no", F.floor(F.col("line_no") / BLOCK_LINES).cast("long").alias("block"), received.alias("received_at"), "line", F.rtrim(F.col("line")).alias("bare"))
+    d = d.withColumn("kind", _kind(F.col("bare")))
+    d = d.withColumn("parts", _parts(F.col("kind"), F.col("bare")))
+    may_code = F.contains("line", F.lit("PP")) | F.contains("line", F.lit("AFPR")) | F.contains("line", F.lit("ORA-"))
+    d = d.withColumn("h", _header(F.col("kind"), F.col("parts"), F.col("bare"), year)).withColumn("code", F.when(may_code, F.nullif(F.regexp_extract("line", CODE, 1), F.lit(""))))
+    return d.select("log_path", "line_no", "block", "received_at", "line", "h.ts_sec", "h.level", "h.component", "h.message", "code", F.coalesce(F.trim(F.translate("line", "\t\r ", "   ")) != "", F.lit(False)).alias("filled"))
 
 
 def log_records(lines: DataFrame, with_message: bool = False) -> DataFrame:
