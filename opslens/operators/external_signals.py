@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.textexpr import cut, found_all, matches, strip
 from opslens.rules import CATEGORY_BONUS, OTHER_BONUS, RULES, Rule
+from opslens.runtime import checkpointed
 
 # How services are named.
 SERVICE_PATTERNS = (r"(?i)services?=([\w|]+)", r"(?i)/services?/(\w+)", r"(?i)[\"']service(?:_type)?[\"']\s*:\s*[\"'](\w+)[\"']", r"(?i)service\s*[=:]\s*[\"']?(\w+)[\"']?")
@@ -49,7 +50,7 @@ def external_signals(lines: DataFrame, rules: tuple[Rule, ...] = RULES, max_evid
     signals = signals.select(*key, "rule_no", "severity", "rank", "category", "score", F.least(F.col("n"), F.lit(max_evidence)).cast("int").alias("n_evidence"), F.col("f.line_no").alias("first_line"), F.col("f.evidence").alias("evidence"))
     # A log may hold any number of captures: places are counted by cells of rank, score and block of lines.
     cell = ["log_path", "rank", "score", "block"]
-    signals = signals.withColumn("block", F.floor(F.col("first_line") / BLOCK_LINES))
+    signals = checkpointed(signals.withColumn("block", F.floor(F.col("first_line") / BLOCK_LINES)))  # read twice; a row per signal
     before = Window.partitionBy("log_path").orderBy(F.desc("rank"), F.desc("score"), "block").rowsBetween(Window.unboundedPreceding, -1)
     cells = signals.groupBy(*cell).agg(F.count("*").alias("k")).select(*cell, F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy(*cell).orderBy("first_line", "rule_no", "captures"))

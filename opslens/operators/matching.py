@@ -98,7 +98,6 @@ def match_scores(lines: DataFrame, nodes: DataFrame, edges: DataFrame, tokens: D
         named = named.unionByName(part.select("log_path", "node_id", F.lit(name).alias("strategy"), "token", F.lit(n).alias("points")))
     if alone is None:
         return named
-    named = checkpointed(named)
     some = named.select("log_path", "node_id").distinct().join(by_client, "log_path").join(procs.select("node_id", F.lower("name").alias("name")), "node_id").filter(F.startswith("name", "token"))
     first = cuts.join(by_client.select("token").distinct(), "token").withColumn("n", F.row_number().over(Window.partitionBy("token").orderBy("node_id"))).filter(F.col("n") <= alone)
     client = some.select("log_path", "node_id", "token").unionByName(by_client.join(first, "token").select("log_path", "node_id", "token")).distinct()
