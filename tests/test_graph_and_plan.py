@@ -132,3 +132,24 @@ def test_similar(spark):
     got = [(r.case_id, r.score, r.root_cause) for r in similarity.similar_cases(queries, cards).orderBy("place").collect()]
     assert got == [(1, 1.0, "cause"), (5, 1.0, "same")]
     assert {(r.case_set, r.n_cases, r.jaccard) for r in similarity.jaccard(queries, cards).collect()} == {(1, 2, 1.0), (3, 1, round(2 / 7, 6))}
+
+
+def _moves_sets(df):
+    """Whether a join of the plan carries arrays along, besides those of its texts."""
+
+    def walk(plan):
+        return plan.nodeName() == "Join" and '"type":"array"' in plan.schema().json() or any(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return walk(df._jdf.queryExecution().optimizedPlan())
+
+
+def _long_log(spark):
+    cards = [(i, "s", 0, [f"C{3 * i}", f"c{3 * i + 1}"], "cause", None, []) for i in range(40)] + [(90, "s", 0, [f"c{i}" for i in range(0, 3000, 2)], "half", None, ["/F"]), (91, "s", 0, [f"C{i}" for i in range(3000)], "same", None, [])]
+    cards = spark.createDataFrame(cards, "id long, source_path string, chunk_id long, signals array<string>, root_cause string, fix_summary string, related_files array<string>")
+    return spark.createDataFrame([("log", [f"C{i}" for i in range(3000)], ["/f"]), ("short", ["c0"], [])], "query_id string, signals array<string>, files array<string>"), cards
+
+
+def test_similar_to_a_long_log(spark):
+    found = similarity.similar_cases(*_long_log(spark))
+    assert not _moves_sets(found)
+    assert {(r.query_id, r.place, r.case_id, r.score) for r in found.collect()} == {("log", 1, 91, 1.0), ("log", 2, 90, 0.7), ("short", 1, 0, 0.5)}
