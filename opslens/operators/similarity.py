@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslens.runtime import checkpointed
+
 #: Least score, points per shared file (tenths of a point are exact as decimals).
 THRESHOLD, FILE_BONUS = 0.3, 0.2
 
@@ -71,8 +73,8 @@ def similar_cases(queries: DataFrame, cards: DataFrame, top: int = 3, threshold:
     """
     cards = cards.withColumnRenamed("id", "case_id")
     qs, cs = _sets(queries, "query_id", "qkey", "n_query"), _sets(cards, "case_id", "ckey", "n_case")
-    q, c = _members(qs, "qkey", "n_query"), _members(cs, "ckey", "n_case")
-    qs, cs = qs.drop("set"), cs.drop("set")
+    q, c = checkpointed(_members(qs, "qkey", "n_query")), checkpointed(_members(cs, "ckey", "n_case"))  # six branches read them
+    qs, cs = checkpointed(qs.drop("set")), checkpointed(cs.drop("set"))
     base = (F.col("shared") / F.greatest("n_query", "n_case")).alias("base")
     by_set = overlaps(q, c, threshold).select("qkey", "ckey", base).filter(F.round("base", 6) >= threshold)
     first = cs.withColumn("n", F.row_number().over(Window.partitionBy("ckey").orderBy("case_id"))).filter(F.col("n") <= top).select("ckey", "case_id")

@@ -72,10 +72,10 @@ def explain_rows(lines: DataFrame, nodes: DataFrame, edges: DataFrame, codes: Da
     two = section(2, evidence(lines), F.col("ord"), F.col("text"))
     three = section(3, decode_log_codes(lines, codes, tokens=tokens), F.col("place"), F.concat_ws(" ", "code", "title"))
     steps = F.when(F.col("confirm") != "", F.concat(F.lit(" | "), F.replace("confirm", F.lit("|"), F.lit("; ")))).otherwise("")
-    four = section(4, hypotheses(lines, signals=signals), F.col("place"), F.concat("hypothesis", F.lit(" | "), "evidence", steps))
+    four = section(4, checkpointed(hypotheses(lines, signals=signals)), F.col("place"), F.concat("hypothesis", F.lit(" | "), "evidence", steps))
     near = neighbours(nodes, edges).join(best.select("log_path", "node_id"), "node_id").groupBy("log_path", "direction").agg(F.count("*").alias("n"))
     five = section(5, near, F.when(F.col("direction") == "upstream", 1).otherwise(2), F.concat("direction", F.lit(": "), F.col("n")))
-    told = case_report(similar_cases(log_queries(tokens), cards), cards)
+    told = case_report(checkpointed(similar_cases(checkpointed(log_queries(tokens)), cards)), cards)  # joins of its own: the driver holds one plan at a time
     commands = F.when(F.size("verify_commands") > 0, F.concat(F.lit(" | "), F.array_join("verify_commands", "; "))).otherwise("")
     six = section(6, told, F.col("place"), F.concat(F.lit("case "), F.col("case_id"), F.lit(" score "), F.format_string("%.3f", "score"), commands), "query_id")
     seven = section(7, log_files(tokens, files), F.col("ord"), F.col("text"))

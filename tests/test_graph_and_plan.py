@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslens.operators import graph, matching, planner, procs, similarity
+from opslens.plans import explain
 from opslens.runtime import checkpointed
 
 PROC = """Firm: Acme Credit    Rev 3
@@ -161,3 +162,16 @@ def test_jaccard_of_a_long_log(spark):
     got = {(r.query_id, r.case_set): r.jaccard for r in similarity.jaccard(queries, cards).collect()}
     assert len(got) == 45 and got["log", 90] == 0.5 and got["log", 91] == 1.0 and got["log", 5] == round(2 / 3000, 6) and got["short", 0] == 0.5
     assert {(r.query_id, r.case_set) for r in similarity.jaccard(queries, cards, 0.5).collect()} == {("log", 90), ("log", 91), ("short", 0)}
+
+
+def test_pack_of_a_long_log(spark):
+    lines = spark.createDataFrame([("log", i, f"PPCS{i}E failed") for i in range(1000, 2000)], "log_path string, line_no long, line string")
+    cards = [(1, "s", 0, "A", [f"ppcs{i}e" for i in range(1000, 1800)], "cause", None, ["c1"], None), (2, "t", 0, "B", ["PPCS1000E"], "far", None, None, None)]
+    cards = spark.createDataFrame(cards, "id long, source_path string, chunk_id long, title string, signals array<string>, root_cause string, fix_summary string, verify_commands array<string>, related_files array<string>")
+    nodes = spark.createDataFrame([], "id long, key string, type string, display_name string, original_path string, canonical_path string")
+    edges = spark.createDataFrame([], "id long, src long, dst long, rel_type string")
+    codes = spark.createDataFrame([], "entry_id long, code string, severity string, title string, body string, source_path string, created_at timestamp")
+    rows = explain.explain_rows(lines, nodes, edges, codes, cards)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan
+    assert [r.text for r in rows.filter("section = 6").collect()] == ["case 1 score 0.800 | c1"]
