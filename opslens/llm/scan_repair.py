@@ -45,8 +45,6 @@ from opslens.runtime import checkpointed
 
 #: Occurrences that make a word known, the same for words with a sign in them, and how much more frequent than its misreading a word of letters must be.
 KNOWN, KNOWN_SIGN, RATIO = 4, 2, 6
-#: Share of a word's length within which the automaton looks, and the least distance.
-REACH, LEAST_REACH = 0.5, 3
 #: Least share of the second closing digit that makes letters an identifier.
 ID_SHARE = 0.2
 #: Entries in which a header without other marks must stand.
@@ -272,6 +270,14 @@ def channel_cost(read: str, meant: str) -> float | None:
     return best.get((len(read), len(meant)))
 
 
+def reach(word: str) -> int:
+    """Edits within which every word lies that misreadings turn into ``word``: those of the most costly way to read it."""
+    most = [0]
+    for i in range(1, len(word) + 1):
+        most.append(max([most[i - 1], *(most[i - len(a)] + max(len(a), len(b)) for a, b in MISREAD if word.endswith(a, 0, i))]))
+    return most[-1]
+
+
 _HINT = re.compile("|".join(sorted({re.escape(a) for a, _ in MISREAD}, key=len, reverse=True)))
 
 
@@ -367,7 +373,7 @@ def _look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, out = Trie(known), []
         for w, n in suspects.items():
             sign = bool(_SIGNS.search(w))
-            for u, m in trie.within(w, max(LEAST_REACH, int(REACH * len(w)))):
+            for u, m in trie.within(w, reach(w)):
                 if u != w and (sign or m >= KNOWN and m >= RATIO * n) and (c := channel_cost(w, u)) is not None:
                     out.append((w, n, u, m, c))
         return out

@@ -1,7 +1,9 @@
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from opslens.llm import scan_repair
 from opslens.llm.scan_repair import MISREAD, Trie, alike, channel_cost, clean, find_damage, header_runs, longest_first, page_numbers, reflow, repair_scans
 
 SCHEMA = "entry_id long, title string, body string, fld string, rid int"
@@ -112,3 +114,11 @@ def test_identifiers_and_rare_words(spark):
     assert [tuple(r) for r in find_damage(df).collect()] == [(100, "body", "glyph")]
     fixed = {r.entry_id: r.body for r in repair_scans(df).collect()}
     assert fixed[100] == "The backlog of minutes was total on node5 and uibids1." and fixed[5].endswith("nodes node5 uibids5")
+
+
+def test_words_of_many_misreadings_are_looked_up():
+    known = {"maximum": 9, "commitment": 9, "mmmo": 9}
+    for read, meant, cost in (("rnaxirnurn", "maximum", 3.0), ("c0rnrnitrnent", "commitment", 4.0), ("rnrnrn0", "mmmo", 4.0)):
+        rows = [(scan_repair.alike(w), w, n, False) for w, n in known.items()] + [(scan_repair.alike(read), read, 1, True)]
+        pdf = pd.DataFrame(sorted(rows), columns=["key", "word", "n", "suspect"])
+        assert [tuple(r) for x in scan_repair._look_up(iter([pdf])) for r in x.itertuples(index=False)] == [(read, 1, meant, 9, cost)]
