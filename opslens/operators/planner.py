@@ -45,27 +45,77 @@ def build_intents(asked: DataFrame) -> DataFrame:
     return d.select("intent_id", F.coalesce(F.lower("cid"), "title_cid").alias("cid"), F.lower("job_id").alias("job_id"), "letter_number", "keywords", "phrase")
 
 
+# Fixed value: procs of one term that meet the requests for it together.
+BLOCK = 256
+
+
+def find_reach(intents: DataFrame, nodes: DataFrame, procs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which procs are candidates of which intent, never written out as pairs: wanted (intent_id, term, before) and hits (term, proc_name).
+
+    A term is the client or, where no proc is the client's, a keyword; a proc that several terms of an
+    intent hit belongs to the first, so ``before`` has the intent's terms before this one.
+    """
+    names = _proc_names(nodes)
+    cuts = names.select("proc_name", F.explode(F.sequence(F.lit(1), F.length("proc_name"))).alias("k")).select("proc_name", F.expr("left(proc_name, k)").alias("cid"))
+    by_cid = checkpointed(intents.select("cid").distinct().join(cuts, "cid").distinct())
+    clients = by_cid.select("cid").distinct()
+    # A keyword is one alphanumeric word, so a proc names it only inside one of its own words.
+    words = intents.join(clients, "cid", "left_anti").select("intent_id", F.explode(F.array_distinct("keywords")).alias("kw"))
+    named = keyword_hits(words.select("kw").distinct(), procs).join(names, "proc_name", "left_semi")
+    hits = checkpointed(by_cid.select(F.concat(F.lit("c:"), "cid").alias("term"), "proc_name").unionByName(named.select(F.concat(F.lit("k:"), "kw").alias("term"), "proc_name")))
+    asked = intents.join(clients, "cid", "left_semi").select("intent_id", F.concat(F.lit("c:"), "cid").alias("term")).unionByName(words.select("intent_id", F.concat(F.lit("k:"), "kw").alias("term")))
+    often = hits.groupBy("term").agg(F.count("*").alias("n"))
+    # The term with most procs comes first: where it hits, nothing has to be compared.
+    terms = asked.distinct().join(often, "term").groupBy("intent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))), lambda x: x["term"]).alias("terms"))
+    wanted = terms.select("intent_id", "terms", F.posexplode("terms").alias("at", "term")).select("intent_id", "term", F.expr("slice(terms, 1, at)").alias("before"))
+    return checkpointed(wanted), hits
+
+
+def _reach_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``find_reach`` of given candidates (intent_id, proc_name): every proc is a term of its own."""
+    pairs = candidates.select("intent_id", "proc_name").distinct()
+    return pairs.select("intent_id", F.col("proc_name").alias("term"), F.array().cast("array<string>").alias("before")), pairs.select(F.col("proc_name").alias("term"), "proc_name").distinct()
+
+
+def _proc_names(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("type = 'proc'").select(F.substring_index("key", ":", -1).alias("proc_name")).distinct()
+
+
+def _pairs(wanted: DataFrame, hits: DataFrame, by: list[str]) -> DataFrame:
+    """Every pair of wanted (with term, before) and hits (with term, proc_name) once, with all their columns but those.
+
+    Both meet by term, block of procs and the columns ``by``; what is moved are the two sides (wanted once per
+    block, so pairs / BLOCK rows), never the pairs. The number of partitions is given, as the sizes of the
+    two sides say nothing of the number of their pairs.
+    """
+    spark = wanted.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    blocks = hits.groupBy("term", *by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    all_terms = hits.select("proc_name", "term").distinct().groupBy("proc_name").agg(F.collect_set("term").alias("proc_terms"))
+    h = hits.join(blocks, ["term", *by]).join(all_terms, "proc_name").withColumn("block", F.expr("pmod(hash(proc_name), blocks)")).drop("blocks")
+    w = wanted.join(blocks, ["term", *by]).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    keys = ["term", *by, "block"]
+    first = (F.size("before") == 0) | ~F.arrays_overlap("before", "proc_terms")
+    return w.repartition(n, *keys).join(h.repartition(n, *keys), keys).filter(first).drop("before", "proc_terms", "term", "block")
+
+
 def find_candidates(intents: DataFrame, nodes: DataFrame, procs: DataFrame) -> DataFrame:
     """intent_id, proc_key, proc_name, node_id, exact: procs of the client; where there are none, procs whose fields name a keyword.
 
     ``procs``: proc_name, parsed_json.
     """
+    wanted, hits = find_reach(intents, nodes, procs)
     p = nodes.filter("type = 'proc'").select(F.col("key").alias("proc_key"), F.substring_index("key", ":", -1).alias("proc_name"), F.col("id").alias("node_id"))
-    cuts = p.select("proc_key", "proc_name", "node_id", F.explode(F.sequence(F.lit(1), F.length("proc_name"))).alias("k")).select("proc_key", "proc_name", "node_id", F.expr("left(proc_name, k)").alias("cid"))
-    by_cid = intents.filter("cid is not null").select("intent_id", "cid", "job_id").join(cuts, "cid")
-    by_cid = by_cid.select("intent_id", "proc_key", "proc_name", "node_id", F.coalesce(F.col("proc_name") == F.concat("cid", "job_id"), F.lit(False)).alias("exact"))
-    # A keyword is one alphanumeric word, so a proc names it only inside one of its own words.
-    open_intents = intents.join(by_cid.select("intent_id").distinct(), "intent_id", "left_anti").select("intent_id", F.explode(F.array_distinct("keywords")).alias("kw"))
-    named = keyword_hits(open_intents, procs).select("intent_id", "proc_name").distinct().join(p, "proc_name").select("intent_id", "proc_key", "proc_name", "node_id", F.lit(False).alias("exact"))
-    return by_cid.unionByName(named)
+    exact = F.coalesce(F.startswith("proc_name", F.col("cid")) & (F.col("proc_name") == F.concat("cid", "job_id")), F.lit(False))
+    return _pairs(wanted.join(intents.select("intent_id", "cid", "job_id"), "intent_id"), hits.join(p, "proc_name"), []).select("intent_id", "proc_key", "proc_name", "node_id", exact.alias("exact"))
 
 
-def keyword_hits(wanted: DataFrame, procs: DataFrame) -> DataFrame:
-    """intent_id, kw, proc_name where the fields' text contains the keyword (wanted: intent_id, kw)."""
-    words = procs.select("proc_name", F.explode(F.array_distinct(F.split(F.lower("parsed_json"), r"[^a-z0-9]+"))).alias("w")).filter("length(w) >= 3")
+def keyword_hits(wanted: DataFrame, procs: DataFrame, by: str = "proc_name") -> DataFrame:
+    """kw and proc_name (or another column ``by`` of procs) where the fields' text contains the keyword (wanted: kw)."""
+    words = procs.select(by, F.explode(F.array_distinct(F.split(F.lower("parsed_json"), r"[^a-z0-9]+"))).alias("w")).filter("length(w) >= 3")
     # Heads of three letters of each distinct word, not of each text: vocabulary grows slowly.
     match = inside_words(wanted.select("kw").distinct(), "kw", words.select("w").distinct(), 3)
-    return wanted.join(match, "kw").join(words, "w").select("intent_id", "kw", "proc_name").distinct()
+    return match.join(words, "w").select("kw", by).distinct()
 
 
 def inside_words(wanted: DataFrame, col: str, words: DataFrame, head: int) -> DataFrame:
@@ -75,72 +125,138 @@ def inside_words(wanted: DataFrame, col: str, words: DataFrame, head: int) -> Da
     return wanted.select(col, F.substring(col, 1, head).alias("head")).join(cut, "head").filter(F.contains("w", F.col(col))).select(col, "w").distinct()
 
 
-def _add(bundle: DataFrame | None, part: DataFrame, step: int, kind: str | None, source: str) -> DataFrame:
-    k = F.lit(kind).alias("kind") if kind else F.col("kind")
-    part = part.select("intent_id", "proc_name", "path", k, F.lit(source).alias("source"), F.lit(step).alias("step"))
-    return part if bundle is None else bundle.unionByName(part)
+def _inside(wanted: DataFrame, col: str, texts: DataFrame) -> DataFrame:
+    """(col, w) of the wanted texts of any length that a text (w) contains; short ones are found by their first letter."""
+    return inside_words(wanted.filter(F.length(col) >= 4), col, texts, 4).unionByName(inside_words(wanted.filter(F.length(col).between(1, 3)), col, texts, 1))
 
 
-def build_bundles(candidates: DataFrame, intents: DataFrame, nodes: DataFrame, edges: DataFrame, procs: DataFrame, files: DataFrame) -> DataFrame:
-    """intent_id, proc_name, path, kind, source, step: the files of every candidate.
+def _files(part: DataFrame, step: int, kind: str, source: str, *keys: str) -> DataFrame:
+    return part.select(*keys, "proc_name", "path", F.lit(kind).alias("kind"), F.lit(source).alias("source"), F.lit(step).alias("step"))
 
-    ``procs``: proc_name, file_setup, parsed_json; ``files``: path, kind, text_content, one row per path.
-    """
-    # eight branches read the candidates, and the late ones the files of the early ones
-    c = checkpointed(candidates.join(intents, "intent_id").select("intent_id", "proc_name", "node_id", "cid", "job_id", "letter_number"))
-    key = c.select("intent_id", "proc_name", "node_id", F.coalesce("cid", F.substring("proc_name", 1, 4)).alias("cid"), "letter_number")
-    out = _add(None, c.select("intent_id", "proc_name", F.concat(F.lit("procs/"), F.col("proc_name"), F.lit(".procs")).alias("path")), 1, "procs", "proc_file")
 
+def _own_files(names: DataFrame, nodes: DataFrame, edges: DataFrame, procs: DataFrame, files: DataFrame) -> DataFrame:
+    """proc_name, path, kind, source, step: the files of a proc whoever asks for it."""
+    out = _files(names.select("proc_name", F.concat(F.lit("procs/"), F.col("proc_name"), F.lit(".procs")).alias("path")), 1, "procs", "proc_file")
+
+    c = nodes.filter("type = 'proc'").select(F.substring_index("key", ":", -1).alias("proc_name"), F.col("id").alias("node_id")).join(names, "proc_name")
     runs = distinct_edges(edges).filter("rel = 'RUNS'").select(F.col("src").alias("node_id"), F.col("dst").alias("id")).join(nodes.select("id", F.col("canonical_path").alias("path")), "id").filter("path is not null").select("node_id", "path")
     run_files = c.join(runs, "node_id")
-    out = _add(out, run_files, 2, "script", "RUNS_edge")
+    out = out.unionByName(_files(run_files, 2, "script", "RUNS_edge"))
 
     setup = procs.filter("file_setup is not null").select("proc_name", base_name("file_setup").alias("name"))
     inserts = files.filter("kind = 'insert'").groupBy(base_name("path").alias("name")).agg(F.min("path").alias("path"))
-    out = _add(out, c.join(setup, "proc_name").join(inserts, "name"), 3, "insert", "procs_file_setup")
+    out = checkpointed(out.unionByName(_files(names.join(setup, "proc_name").join(inserts, "name"), 3, "insert", "procs_file_setup")).distinct())
+
+    scripts = files.filter("kind = 'script'").select("path")
+    helper = scripts.filter("path like 'master/%'").select("path", F.regexp_extract("path", r"^master/(.*)$", 1).alias("rest"))
+    helper = helper.select("path", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("k"), "rest").filter("substring(rest, k + 1, 1) = '_'").select("path", F.expr("left(rest, k)").alias("proc_name"))
+    late = _files(names.join(helper, "proc_name"), 6, "script", "helper_prefix_match")
+    by_name = scripts.groupBy(base_name("path").alias("callee")).agg(F.min("path").alias("path"))
+    own = run_files.withColumn("caller", base_name("path")).filter(F.startswith("caller", F.lower(F.substring("proc_name", 1, 4)))).select("proc_name", "caller").distinct()
+    late = late.unionByName(_files(own.join(mentions(files.filter("kind = 'script'")), "caller").join(by_name, "callee"), 8, "script", "call_graph_discovery"))
+    # the late steps add a path once, and only if none of the early ones has it
+    late = late.join(out.select("proc_name", "path").distinct(), ["proc_name", "path"], "left_anti")
+    late = late.groupBy("proc_name", "path", "kind").agg(F.min(F.struct("step", "source")).alias("f")).select("proc_name", "path", "kind", "f.source", "f.step")
+    return out.unionByName(late)
+
+
+def _asked_files(reach: tuple[DataFrame, DataFrame], w: DataFrame, sides: DataFrame, names: DataFrame, procs: DataFrame, files: DataFrame) -> DataFrame:
+    """intent_id, side, proc_name, path, kind, source, step: control files and definitions, which depend on the client and the letter asked for.
+
+    An intent with a client finds few of its candidates in them, so those pairs are found from the
+    paths and codes. Without client the proc's own counts, so its files are those of a side (a letter).
+    """
+    wanted, hits = reach
+    cids = w.filter("side = ''").select("cid").distinct()
+    clients = w.filter("side = ''").select("intent_id", "cid", "letter_number")
+
+    def asked(found: DataFrame) -> DataFrame:
+        """Only candidates: one of the intent's terms hits the proc."""
+        pairs = found.select("intent_id", "proc_name").distinct().join(hits, "proc_name").join(wanted, ["intent_id", "term"], "left_semi").select("intent_id", "proc_name").distinct()
+        return found.join(pairs, ["intent_id", "proc_name"], "left_semi").withColumn("side", F.lit(None).cast("string"))
 
     # Paths are matched first; only the texts of matched files move.
-    controls = files.filter("kind = 'control'").select("path", F.lower("path").alias("low"))
-    stem = controls.select("path", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(length(low) - 3, 1)), i -> substring(low, i, 4))"))).alias("cid4"), "low")
-    matched = key.withColumn("cid4", F.substring("cid", 1, 4)).join(stem, "cid4").filter(F.contains("low", F.lower("cid")) & F.contains("low", job_family(F.col("proc_name"))))
+    controls = files.filter("kind = 'control'").select("path", F.lower("path").alias("w"))
+    lows = controls.select("w").distinct()
+    families = names.select("proc_name", job_family(F.col("proc_name")).alias("family"))
+    by_family = checkpointed(_inside(families.select("family").distinct(), "family", lows).join(families, "family").select("proc_name", "w").distinct().join(controls, "w"))
+    columns = ["intent_id", "side", "proc_name", "letter_number", "path"]
+    matched = asked(clients.join(_inside(cids, "cid", lows), "cid").join(by_family, "w")).select(*columns)
+    of_side = by_family.filter(F.contains("w", F.lower(F.substring("proc_name", 1, 4)))).crossJoin(F.broadcast(sides)).withColumn("intent_id", F.lit(None).cast("string"))
+    matched = matched.unionByName(of_side.select(*columns))
     lettered = F.coalesce(F.contains("path", F.col("letter_number")), F.lit(False))
-    matched = matched.withColumn("lettered", lettered).withColumn("any_lettered", F.max(lettered).over(Window.partitionBy("intent_id", "proc_name"))).filter("lettered or not any_lettered")
-    out = _add(out, matched, 4, "control", "control_match")
+    matched = checkpointed(matched.withColumn("lettered", lettered).withColumn("any_lettered", F.max(lettered).over(Window.partitionBy("intent_id", "side", "proc_name"))).filter("lettered or not any_lettered").select(*columns))
 
     right_letter = F.col("letter_number").isNull() | (F.right("code", F.lit(3)) == F.col("letter_number"))
     formats = files.filter("kind = 'control'").select("path", F.array_distinct(F.transform(found_all(F.coalesce("text_content", F.lit("")), FORMAT_DFA), F.upper)).alias("formats"))
-    from_control = matched.join(formats, "path").select("intent_id", "proc_name", "letter_number", F.explode("formats").alias("code")).filter(right_letter).withColumn("from", F.lit(51))
-    tokens = key.join(procs.select("proc_name", F.array_distinct(found_all("parsed_json", DFA_TOKEN)).alias("tokens")), "proc_name").select("intent_id", "proc_name", "cid", "letter_number", F.explode("tokens").alias("code"))
-    from_procs = tokens.filter(F.startswith("code", F.upper("cid")) & right_letter).select("intent_id", "proc_name", "letter_number", "code", F.lit(52).alias("from"))
-    codes = from_control.unionByName(from_procs).select("intent_id", "proc_name", "code", "from").distinct()
-    docdefs = files.filter("kind = 'docdef'").select("path", F.upper("path").alias("up"))
-    wanted = codes.select("code").distinct()
+    columns = ["intent_id", "side", "proc_name", "letter_number", "code"]
+    from_control = matched.join(formats, "path").withColumn("code", F.explode("formats")).select(*columns).withColumn("from", F.lit(51))
+    tokens = checkpointed(procs.join(names, "proc_name", "left_semi").select("proc_name", F.explode(F.array_distinct(found_all("parsed_json", DFA_TOKEN))).alias("code")).distinct())
+    begins = tokens.select("code").distinct().select("code", F.explode(F.sequence(F.lit(1), F.length("code"))).alias("k")).select("code", F.expr("left(code, k)").alias("up"))
+    of_client = cids.withColumn("up", F.upper("cid")).join(begins, "up").select("cid", "code")
+    from_procs = asked(clients.join(of_client, "cid").filter(right_letter).join(tokens, "code")).select(*columns)
+    of_side = tokens.filter(F.startswith("code", F.upper(F.substring("proc_name", 1, 4)))).crossJoin(F.broadcast(sides)).withColumn("intent_id", F.lit(None).cast("string"))
+    codes = from_control.unionByName(from_procs.unionByName(of_side.select(*columns)).withColumn("from", F.lit(52)))
+    codes = checkpointed(codes.filter(right_letter).select("intent_id", "side", "proc_name", "code", "from").distinct())
     # A code is one word; a path contains it inside one of its own words.
+    docdefs = files.filter("kind = 'docdef'").select("path", F.upper("path").alias("up"))
     pieces = docdefs.select("path", F.explode(F.array_distinct(F.split("up", r"[^A-Z0-9_]+"))).alias("w")).filter("w != ''")
-    # Codes begin with a client id of four letters; shorter ones are compared by their first letter.
-    cut = inside_words(wanted.filter("length(code) >= 4"), "code", pieces.select("w").distinct(), 4).unionByName(inside_words(wanted.filter("length(code) between 1 and 3"), "code", pieces.select("w").distinct(), 1))
-    resolved = codes.join(cut, "code").join(pieces, "w").groupBy("intent_id", "proc_name", "path").agg(F.min("from").alias("from"))
-    out = _add(out, resolved.filter("from = 51"), 5, "docdef", "control_format_dfa")
-    out = _add(out, resolved.filter("from = 52"), 5, "docdef", "procs_dfa_token")
+    cut = _inside(codes.select("code").distinct(), "code", pieces.select("w").distinct()).join(pieces, "w").select("code", "path").distinct()
+    resolved = codes.join(cut, "code").groupBy("intent_id", "side", "proc_name", "path").agg(F.min("from").alias("from"))
+    source = F.when(F.col("from") == 51, "control_format_dfa").otherwise("procs_dfa_token")
+    defined = resolved.select("intent_id", "side", "proc_name", "path", F.lit("docdef").alias("kind"), source.alias("source"), F.lit(5).alias("step"))
+    return checkpointed(_files(matched, 4, "control", "control_match", "intent_id", "side").distinct().unionByName(defined))
 
-    out = checkpointed(out.distinct())
 
-    scripts = files.filter("kind = 'script'").select("path")
-    helper = scripts.filter("path like 'master/%'").select("path", F.regexp_extract("path", r"^master/(.*)$", 1).alias("rest"))
-    helper = helper.select("path", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("k"), "rest").filter("substring(rest, k + 1, 1) = '_'").select("path", F.expr("left(rest, k)").alias("proc_name"))
-    late = _add(None, c.join(helper, "proc_name"), 6, "script", "helper_prefix_match")
-    jobs = c.filter("cid is not null and job_id is not null").withColumn("cidjob", F.concat("cid", "job_id"))
-    n = F.length("low")
-    parts = scripts.withColumn("low", F.lower("path")).select("path", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(low)), i -> substring(low, i, 4))"))).alias("cid4"), "low").filter(n > 0)
-    late = _add(late, jobs.withColumn("cid4", F.substring("cidjob", 1, 4)).join(parts, "cid4").filter(F.contains("low", F.col("cidjob"))), 7, "script", "cidjob_wildcard_match")
-    by_name = scripts.groupBy(base_name("path").alias("callee")).agg(F.min("path").alias("path"))
-    own = run_files.withColumn("caller", base_name("path")).filter(F.startswith("caller", F.lower(F.substring("proc_name", 1, 4)))).select("intent_id", "proc_name", "caller")
-    called = own.join(mentions(files.filter("kind = 'script'")), "caller").join(by_name, "callee")
-    late = _add(late, called, 8, "script", "call_graph_discovery")
-    # the late steps add a path once, and only if none of the early ones has it
-    late = late.join(out.select("intent_id", "proc_name", "path").distinct(), ["intent_id", "proc_name", "path"], "left_anti")
-    late = late.groupBy("intent_id", "proc_name", "path", "kind").agg(F.min(F.struct("step", "source")).alias("f")).select("intent_id", "proc_name", "path", "kind", "f.source", "f.step")
-    return out.unionByName(late)
+def _bundle_parts(reach: tuple[DataFrame, DataFrame], intents: DataFrame, nodes: DataFrame, edges: DataFrame, procs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the bundles are put together from, none of it by pair of intent and proc.
+
+    w: the intents that have candidates, with side ('' where there is a client) and jobs, the script paths with
+    client and job in them (null: none); own: side, proc_name, path, kind, source, step; asked: as ``own`` by intent_id.
+    """
+    side = F.when(F.col("cid").isNull(), F.concat(F.lit("letter "), F.coalesce("letter_number", F.lit("")))).otherwise("")
+    w = intents.join(reach[0].select("intent_id").distinct(), "intent_id", "left_semi").withColumn("side", side)
+    scripts = files.filter("kind = 'script'").select("path", F.lower("path").alias("w"))
+    jobs = w.select("intent_id", F.concat("cid", "job_id").alias("cidjob")).filter("cidjob is not null")
+    paths = _inside(jobs.select("cidjob").distinct(), "cidjob", scripts.select("w").distinct()).join(scripts, "w").groupBy("cidjob").agg(F.collect_set("path").alias("jobs"))
+    w = checkpointed(w.join(jobs.join(paths, "cidjob").select("intent_id", "jobs"), "intent_id", "left"))
+    sides = checkpointed(w.filter("side != ''").select("side", "letter_number").distinct())
+    names = checkpointed(reach[1].select("proc_name").distinct())
+    own = _own_files(names, nodes, edges, procs, files)
+    asked = _asked_files(reach, w, sides, names, procs, files)
+    every = sides.select("side").unionByName(w.filter("side = ''").select("side").distinct())
+    own = own.crossJoin(F.broadcast(every)).select("side", *own.columns).unionByName(asked.filter("side is not null").drop("intent_id"))
+    return w, checkpointed(own), asked.filter("side is null").drop("side")
+
+
+def _put_together(reach: tuple[DataFrame, DataFrame], w: DataFrame, own: DataFrame, asked: DataFrame) -> DataFrame:
+    wanted, hits = reach
+    columns = ["intent_id", "proc_name", "path", "kind", "source", "step"]
+    listed = own.groupBy("side", "proc_name").agg(F.collect_list(F.struct("path", "kind", "source", "step")).alias("files"))
+    listed = hits.join(listed, "proc_name")
+    plain = _pairs(wanted.join(w.filter("jobs is null").select("intent_id", "side"), "intent_id"), listed, ["side"])
+    # A path with client and job comes after the early steps and the helpers, before the calls.
+    jobs = _pairs(wanted.join(w.filter("jobs is not null").select("intent_id", "side", "jobs"), "intent_id"), listed, ["side"])
+    kept = "filter(files, f -> not (f.step = 8 and array_contains(jobs, f.path)))"
+    added = "transform(filter(jobs, p -> not exists(files, f -> f.path = p and f.step <= 6)), p -> named_struct('path', p, 'kind', 'script', 'source', 'cidjob_wildcard_match', 'step', 7))"
+    jobs = jobs.withColumn("files", F.expr(f"concat({kept}, {added})"))
+    out = plain.select("intent_id", "proc_name", F.inline("files")).unionByName(jobs.select("intent_id", "proc_name", F.inline("files")))
+    return out.unionByName(asked.select(*columns))
+
+
+def find_bundles(intents: DataFrame, nodes: DataFrame, edges: DataFrame, procs: DataFrame, files: DataFrame) -> DataFrame:
+    """``build_bundles`` of all candidates of the intents; the pairs exist only in the result."""
+    reach = find_reach(intents, nodes, procs)
+    return _put_together(reach, *_bundle_parts(reach, intents, nodes, edges, procs, files))
+
+
+def build_bundles(candidates: DataFrame, intents: DataFrame, nodes: DataFrame, edges: DataFrame, procs: DataFrame, files: DataFrame) -> DataFrame:
+    """intent_id, proc_name, path, kind, source, step: the files of every candidate.
+
+    ``procs``: proc_name, file_setup, parsed_json; ``files``: path, kind, text_content, one row per path.
+    """
+    reach = tuple(checkpointed(x) for x in _reach_of(candidates))
+    return _put_together(reach, *_bundle_parts(reach, intents, nodes, edges, procs, files))
 
 
 def score_candidates(candidates: DataFrame, bundles: DataFrame, intents: DataFrame, procs: DataFrame, top: int = 5) -> DataFrame:
