@@ -104,7 +104,11 @@ def find_candidates(intents: DataFrame, nodes: DataFrame, procs: DataFrame) -> D
 
     ``procs``: proc_name, parsed_json.
     """
-    wanted, hits = find_reach(intents, nodes, procs)
+    return _candidates(find_reach(intents, nodes, procs), intents, nodes)
+
+
+def _candidates(reach: tuple[DataFrame, DataFrame], intents: DataFrame, nodes: DataFrame) -> DataFrame:
+    wanted, hits = reach
     p = nodes.filter("type = 'proc'").select(F.col("key").alias("proc_key"), F.substring_index("key", ":", -1).alias("proc_name"), F.col("id").alias("node_id"))
     exact = F.coalesce(F.startswith("proc_name", F.col("cid")) & (F.col("proc_name") == F.concat("cid", "job_id")), F.lit(False))
     return _pairs(wanted.join(intents.select("intent_id", "cid", "job_id"), "intent_id"), hits.join(p, "proc_name"), []).select("intent_id", "proc_key", "proc_name", "node_id", exact.alias("exact"))
@@ -261,16 +265,87 @@ def build_bundles(candidates: DataFrame, intents: DataFrame, nodes: DataFrame, e
 
 def score_candidates(candidates: DataFrame, bundles: DataFrame, intents: DataFrame, procs: DataFrame, top: int = 5) -> DataFrame:
     """intent_id, place, proc_name, score: the best candidates of each intent, ties by name."""
-    has = [F.max(F.when(F.col("kind") == k, points).otherwise(0)).alias(k) for k, points in (("script", POINTS["scripts"]), ("insert", POINTS["inserts"]), ("control", POINTS["control"]), ("docdef", POINTS["dfa"]))]
-    files = bundles.groupBy("intent_id", "proc_name").agg(*has)
+    files = _file_points(bundles, "intent_id", "proc_name")
     d = candidates.join(files, ["intent_id", "proc_name"], "left").join(intents.select("intent_id", "cid", "phrase", "keywords"), "intent_id").join(procs.select("proc_name", F.lower("parsed_json").alias("pj")), "proc_name", "left")
     phrase = F.when((F.col("phrase") != "") & F.contains("pj", F.lower("phrase")), POINTS["phrase"]).otherwise(0)
     keyword = F.aggregate(F.coalesce("keywords", F.array().cast("array<string>")), F.lit(0), lambda acc, w: acc + F.when(F.contains(F.coalesce("pj", F.lit("")), w), POINTS["keyword"]).otherwise(0))
-    score = F.when(F.col("exact"), POINTS["exact_key"]).otherwise(0) + F.when(F.startswith("proc_name", F.col("cid")), POINTS["cid_prefix"]).otherwise(0) + sum((F.coalesce(k, F.lit(0)) for k in ("script", "insert", "control", "docdef")), F.lit(0)) + phrase + keyword
+    score = F.when(F.col("exact"), POINTS["exact_key"]).otherwise(0) + F.when(F.startswith("proc_name", F.col("cid")), POINTS["cid_prefix"]).otherwise(0) + F.coalesce("points", F.lit(0)) + phrase + keyword
     d = d.withColumn("score", score.cast("int"))
     return d.withColumn("place", F.row_number().over(Window.partitionBy("intent_id").orderBy(F.desc("score"), "proc_name")).cast("int")).filter(F.col("place") <= top).select("intent_id", "place", "proc_name", "score")
 
 
+def _file_points(files: DataFrame, *keys: str) -> DataFrame:
+    """points of the kinds of files that there are, by ``keys``."""
+    kinds = [F.max(F.when(F.col("kind") == k, POINTS[p]).otherwise(0)) for k, p in (("script", "scripts"), ("insert", "inserts"), ("control", "control"), ("docdef", "dfa"))]
+    return files.groupBy(*keys).agg(sum(kinds[1:], kinds[0]).alias("points"))
+
+
+def _phrase_hits(phrases: DataFrame, fields: DataFrame) -> DataFrame:
+    """low, field where the fields' text contains the phrase (phrases: low; fields: field, parsed_json in lower case).
+
+    A text contains the longest word of a phrase inside one of its own words; only such texts are searched.
+    """
+    longest = F.expr("array_max(transform(split(low, '[^a-z0-9]+'), r -> struct(length(r) as n, r))).r")
+    p = phrases.filter("low != ''").distinct().withColumn("anchor", longest)
+    words = fields.select("field", F.explode(F.array_distinct(F.split("parsed_json", "[^a-z0-9]+"))).alias("w")).filter("w != ''")
+    anchors = _inside(p.filter("anchor != ''").select("anchor").distinct(), "anchor", words.select("w").distinct())
+    near = anchors.join(words, "w").select("anchor", "field").distinct().join(p, "anchor").select("low", "field").join(fields, "field")
+    bare = p.filter("anchor = ''").select("low").join(fields, F.contains("parsed_json", F.col("low")))
+    return near.filter(F.contains("parsed_json", F.col("low"))).select("low", "field").unionByName(bare.select("low", "field"))
+
+
+def find_scores(intents: DataFrame, nodes: DataFrame, edges: DataFrame, procs: DataFrame, files: DataFrame, top: int = 5) -> DataFrame:
+    """``score_candidates`` of all candidates of the intents.
+
+    Procs with the same keywords, phrases and points for their own files score alike for every intent that
+    comes by keyword, but for the files of its client. So the first ``top`` by name of each such group stand
+    for it; the pairs with files of the client, which are few, are scored one by one and added. Candidates by
+    client are scored as pairs.
+    """
+    reach = wanted, hits = find_reach(intents, nodes, procs)
+    w, own, asked = _bundle_parts(reach, intents, nodes, edges, procs, files)
+    by_word = wanted.filter("term like 'k:%'").select("intent_id").distinct()
+    words = checkpointed(w.filter("jobs is null").join(by_word, "intent_id", "left_semi"))
+    rest = checkpointed(w.join(words, "intent_id", "left_anti"))
+
+    direct = wanted.join(rest, "intent_id", "left_semi"), hits
+    candidates = checkpointed(_candidates(direct, intents, nodes))
+    bundles = _put_together(direct, rest, own, asked.join(rest, "intent_id", "left_semi"))
+    scored = score_candidates(candidates, bundles, intents, procs, top)
+
+    # A proc counts once per node and once per file of its fields, as among the candidates.
+    hits = hits.filter("term like 'k:%'")
+    terms = hits.groupBy("proc_name").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    fields = checkpointed(procs.join(terms, "proc_name", "left_semi").select(F.monotonically_increasing_id().alias("field"), "proc_name", F.lower("parsed_json").alias("parsed_json")))
+    kws = keyword_hits(words.select(F.explode("keywords").alias("kw")), fields, "field").groupBy("field").agg(F.array_sort(F.collect_list("kw")).alias("kws"))
+    said = _phrase_hits(words.select(F.lower("phrase").alias("low")), fields.select("field", "parsed_json")).groupBy("field").agg(F.array_sort(F.collect_set("low")).alias("phrases"))
+    named = nodes.filter("type = 'proc'").select(F.substring_index("key", ":", -1).alias("proc_name"), F.col("id").alias("node_id"))
+    texts = fields.select("proc_name", "field").join(kws, "field", "left").join(said, "field", "left")
+    units = named.join(terms, "proc_name").join(texts, "proc_name", "left").join(_file_points(own, "side", "proc_name"), "proc_name")
+    none = F.array().cast("array<string>")
+    units = checkpointed(units.withColumns({"kws": F.coalesce("kws", none), "phrases": F.coalesce("phrases", none)}))
+
+    alike = Window.partitionBy("side", "terms", "kws", "phrases", "points").orderBy("proc_name", "node_id", "field")
+    first = checkpointed(units.withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= top).drop("n", "terms"))
+    keywords = F.coalesce("keywords", none)
+    again = F.filter(keywords, lambda x, i: F.array_position(keywords, x) != i + 1)  # words that the title repeats count again
+    wishes = words.select("intent_id", "side", keywords.alias("keywords"), again.alias("again"), F.lower("phrase").alias("low"))
+    n_words = F.size(F.array_intersect("kws", "keywords")) + F.when(F.size("again") > 0, F.size(F.filter("again", lambda x: F.array_contains("kws", x)))).otherwise(0)
+    phrase = F.when((F.col("low") != "") & F.array_contains("phrases", F.col("low")), POINTS["phrase"]).otherwise(0)
+    score = (F.col("points") + phrase + POINTS["keyword"] * n_words).cast("int").alias("score")
+    unit = ["intent_id", "proc_name", "node_id", "field"]
+    best = Window.partitionBy("intent_id").orderBy(F.desc("score"), "proc_name")
+
+    def place(df: DataFrame) -> DataFrame:
+        return df.withColumn("place", F.row_number().over(best).cast("int")).filter(F.col("place") <= top)
+
+    pairs = place(_pairs(wanted.join(wishes, "intent_id"), hits.join(first, "proc_name"), ["side"]).select(*unit, score)).drop("place")
+    of_client = _file_points(asked.join(words, "intent_id", "left_semi"), "intent_id", "proc_name").withColumnRenamed("points", "more")
+    of_client = of_client.join(wishes, "intent_id").join(units, ["side", "proc_name"]).withColumn("points", F.col("points") + F.col("more")).select(*unit, score)
+    every = pairs.unionByName(of_client).groupBy(*unit).agg(F.max("score").alias("score"))
+    return scored.unionByName(place(every).select("intent_id", "place", "proc_name", "score"))
+
+
 #: Files of each kind among the entry points of a bundle.
 ENTRY_POINTS = (("script", 3), ("control", 2), ("docdef", 1))
 
@@ -297,8 +372,6 @@ def generate_plan(asked: DataFrame, nodes: DataFrame, edges: DataFrame, procs: D
     ``files``: path, kind, text_content, one row per path. Bundles are those of the ``top`` candidates.
     """
     intents = checkpointed(build_intents(asked))
-    candidates = checkpointed(find_candidates(intents, nodes, procs))
-    bundles = checkpointed(build_bundles(candidates, intents, nodes, edges, procs, files))
-    scores = checkpointed(score_candidates(candidates, bundles, intents, procs, top))
-    kept = bundles.join(scores.select("intent_id", "proc_name"), ["intent_id", "proc_name"], "left_semi")
+    scores = checkpointed(find_scores(intents, nodes, edges, procs, files, top))
+    kept = checkpointed(build_bundles(scores, intents, nodes, edges, procs, files))
     return scores, kept, scope_summary(kept)

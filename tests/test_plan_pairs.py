@@ -53,3 +53,26 @@ def test_bundles_of_a_common_word(spark, asked_by_word, monkeypatch):
     want += [("client", n, f"procs/{n}.procs", "procs", "proc_file", 1), ("client", n, f"docdef/{n[:4]}dl014.dfa", "docdef", "control_format_dfa", 5)]
     want += [("client", n, f"control/{x}.control", "control", "control_match", 4) for x in (n, f"{n}_014")]
     assert sorted(got) == sorted(want)
+
+
+def test_scores_of_a_common_word(spark, asked_by_word, monkeypatch):
+    names, asked, nodes, edges, fields, files = asked_by_word
+    monkeypatch.setattr(planner, "BLOCK", 8, raising=False)
+    # a proc with two nodes, one with two files of fields, requests that repeat words, with a short phrase, with one of signs, and with a client's files among others' procs
+    nodes = nodes.unionByName(spark.createDataFrame([(200, "proc", f"proc:{names[0]}", None)], nodes.schema))
+    fields = fields.unionByName(spark.createDataFrame([(names[8], None, '{"firm":"CARD statement harbor -- DL"}')], fields.schema))
+    files = files.unionByName(spark.createDataFrame([(900, f"control/{names[39]}_qqqq.control", "control", 'format_dfa="QQQQDL001"'), (901, "docdef/QQQQDL001.dfa", "docdef", "")], files.schema))
+    more = [("twice", None, None, "card card statement card DL014"), ("short", None, None, "statement DL014 x"), ("signs", None, None, "QQQQ DL001 -- card"), ("other", "qqqq", None, "card statement x"), ("phrase", None, None, "DL014 - Card Statement"), ("exact", names[6][:4], "ds0", "card"), ("none", None, None, "nothing here")]
+    intents = planner.build_intents(asked.unionByName(spark.createDataFrame(more, asked.schema))).localCheckpoint()
+    rows = _kept(monkeypatch)
+    got = [tuple(r) for r in planner.find_scores(intents, nodes, edges, fields, files).collect()]
+    assert max(rows) < N_PROCS * (N_ASKED - 1) / 4
+    monkeypatch.undo()
+    candidates = planner.find_candidates(intents, nodes, fields).localCheckpoint()
+    bundles = planner.build_bundles(candidates, intents, nodes, edges, fields, files).localCheckpoint()
+    assert candidates.count() > N_PROCS * (N_ASKED + 3)
+    want = [tuple(r) for r in planner.score_candidates(candidates, bundles, intents, fields).collect()]
+    assert sorted(got) == sorted(want)
+    by = {(r[0], r[1]): r[2:] for r in got}
+    # letter's control 10 and definition 5, words card, statement and dl014 2 each; then script 10 and harbor too, twice for the proc with two nodes
+    assert by["a1", 1] == (names[3], 21) and by["a1", 2] == by["a1", 3] == (names[0], 18) and by["other", 1] == (names[39], 19) and by["twice", 1][1] > by["short", 1][1] and ("none", 1) not in by
