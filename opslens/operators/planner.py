@@ -237,15 +237,17 @@ def _put_together(reach: tuple[DataFrame, DataFrame], w: DataFrame, own: DataFra
     wanted, hits = reach
     columns = ["intent_id", "proc_name", "path", "kind", "source", "step"]
     listed = own.groupBy("side", "proc_name").agg(F.collect_list(F.struct("path", "kind", "source", "step")).alias("files"))
-    listed = hits.join(listed, "proc_name")
+    listed = checkpointed(hits.join(listed, "proc_name"))
     plain = _pairs(wanted.join(w.filter("jobs is null").select("intent_id", "side"), "intent_id"), listed, ["side"])
+    out = plain.select("intent_id", "proc_name", F.inline("files")).unionByName(asked.select(*columns))
+    if w.filter("jobs is not null").isEmpty():
+        return out
     # A path with client and job comes after the early steps and the helpers, before the calls.
     jobs = _pairs(wanted.join(w.filter("jobs is not null").select("intent_id", "side", "jobs"), "intent_id"), listed, ["side"])
     kept = "filter(files, f -> not (f.step = 8 and array_contains(jobs, f.path)))"
     added = "transform(filter(jobs, p -> not exists(files, f -> f.path = p and f.step <= 6)), p -> named_struct('path', p, 'kind', 'script', 'source', 'cidjob_wildcard_match', 'step', 7))"
     jobs = jobs.withColumn("files", F.expr(f"concat({kept}, {added})"))
-    out = plain.select("intent_id", "proc_name", F.inline("files")).unionByName(jobs.select("intent_id", "proc_name", F.inline("files")))
-    return out.unionByName(asked.select(*columns))
+    return out.unionByName(jobs.select("intent_id", "proc_name", F.inline("files")))
 
 
 def find_bundles(intents: DataFrame, nodes: DataFrame, edges: DataFrame, procs: DataFrame, files: DataFrame) -> DataFrame:
@@ -311,7 +313,7 @@ def find_scores(intents: DataFrame, nodes: DataFrame, edges: DataFrame, procs: D
     direct = wanted.join(rest, "intent_id", "left_semi"), hits
     candidates = checkpointed(_candidates(direct, intents, nodes))
     bundles = _put_together(direct, rest, own, asked.join(rest, "intent_id", "left_semi"))
-    scored = score_candidates(candidates, bundles, intents, procs, top)
+    scored = checkpointed(score_candidates(candidates, checkpointed(bundles), intents, procs, top))
 
     # A proc counts once per node and once per file of its fields, as among the candidates.
     hits = hits.filter("term like 'k:%'")
@@ -339,7 +341,7 @@ def find_scores(intents: DataFrame, nodes: DataFrame, edges: DataFrame, procs: D
     def place(df: DataFrame) -> DataFrame:
         return df.withColumn("place", F.row_number().over(best).cast("int")).filter(F.col("place") <= top)
 
-    pairs = place(_pairs(wanted.join(wishes, "intent_id"), hits.join(first, "proc_name"), ["side"]).select(*unit, score)).drop("place")
+    pairs = place(_pairs(wanted.join(wishes, "intent_id"), checkpointed(hits.join(first, "proc_name")), ["side"]).select(*unit, score)).drop("place")
     of_client = _file_points(asked.join(words, "intent_id", "left_semi"), "intent_id", "proc_name").withColumnRenamed("points", "more")
     of_client = of_client.join(wishes, "intent_id").join(units, ["side", "proc_name"]).withColumn("points", F.col("points") + F.col("more")).select(*unit, score)
     every = pairs.unionByName(of_client).groupBy(*unit).agg(F.max("score").alias("score"))
